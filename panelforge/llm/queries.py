@@ -27,6 +27,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import plan_records, read_archives, write_archives
 
@@ -40,7 +46,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_token_counts, op4_quality_rules, op7_warc, op9_media)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op7_warc, op9_media, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
