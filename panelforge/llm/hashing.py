@@ -13,7 +13,7 @@ class SpanHash:
     """Hashes modulo 2**64 of spans [start, end) of a byte buffer; equal contents give equal hashes wherever they stand."""
 
     def __init__(self, base: int = BASE):
-        self.base, self.size = base | 1, 0
+        self.base, self.size = base % (1 << 64) | 1, 0
 
     def _grow(self, n: int) -> None:
         if n > self.size:

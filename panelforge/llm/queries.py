@@ -40,6 +40,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_duplicates
+
+    return remove_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -52,9 +58,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op7_warc, op9_media, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op7_warc, op8_substring, op9_media, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_substring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS least FROM x GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT x.doc_id, x.i FROM x JOIN f USING (k) WHERE f.least < x.doc_id), range(50) AS t(o)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p.i) AS kept
+      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i WHERE r.i IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
     "op7_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
