@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -33,6 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import plan_records, read_archives, write_archives
 
@@ -58,9 +70,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op7_warc, op8_substring, op9_media, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_pii, op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op6_mixing, op7_warc, op8_substring, op9_media, op10_packing)
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN right(source, 1) IN ('0', '1', '2') THEN 'web' WHEN right(source, 1) IN ('3', '4', '5', '6') THEN 'news' ELSE 'forum' END AS domain,
+         lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM (SELECT doc_id, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)),
+l3 AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, CAST(sum(n_tokens) * 4 AS DOUBLE) AS capacity, 1.0::DOUBLE AS weight FROM d GROUP BY ALL),
+l2 AS (SELECT domain, lang, sum(capacity) AS capacity, CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM l3 GROUP BY ALL),
+l1 AS (SELECT domain, sum(capacity) AS capacity, CASE domain WHEN 'web' THEN 5.0 WHEN 'news' THEN 3.0 ELSE 2.0 END::DOUBLE AS weight FROM l2 GROUP BY ALL),
+a1 AS (SELECT *, (floor((SELECT sum(tokens) FROM l3) * 0.5) - coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l1),
+b1 AS (SELECT *, first_value(CASE WHEN capacity / weight > level THEN level END IGNORE NULLS) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS water FROM a1),
+c1 AS (SELECT domain, CASE WHEN water IS NULL THEN capacity ELSE least(capacity, water * weight) END AS budget FROM b1),
+a2 AS (SELECT l2.*, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l2 JOIN c1 USING (domain)),
+b2 AS (SELECT *, first_value(CASE WHEN capacity / weight > level THEN level END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY capacity / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS water FROM a2),
+c2 AS (SELECT domain, lang, CASE WHEN water IS NULL THEN capacity ELSE least(capacity, water * weight) END AS budget FROM b2),
+a3 AS (SELECT l3.*, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (PARTITION BY domain, lang ORDER BY capacity / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l3 JOIN c2 USING (domain, lang)),
+b3 AS (SELECT *, first_value(CASE WHEN capacity / weight > level THEN level END IGNORE NULLS) OVER (PARTITION BY domain, lang ORDER BY capacity / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS water FROM a3),
+c3 AS (SELECT domain, lang, source, tokens, floor(CASE WHEN water IS NULL THEN capacity ELSE least(capacity, water * weight) END + 1e-6) AS due FROM b3),
+e AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(floor(due / tokens) AS INT) ELSE 0 END AS whole, due - tokens * CASE WHEN tokens > 0 THEN floor(due / tokens) ELSE 0 END AS rest FROM c3),
+p AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || doc_id), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS run
+      FROM d JOIN e USING (domain, lang, source))
+SELECT doc_id, unnest(range(0, whole))::INT AS epoch, domain, lang, source, n_tokens FROM p
+UNION ALL
+SELECT doc_id, whole AS epoch, domain, lang, source, n_tokens FROM p WHERE whole < 4 AND run <= rest
+""",
     "op8_substring": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
