@@ -58,6 +58,11 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, Column],
     return sources.select(*TREE, "tokens", "n_docs", F.floor(F.col("share") + 1e-6).alias("tokens_due"))
 
 
+def place(seed: int, epoch: str = "epoch") -> Column:
+    """A document's place in the random order of an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(epoch), F.col("doc_id")).cast("binary"))
+
+
 def mix(rows: DataFrame, budget: Column, weights: dict[str, Column], epochs: int = 4, seed: int = 17) -> DataFrame:
     """rows (doc_id, domain, lang, source, n_tokens) as drawn, once for each epoch; ``budget`` is an aggregate over leaves."""
     leaves = materialize(rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
@@ -68,8 +73,7 @@ def mix(rows: DataFrame, budget: Column, weights: dict[str, Column], epochs: int
     drawn = rows.join(due, list(TREE))
     whole = drawn.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     # The epoch that is not whole: sums by bucket tell in which one the prefix ends.
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("full"), F.col("doc_id")).cast("binary"))
-    part = drawn.filter("more").withColumn("epoch", F.col("full")).withColumn("place", place)
+    part = drawn.filter("more").withColumn("epoch", F.col("full")).withColumn("place", place(seed))
     part = part.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2**32 * F.col("n_buckets")))
     sums = part.groupBy(*TREE, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("limit"))
     upto = F.sum("held").over(W.partitionBy(*TREE).orderBy("bucket"))
@@ -93,8 +97,8 @@ DOMAINS = {"web": "012", "news": "3456"}
 WEIGHTS = {"domain": {"web": 5.0, "news": 3.0, "forum": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 
 
-def domain_of_source() -> Column:
-    last = F.substring("source", -1, 1)
+def domain_of_source(source: Column | None = None) -> Column:
+    last = F.substring(F.col("source") if source is None else source, -1, 1)
     return F.when(last.isin(*DOMAINS["web"]), "web").when(last.isin(*DOMAINS["news"]), "news").otherwise("forum")
 
 
@@ -111,3 +115,15 @@ def target_weights() -> dict[str, Column]:
 def mix_documents(docs: DataFrame, share: float = 0.5, epochs: int = 4, seed: int = 17) -> DataFrame:
     """The draws of docs, for a budget of ``share`` of all their words."""
     return mix(mixing_rows(docs, domain_of_source()), F.floor(F.sum("tokens") * share), target_weights(), epochs, seed)
+
+
+def keep_drawn(docs: DataFrame, share: float, seed: int = 17) -> DataFrame:
+    """The rows of docs that one epoch draws, all columns as they are: those up to the last place drawn in their leaf.
+
+    Only the table of leaves is joined to the texts; Spark broadcasts it where its threshold allows."""
+    drawn = mix(mixing_rows(docs, domain_of_source()), F.floor(F.sum("tokens") * share), target_weights(), 1, seed)
+    last = materialize(drawn.withColumn("at", place(seed)).groupBy(*TREE).agg(F.max("at").alias("last")), "last-places")
+    keys = {"mix_lang": F.coalesce("lang", F.lit("")), "mix_source": F.coalesce("source", F.lit("")), "mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "mix_place": F.md5(F.concat_ws(":", F.lit(seed), F.lit(0), F.col("doc_id")).cast("binary"))}
+    last = last.select(*(F.col(c).alias(f"leaf_{c}") for c in TREE), "last")
+    same = [F.col(f"leaf_{c}") == F.col(f"mix_{c}") for c in TREE]
+    return docs.withColumns(keys).join(last, [*same, F.col("mix_place") <= F.col("last")], "left_semi").drop(*keys)

@@ -89,19 +89,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
     return [(r["text"], r["y"]) for r in sorted(rows)]
 
 
+def probabilities(column: pa.StringArray, weights: np.ndarray, hasher: SpanHash) -> np.ndarray:
+    """The scores of texts without nulls."""
+    sums, sizes = np.zeros(len(column)), np.zeros(len(column))
+    for first, data, offsets in text_groups(column):
+        at, text = features(data, offsets, hasher)
+        n = len(offsets) - 1
+        sums[first : first + n] = np.bincount(text, weights[at], n)
+        sizes[first : first + n] = np.bincount(text, minlength=n)
+    return 1 / (1 + np.exp(-np.clip(float(weights[-1]) + sums / np.sqrt(np.maximum(1, sizes)), -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bias = SpanHash(), float(weights[-1])
+        hasher = SpanHash()
         for batch in batches:
-            sums, sizes = np.zeros(len(batch)), np.zeros(len(batch))
-            for first, data, offsets in text_groups(batch["text"]):
-                at, text = features(data, offsets, hasher)
-                n = len(offsets) - 1
-                sums[first : first + n] = np.bincount(text, weights[at], n)
-                sizes[first : first + n] = np.bincount(text, minlength=n)
-            p = 1 / (1 + np.exp(-np.clip(bias + sums / np.sqrt(np.maximum(1, sizes)), -30, 30)))
+            p = probabilities(batch["text"], weights, hasher)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     fold = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
@@ -110,3 +115,16 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     return score(docs, fit(training_rows(docs, labels, sample)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, all columns as they are."""
+    weights = fit(training_rows(docs, labels, sample))
+    small_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch["text"].fill_null(""), weights, hasher) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
