@@ -1,4 +1,6 @@
-"""The registered queries of the panel engine."""
+"""The registered queries of the panel engine, and SQL for those that it can express."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import panel_queries
+
+QUERIES = {**panel_queries.QUERIES}
+ORACLE_SQL = {**panel_queries.SQL}
