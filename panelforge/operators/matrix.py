@@ -34,7 +34,7 @@ def fama_macbeth(rows: DataFrame, y: str, xs: list[str], least: int = 8) -> Data
     def slopes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[y].notna()]
         if len(pdf) < least:
-            return pd.DataFrame({"week": [], "term": [], "slope": []})
+            return pd.DataFrame({"week": [], "term": [], "slope": []}, dtype=object)
         a = np.column_stack([np.ones(len(pdf)), pdf[xs].fillna(0.0).to_numpy(float)])
         b = np.linalg.lstsq(a, pdf[y].to_numpy(float), rcond=None)[0]
         return pd.DataFrame({"week": pdf["week"].iloc[0], "term": ["intercept", *xs], "slope": b})
@@ -65,7 +65,7 @@ def series_betas(rows: DataFrame, y: str, xs: list[str], least: int = 8) -> Data
     def betas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna()
         if len(pdf) < max(len(xs) + 2, least):
-            return pd.DataFrame({"symbol": [], "term": [], "beta": [], "n": []})
+            return pd.DataFrame({"symbol": [], "term": [], "beta": [], "n": []}, dtype=object)
         a = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(float)])
         b = np.linalg.lstsq(a, pdf[y].to_numpy(float), rcond=None)[0]
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "term": ["intercept", *xs], "beta": b, "n": len(pdf)})
@@ -147,7 +147,7 @@ def giglio_xiu(returns: DataFrame, factors: DataFrame, keys: list[str] = (), lea
         f = pdf[~pdf["asset"]].pivot_table(index="week", columns="name", values="ret").ffill().dropna()
         weeks = y.index.intersection(f.index)
         if len(weeks) < 30 or y.shape[1] < f.shape[1] + 3:
-            return pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")}, dtype=object)
         out = _three_pass(y.loc[weeks].to_numpy(float), f.loc[weeks].to_numpy(float), list(f.columns))
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[c.split(" ")[0] for c in schema.split(", ")]]
 
@@ -169,7 +169,7 @@ def rolling_pca(rows: DataFrame, n: int = 26, least: int = 16, k: int = 3) -> Da
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = _matrix(pdf, least)
         if wide.shape[1] <= k or len(wide) <= k:
-            return pd.DataFrame({"end": [], "symbol": [], "loadings": [], "explained": [], "residual": []})
+            return pd.DataFrame({"end": [], "symbol": [], "loadings": [], "explained": [], "residual": []}, dtype=object)
         x = wide.fillna(wide.mean()).to_numpy()
         x = x - x.mean(0)
         _, s, v = np.linalg.svd(x, full_matrices=False)
@@ -189,7 +189,7 @@ def svd_kmeans(rows: DataFrame, n: int = 26, least: int = 16, dims: int = 8, clu
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = _matrix(pdf, least)
         if wide.shape[1] < clusters:
-            return pd.DataFrame({"end": [], "symbol": [], "cluster": []})
+            return pd.DataFrame({"end": [], "symbol": [], "cluster": []}, dtype=object)
         u, s, _ = np.linalg.svd(wide.corr().fillna(0.0).to_numpy())
         x = u[:, :dims] * s[:dims]
         random = np.random.default_rng(0)
@@ -232,7 +232,7 @@ def rolling_sparse_pca(rows: DataFrame, n: int = 104, k: int = 4, alpha: float =
         wide = prior.pivot_table(index="week", columns="symbol", values="ret").dropna(axis=1)
         wide = wide[[c for c in wide.columns if c in now.index]]
         if len(wide) < n or wide.shape[1] < least or not len(now):
-            return pd.DataFrame({"end": [], "component": [], "ret": [], "n_loaded": [], "explained": []})
+            return pd.DataFrame({"end": [], "component": [], "ret": [], "n_loaded": [], "explained": []}, dtype=object)
         x = wide.to_numpy()
         x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
         load = sparse_components(x, k, alpha, ridge)
@@ -252,7 +252,7 @@ def canonical_correlations(left: DataFrame, right: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna()
         if len(pdf) < len(a) + len(b) + 2:
-            return pd.DataFrame({"pair": [], "rho": [], "left_driver": [], "right_driver": []})
+            return pd.DataFrame({"pair": [], "rho": [], "left_driver": [], "right_driver": []}, dtype=object)
 
         def whiten(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             m = (m - m.mean(0)) / np.where(m.std(0) > 0, m.std(0), 1)
@@ -274,7 +274,7 @@ def series_r2(rows: DataFrame, y: str, xs: list[str], least: int = 10) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna()
         if len(pdf) < max(least, len(xs) + 2):
-            return pd.DataFrame({"symbol": [], "r2": [], "n": []})
+            return pd.DataFrame({"symbol": [], "r2": [], "n": []}, dtype=object)
         a, v = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(float)]), pdf[y].to_numpy(float)
         e = v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "r2": [1 - (e @ e) / max(((v - v.mean()) ** 2).sum(), 1e-300)], "n": [len(pdf)]})

@@ -140,7 +140,7 @@ def build_weights(signals: DataFrame, rules: Rules) -> DataFrame:
             else:
                 held = held[held.index.isin(names["symbol"])]
             out.append(pd.DataFrame({"week": week, "symbol": held.index, "w": held.to_numpy()}))
-        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"week": [], "symbol": [], "w": []})
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"week": [], "symbol": [], "w": []}, dtype=object)
         return found.assign(book=pdf["book"].iloc[0])[["book", "week", "symbol", "w"]]
 
     kinds = dict(signals.dtypes)

@@ -51,7 +51,7 @@ def probabilities(labelled: DataFrame, first_out: str, least: int = 30, trees: i
     if sum(counts.values()) < least or len(counts) < len(CLASSES):
         return rows.select("week", F.lit(0.0).alias("p_RiskOff"), F.lit(1.0).alias("p_Neutral"), F.lit(0.0).alias("p_RiskOn"))
     for c in CLASSES:
-        model = GBTClassifier(featuresCol="features", labelCol="_y", probabilityCol="_p", predictionCol="_k", rawPredictionCol="_r", maxIter=trees, maxDepth=depth, seed=seed).fit(train.withColumn("_y", (F.col("label") == c).cast("double")))
-        rows = model.transform(rows).withColumn(f"p_{c}", vector_to_array("_p")[1]).drop("_p", "_k", "_r")
+        model = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed).fit(train.withColumn("_y", (F.col("label") == c).cast("double")))
+        rows = model.transform(rows).withColumn(f"p_{c}", vector_to_array("probability")[1]).drop("probability", "prediction", "rawPrediction")
     total = sum((F.col(f"p_{c}") for c in CLASSES[1:]), F.col(f"p_{CLASSES[0]}"))
     return rows.select("week", *((F.col(f"p_{c}") / total).alias(f"p_{c}") for c in CLASSES))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -141,10 +144,6 @@ def nearest(pairs: DataFrame, twin: float = 0.995) -> DataFrame:
 
 def quantile_points(series: DataFrame, value: str, order: str = "week") -> DataFrame:
     """Sorted values beside the normal quantiles at i / (n + 1) of the same mean and deviation."""
-    from statistics import NormalDist
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def inverse(p: pd.Series) -> pd.Series:
         return p.map(NormalDist().inv_cdf)

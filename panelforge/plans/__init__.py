@@ -1,6 +1,6 @@
 """The registered queries of the panel engine, and SQL for those that it can express."""
 
-from . import panel_queries
+from . import factor_queries, panel_queries
 
-QUERIES = {**panel_queries.QUERIES}
-ORACLE_SQL = {**panel_queries.SQL}
+QUERIES = {**panel_queries.QUERIES, **factor_queries.QUERIES}
+ORACLE_SQL = {**panel_queries.SQL, **factor_queries.SQL}
