@@ -14,6 +14,8 @@ doc_id are packed like others. Extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,30 +35,50 @@ class WordEncoder:
     """Encodes texts word by word, keeping the ids of words it has met.
 
     The tokenizer drops white space and never joins what stands on either side of it, so a text's ids are those of its
-    words in order; only ASCII white space is split here, other kinds are left to the tokenizer."""
+    words in order; only ASCII white space is split here, other kinds are left to the tokenizer. Words of ASCII and
+    Latin-1 letters, which its normaliser only lower-cases, are cut further as its pattern cuts them, so that "Word," and
+    "word" share a piece; other words go to it whole."""
 
-    def __init__(self, path: str, most_words: int = 400_000, longest: int = 64):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.most, self.longest = Tokenizer.from_file(path), {}, most_words, longest
+    #: Characters whose normal form is their lower case, and the tokenizer's own pattern over them.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def _encode(self, found: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)]
+    def __init__(self, path: str, most_words: int = 400_000, most_pieces: int = 600_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        for text in texts:
-            found = text.split()
+        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.most_words, self.most_pieces, self.longest = most_words, most_pieces, longest
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        cut = {}
+        for word in words:
+            text = word.decode()
+            cut[word] = self.PIECE.findall(text.lower()) if self.PLAIN.fullmatch(text) and "<|" not in text else [text]
+        if len(self.pieces) > self.most_pieces:
+            self.pieces.clear()
+        pieces = self.pieces
+        new = list({p for parts in cut.values() for p in parts if p not in pieces})
+        pieces.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return {word: b"".join([pieces[p] for p in parts]) for word, parts in cut.items()}
+
+    def __call__(self, texts: list[bytes], group: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; texts are looked at in groups of about so many bytes."""
+        k = 0
+        while k < len(texts):
+            lists, size = [], 0
+            while k < len(texts) and (not lists or size + len(texts[k]) <= group):
+                lists.append(texts[k].split())
+                size += len(texts[k])
+                k += 1
+            if len(self.known) > self.most_words:
+                self.known.clear()
             known = self.known
-            if new := [w for w in dict.fromkeys(found) if w not in known]:
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    new = list(dict.fromkeys(found))
-                own = dict(zip(new, self._encode(new)))
-                known.update((w, ids) for w, ids in own.items() if len(w) <= self.longest)
+            new = {w for found in lists for w in found if w not in known}
+            own = self._learn(list(new)) if new else {}
+            known.update((w, ids) for w, ids in own.items() if len(w) <= self.longest)
+            for found in lists:
                 yield b"".join([known[w] if w in known else own[w] for w in found])
-            else:
-                yield b"".join([known[w] for w in found])
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: int = 0) -> DataFrame:
