@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from panelforge.functions import leg_count
 from panelforge.operators import factors, graph, matrix, panel, portfolio, regime, rolling, search, stats, xsec
+from panelforge.session import materialize
 from panelforge.sources import table
 
 from .common import PANEL, r6, rd, returns, rounded, sorted_panel
@@ -462,9 +463,9 @@ def weights_fold(spark, d):
 @query()
 def ensemble_backtest(spark, d):
     """The flagship: three books' weights, their profits, causal tilted allocations, and the combined backtest."""
-    s = signals(spark, d)
-    held = portfolio.build_weights(s, portfolio.Rules())
-    ahead = returns(spark, d).select("week", "symbol", "fwd")
+    s = materialize(signals(spark, d), "signals")
+    held = materialize(portfolio.build_weights(s, portfolio.Rules()), "weights")  # the fold runs once; its weights are used four times
+    ahead = materialize(returns(spark, d).select("week", "symbol", "fwd"), "returns")
     net = portfolio.backtest(held, ahead, ["book"]).select("week", "book", "net")
     p = regime.labels(regime.features(factors.market_state(returns(spark, d), 1))).select("week", (F.col("label") == "RiskOff").cast("double").alias("off"), (F.col("label") == "RiskOn").cast("double").alias("on"))
     scored = portfolio.trailing_score(net).join(p, "week", "left")
@@ -477,4 +478,4 @@ def ensemble_backtest(spark, d):
 def candidate_search(spark, d):
     a = returns(spark, d)
     a, names = search.grid(a.join(factors.equal_weight_market(a), "week"), windows=(2, 4, 8, 12), risk_windows=(8, 12))
-    return search.screened(search.candidates(a, names))
+    return search.screened(materialize(search.candidates(a, names), "candidates"))

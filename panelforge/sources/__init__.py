@@ -16,10 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def markdown_universe(spark: SparkSession, path: str) -> DataFrame:
     """(cohort, rank, coin, symbol) from the pipe rows of a Markdown file, the cohort from the heading above; the first
     row of a symbol stays. Lines of one file are numbered within it; universes are small files."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     heading = F.regexp_extract("line", r"^#+\s*(.*\S)\s*$", 1)
     a = lines.withColumn("cohort", F.last(F.when(heading != "", heading), ignorenulls=True).over(W.orderBy("at")))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = a.filter(F.trim("line").startswith("|")).select("at", "cohort", cells.alias("c"))
     rows = rows.select("at", "cohort", F.col("c")[0].try_cast("int").alias("rank"), F.element_at("c", -2).alias("coin"), F.upper(F.element_at("c", -1)).alias("symbol")).filter("rank is not null")
     first = rows.withColumn("_r", F.row_number().over(W.partitionBy("symbol").orderBy("at"))).filter("_r = 1")
