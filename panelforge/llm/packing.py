@@ -31,6 +31,11 @@ from .common import materialize, small_batches, texts
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The tokenizer's byte-level alphabet, a fixed rule: visible Latin-1 bytes stand for themselves, the others are numbered from U+0100.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
 class WordEncoder:
     """Encodes texts word by word, keeping the ids of words it has met.
 
@@ -51,16 +56,23 @@ class WordEncoder:
         self.most_words, self.most_pieces, self.longest = most_words, most_pieces, longest
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        cut = {}
-        for word in words:
-            text = word.decode()
-            cut[word] = self.PIECE.findall(text.lower()) if self.PLAIN.fullmatch(text) and "<|" not in text else [text]
+        """The ids of new words. Plain pieces go straight to the tokenizer's model, in the alphabet of its byte-level step."""
         if len(self.pieces) > self.most_pieces:
             self.pieces.clear()
-        pieces = self.pieces
-        new = list({p for parts in cut.values() for p in parts if p not in pieces})
-        pieces.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return {word: b"".join([pieces[p] for p in parts]) for word, parts in cut.items()}
+        pieces, plain, cut, model, out = self.pieces, self.PLAIN.fullmatch, self.PIECE.findall, self.tokenizer.model.tokenize, {}
+        for word in words:
+            text = word.decode()
+            if plain(text) and "<|" not in text:
+                ids = b""
+                for piece in cut(text.lower()):
+                    if (found := pieces.get(piece)) is None:
+                        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+                        found = pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in model(mapped)])
+                    ids += found
+                out[word] = ids
+            else:
+                out[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[bytes], group: int = 1 << 20) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers; texts are looked at in groups of about so many bytes."""
