@@ -104,7 +104,7 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     starts = starts.filter(F.col("n") >= min_group)
     plain = starts.select(*keys, F.lit(0).alias("start"), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)), *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2).alias(f"c{i}{j}") for i, j in PAIRS))
     middle = starts.select(*keys, F.lit(1).alias("start"), *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)), *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-    params = _factor(plain.unionByName(middle))
+    params = materialize(_factor(plain.unionByName(middle)), "mcd")
     for _ in range(steps):
         bins = _distance(rows.join(params, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "start", "bin").agg(*_terms())
         nearer = W.partitionBy(*keys, "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -114,6 +114,7 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
         params = _factor(_moments(near, [*keys, "start"]).drop("n", *(f"s{i}" for i in range(DIMS)), *(f"p{i}{j}" for i, j in PAIRS)))
         params = materialize(params.join(edge, [*keys, "start"]), "mcd")
     best = params.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in params.columns if c not in keys)), F.struct("logdet", "start")).alias("best")).select(*keys, "best.*")
+    best = materialize(best, "mcd")
     # The h-subset's covariance is too small for its distances: scale it up (never down) to meet the chi-square quantile.
     own = _distance(rows.join(best, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     nearer = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
