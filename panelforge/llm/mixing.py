@@ -123,7 +123,7 @@ def keep_drawn(docs: DataFrame, share: float, seed: int = 17) -> DataFrame:
     Only the table of leaves is joined to the texts; Spark broadcasts it where its threshold allows."""
     drawn = mix(mixing_rows(docs, domain_of_source()), F.floor(F.sum("tokens") * share), target_weights(), 1, seed)
     last = materialize(drawn.withColumn("at", place(seed)).groupBy(*TREE).agg(F.max("at").alias("last")), "last-places")
-    keys = {"mix_lang": F.coalesce("lang", F.lit("")), "mix_source": F.coalesce("source", F.lit("")), "mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "mix_place": F.md5(F.concat_ws(":", F.lit(seed), F.lit(0), F.col("doc_id")).cast("binary"))}
-    last = last.select(*(F.col(c).alias(f"leaf_{c}") for c in TREE), "last")
-    same = [F.col(f"leaf_{c}") == F.col(f"mix_{c}") for c in TREE]
-    return docs.withColumns(keys).join(last, [*same, F.col("mix_place") <= F.col("last")], "left_semi").drop(*keys)
+    keys = {"__mix_lang": F.coalesce("lang", F.lit("")), "__mix_source": F.coalesce("source", F.lit("")), "__mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "__mix_place": F.md5(F.concat_ws(":", F.lit(seed), F.lit(0), F.col("doc_id")).cast("binary"))}
+    last = last.select(*(F.col(c).alias(f"__leaf_{c}") for c in TREE), F.col("last").alias("__leaf_last"))
+    same = [F.col(f"__leaf_{c}") == F.col(f"__mix_{c}") for c in TREE]
+    return docs.withColumns(keys).join(last, [*same, F.col("__mix_place") <= F.col("__leaf_last")], "left_semi").drop(*keys)

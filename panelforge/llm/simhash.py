@@ -193,5 +193,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, sample: i
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
     """The document with the smallest doc_id of each component, all columns as they are; rows that share a doc_id are one document."""
     found = near_duplicates(docs, shingle, reach)
-    first = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    first = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
