@@ -76,7 +76,7 @@ def _g(expr: str, n: int, least: int, skip: int = 0, x: str = "ret") -> str:
 
 @query(f"""
 WITH {PANEL} SELECT week, symbol, round({_g('sum(ln(1 + ret))', 4, 3, 1)} + 1e-8, 6) AS mom4, round({_g('sum(ln(1 + ret))', 12, 8, 1)} + 1e-8, 6) AS mom12,
-  round(exp({_g('sum(ln(1 + ret))', 2, 2)}) - 1, 6) AS mom2c, round({_g('avg(ret)', 4, 4)} / nullif({_g('stddev_samp(ret)', 4, 4)}, 0) + 1e-8, 4) AS sharpe4, round(ret / nullif({_g('stddev_samp(ret)', 4, 4)}, 0) + 1e-8, 4) AS rmom
+  round(exp({_g('sum(ln(1 + ret))', 2, 2)}) - 1 + 1e-8, 6) AS mom2c, round({_g('avg(ret)', 4, 4)} / nullif({_g('stddev_samp(ret)', 4, 4)}, 0) + 1e-8, 4) AS sharpe4, round(ret / nullif({_g('stddev_samp(ret)', 4, 4)}, 0) + 1e-8, 4) AS rmom
 FROM r""")
 def momentum(spark, d):
     a = sorted_panel(spark, d)
