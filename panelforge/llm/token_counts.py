@@ -42,7 +42,7 @@ def load_vocabulary(path: str):
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, data: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and crossing tokens of each section. ends: token ends, bounds: section starts and the end of the text, both in bytes."""
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     begins = data & 0xC0 != 0x80  # the first bytes of characters
     first = np.searchsorted(bounds, starts, "right") - 1
     last = np.searchsorted(bounds, ends - 1, "right") - 1
