@@ -26,7 +26,8 @@ from .common import RollingFiles, materialize, new_folder, shared_dir, small_bat
 
 #: The format's fixed strings.
 MAGIC, END, GAP = b"WARC/1.0\r\n", b"\r\n\r\n", b"\r\n\r\n"
-LONGEST_HEADER = 64 << 10
+#: What is read beyond a block for the header of its last record; where that ends later, more is read.
+USUAL_HEADER = 64 << 10
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
 
 
@@ -78,9 +79,23 @@ def write_archives(records: DataFrame, archive_bytes: int = 64 << 20) -> DataFra
     return materialize(records.mapInArrow(write, "path string, size long"), "archives")
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """Headers, start of the block and its length, if data has a record's header at ``at``."""
-    end = data.find(END, at, at + LONGEST_HEADER)
+def _header_end(file, data: bytes, start: int, at: int, size: int) -> tuple[bytes, int]:
+    """data (the file's bytes from ``start``), read on until the header at ``at`` ends in it, and that end (-1: it has none).
+
+    No header holds a second MAGIC, as line breaks in a url are encoded; so each byte is searched for one header only."""
+    while True:
+        other = data.find(MAGIC, at + 1)
+        end = data.find(END, at, other if other >= 0 else len(data))
+        if end >= 0 or other >= 0 or start + len(data) >= size:
+            return data, end
+        more = file.read_at(min(size - start - len(data), max(USUAL_HEADER, len(data) - at)), start + len(data))
+        if not more:
+            return data, -1
+        data += more
+
+
+def _parse(data: bytes, at: int, end: int) -> tuple[dict[str, str], int, int] | None:
+    """Headers, start of the block and its length, if data has a record's header from ``at`` to ``end``."""
     if end < 0 or not data.startswith(MAGIC, at):
         return None
     fields = dict(x.split(": ", 1) for x in data[at + len(MAGIC) : end].decode("utf-8", "replace").split("\r\n") if ": " in x)
@@ -97,12 +112,13 @@ def candidates(blocks: DataFrame, uri: str, block_bytes: int) -> DataFrame:
             for path, size, first in zip(*(batch[c].to_pylist() for c in ("path", "size", "first"))):
                 last, found = min(size, first + block_bytes), []
                 with fs.open_input_file(path) as file:
-                    data = file.read_at(min(size - first, block_bytes + LONGEST_HEADER), first)
-                at = data.find(MAGIC)
-                while 0 <= at < last - first:
-                    if parsed := _parse(data, at):
-                        found.append((first + at, first + parsed[1] + parsed[2] + len(GAP)))
-                    at = data.find(MAGIC, at + 1)
+                    data = file.read_at(min(size - first, block_bytes + USUAL_HEADER), first)
+                    at = data.find(MAGIC)
+                    while 0 <= at < last - first:
+                        data, end = _header_end(file, data, first, at, size)
+                        if parsed := _parse(data, at, end):
+                            found.append((first + at, first + parsed[1] + parsed[2] + len(GAP)))
+                        at = data.find(MAGIC, at + 1)
                 leaves: dict[int, int] = {}
                 for offset, successor in reversed(found):
                     leaves[offset] = successor if successor >= last else leaves.get(successor)
@@ -135,8 +151,11 @@ def read_records(entries: DataFrame, uri: str, block_bytes: int) -> DataFrame:
             for path, size, offset in zip(*(batch[c].to_pylist() for c in ("path", "size", "offset"))):
                 rows, start, last = [], offset, min(size, (offset // block_bytes + 1) * block_bytes)
                 with fs.open_input_file(path) as file:
-                    data = file.read_at(min(size - start, last - start + LONGEST_HEADER), start)
-                    while offset < last and (parsed := _parse(data, offset - start)):
+                    data = file.read_at(min(size - start, last - start + USUAL_HEADER), start)
+                    while offset < last:
+                        data, end = _header_end(file, data, start, offset - start, size)
+                        if not (parsed := _parse(data, offset - start, end)):
+                            break
                         fields, block, length = parsed
                         if block + length > len(data):  # the last record of the block reaches into later ones
                             data += file.read_at(block + length - len(data), start + len(data))

@@ -39,6 +39,15 @@ def test_candidates_hold_the_trap_that_the_chain_rejects(spark):
     assert [r.page_id for r in warc.read_archives(archives).collect()] == [5]
 
 
+def test_long_urls_do_not_end_the_chain(spark):
+    rows = [(1, "http://a", "one"), (2, "http://b/" + "x" * 100_000, "two"), (3, "http://c/" + " " * 70_000, TRAP), (4, "http://d", "four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(warc.plan_records(pages))
+    for block in (1000, 4 << 20):
+        got = warc.read_archives(archives, block).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(map(tuple, got), key=repr) == expected(rows)
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.plan_records(pages))).count() == 0
