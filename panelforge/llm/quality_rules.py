@@ -6,7 +6,8 @@ deterministic estimates and takes concentration steps; a step is one partial agg
 a group that holds a third of the rows is summed map-side like any other.
 
 Defined results: a null text counts as empty (no words, base_failed). Null lang or source form groups of their own.
-Groups with fewer than ``min_group`` passing rows keep what the fixed rules keep. Repeated rows are judged one by one.
+Groups with fewer than ``min_group`` passing rows are judged by the estimate of their language, and where that has as
+few, by the estimate of all passing rows. Repeated rows are judged one by one.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -92,7 +93,7 @@ def _terms() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS)]
 
 
-def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps: int = 3, min_group: int = 50) -> DataFrame:
+def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     """Centre m_i and Cholesky factor l_ij of each group (g_lang, g_source) of rows with x0 to x3.
 
     Two starts, all rows' moments and medians with quartile spreads, each take ``steps`` concentration steps towards the
@@ -101,7 +102,6 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     bin meets the chi-square quantile."""
     keys = ["g_lang", "g_source"]
     starts = rows.groupBy(*keys).agg(*_terms(), *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMS)))
-    starts = starts.filter(F.col("n") >= min_group)
     plain = starts.select(*keys, F.lit(0).alias("start"), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)), *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2).alias(f"c{i}{j}") for i, j in PAIRS))
     middle = starts.select(*keys, F.lit(1).alias("start"), *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)), *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
     params = materialize(_factor(plain.unionByName(middle)), "mcd")
@@ -122,12 +122,27 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     return best.join(edge, keys).withColumn("scale", F.greatest(F.lit(1.0), F.col("reach") / CHI2_75)).select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for j, i in PAIRS), "scale")
 
 
+def group_parameters(stats: DataFrame, min_group: int) -> DataFrame:
+    """The estimate by which each (g_lang, g_source) is judged: its own, or where fewer than ``min_group`` of its rows pass
+    that of its language, or where the language has as few that of all rows, however many they are."""
+    keys, level = ["g_lang", "g_source"], lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
+    own, of_lang, of_all = level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), F.lit("\1")), level(F.lit("\1"), F.lit("\1"))
+    groups = stats.groupBy(*keys).agg(F.count_if(~F.col("base_failed")).alias("n")).withColumn("of_lang", F.sum("n").over(W.partitionBy("g_lang")))
+    chosen = F.when(F.col("n") >= min_group, own).when(F.col("of_lang") >= min_group, of_lang).otherwise(of_all)
+    groups = materialize(groups.select(*keys, chosen.alias("by")), "groups")
+    # A row counts in its group's own estimate and in those of its language and of all, as far as any group needs them.
+    counts_in = groups.select(*keys, F.explode(F.array(own, of_lang, of_all)).alias("by")).join(groups.select("by").distinct(), "by", "left_semi")
+    counts_in = materialize(counts_in, "estimates")
+    rows = stats.filter(~F.col("base_failed")).join(counts_in, keys).select("by.*", *(f"x{i}" for i in range(DIMS)))
+    params = minimum_covariance_determinant(materialize(rows, "vectors"))
+    return groups.join(params.withColumn("by", F.struct(*keys)).drop(*keys), "by").drop("by")
+
+
 def quality_rules(docs: DataFrame, cutoff: float = CHI2_9999, min_group: int = 50) -> DataFrame:
-    """Statistics, base_failed and kept of each document, with the squared robust distance d2 (null: no verdict by MCD)."""
+    """Statistics, base_failed and kept of each document, with the squared robust distance d2 (null: no document passed the fixed rules)."""
     named = docs.withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
     stats = materialize(vectors(document_statistics(named, "g_lang", "g_source")).withColumn("base_failed", fixed_rules()), "statistics")
-    passed = stats.filter(~F.col("base_failed"))
-    params = materialize(minimum_covariance_determinant(passed, min_group=min_group), "mcd")
+    params = materialize(group_parameters(stats, min_group), "mcd")
     judged = _distance(stats.join(params, ["g_lang", "g_source"], "left")).withColumn("d2", F.col("d2") / F.col("scale"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

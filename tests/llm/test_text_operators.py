@@ -158,6 +158,20 @@ def test_outliers_are_rejected_and_no_others(spark):
     assert all(got[k] for k in range(100, 300)) and not any(got[1000 + k] for k in range(20))
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    random = np.random.default_rng(5)
+    clean = lambda k: " ".join("abcdefghij"[: random.integers(3, 8)] + str(100000 + k * 100 + j) for j in range(100))
+    outlier = lambda k: " ".join(f"###{k * 1000 + j}|||" for j in range(100))
+    places = [("en", "large")] * 120 + [("en", "small")] * 6 + [("de", "x")] * 5 + [(None, None)]
+    rows = [(k, clean(k), *p) for k, p in enumerate(places)] + [(1000 + k, outlier(100 + k), *p) for k, p in enumerate([("en", "small"), ("de", "x"), ("fr", "alone"), ("en", None)])]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, schema)).collect()}
+    assert all(r.d2 is not None and r.kept == (k < 1000) for k, r in got.items()) and len(got) == len(rows)
+    few = [r for r in rows if 100 <= r[0] < 132 or r[0] == 1000]  # fewer than 50 in all
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(few, schema)).collect()}
+    assert all(kept == (k < 1000) for k, kept in got.items())
+
+
 # 5. SimHash
 
 
