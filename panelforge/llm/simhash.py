@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, texts
 from .components import connected_components
+from .near_copies import keyed_rows, one_of_each
 
 #: Points of a pair of sides that are compared outright.
 LEAF_PAIRS = 1 << 20
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, sample: i
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns as they are; rows that share a doc_id are one document."""
-    found = near_duplicates(docs, shingle, reach)
-    first = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each component, all columns as they are; rows with one doc_id, or none, and different texts are told apart."""
+    keyed = keyed_rows(docs)
+    found = near_duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), shingle, reach)
+    return one_of_each(keyed, found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("component")))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from panelforge.llm import near_copies
+from panelforge.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -49,6 +49,16 @@ def test_stage_equals_brute_force(spark):
     assert got == brute_force(rows)
 
 
+def test_rows_with_null_or_repeated_ids_and_different_texts_stay(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[2]), (9, texts[2]), (None, texts[2]), (3, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5])], key=repr)
+    for got in (corpus_pipeline.near_duplicates(spark, docs, ""), simhash.keep_one_of_each(docs)):
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_candidates_miss_next_to_nothing_at_the_threshold():
     rng = np.random.default_rng(6)
     missed = 0
