@@ -10,8 +10,9 @@ reference is an index by anchor whose blocks are hash partitions, and a document
 2. At factor boundaries, where an anchor has several different phrases, the windows within those phrases are looked up
    one by one. Each different phrase counts once, for its smallest document.
 
-Both look-ups are aggregations by 128-bit hashes with a partial minimum, so a phrase that a third of all documents share
-is one row a task. Nothing is verified pair by pair and no pair of documents is ever formed.
+Both look-ups are aggregations by XXH3 hashes of 128 bits of the contents, with a partial minimum, so a phrase that a
+third of all documents share is one row a task. The hash stands for the content: no pair of documents is ever formed.
+Anchors only group phrases; different grams with one anchor hash cost time and change no result.
 
 Defined results: a null text is empty: no words, and the digest of the empty string. Texts shorter than a window keep
 all. Repeated rows (equal doc_id and text) get equal results and do not remove each other. Rows with a null doc_id
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, texts
-from .hashing import BASE, SpanHash, text_groups
+from .hashing import SpanHash, content_hashes, text_groups
 
 GRAM = 10
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-PARSED = "doc_id long, key long, n_words long, whole binary, anchors array<long>, phrases array<long>, starts array<int>, sizes array<int>"
+PARSED = "doc_id long, key long, n_words long, whole binary, anchors array<long>, phrases array<binary>, starts array<int>, sizes array<int>"
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,23 +58,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, window: int, hashers: tuple[SpanHash, SpanHash]) -> tuple[np.ndarray, ...]:
-    """For each phrase: its text, anchor, hash, first word (of the group) and number of windows."""
+def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, window: int, hasher: SpanHash) -> tuple[np.ndarray, ...]:
+    """For each phrase: its text, anchor, first word (of the group), number of windows, and its span of bytes."""
     n = len(starts) - window + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 5
-    grams = hashers[0](data, starts[: len(starts) - GRAM + 1], ends[GRAM - 1 :])
+        return (np.zeros(0, np.int64),) * 6
+    grams = hasher(data, starts[: len(starts) - GRAM + 1], ends[GRAM - 1 :])
     anchor = sliding_min(grams, window - GRAM + 1)
     whole = np.flatnonzero(text[:n] == text[window - 1 :])
     if not len(whole):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     new = np.ones(len(whole), bool)
     new[1:] = (whole[1:] != whole[:-1] + 1) | (anchor[whole[1:]] != anchor[whole[:-1]]) | (text[whole[1:]] != text[whole[:-1]])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(whole)))
     first = whole[at]
-    hashes = hashers[1](data, starts[first], ends[first + size - 1 + window - 1])
-    return text[first], anchor[first].view(np.int64), hashes.view(np.int64), first, size
+    return text[first], anchor[first].view(np.int64), first, size, starts[first], ends[first + size - 1 + window - 1]
 
 
 def parse(docs: DataFrame, window: int) -> DataFrame:
@@ -81,9 +81,10 @@ def parse(docs: DataFrame, window: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = SpanHash(), SpanHash(BASE * 31)
+        hasher = SpanHash()
         for batch in batches:
             parts: list[tuple] = []
+            contents: list[bytes] = []
             digests, n_words = [], np.zeros(len(batch), np.int64)
             for row, data, offsets in text_groups(batch["text"]):
                 flat, starts, ends, text = word_spans(data, offsets)
@@ -93,23 +94,23 @@ def parse(docs: DataFrame, window: int) -> DataFrame:
                 base = np.concatenate([[0], np.cumsum(counts)])
                 raw = flat.tobytes()
                 digests += [hashlib.sha256(raw[starts[a] : ends[b - 1]] if b > a else b"").digest() for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
-                who, anchor, phrase, first, size = phrases(flat, starts, ends, text, window, hashers)
-                parts.append((who + row, anchor, phrase, (first - base[who]).astype(np.int32), size.astype(np.int32)))
+                who, anchor, first, size, a, b = phrases(flat, starts, ends, text, window, hasher)
+                contents += content_hashes(raw, a, b)
+                parts.append((who + row, anchor, (first - base[who]).astype(np.int32), size.astype(np.int32)))
             if parts:
-                who, *columns = (np.concatenate(c) for c in zip(*parts))
+                who, anchor, first, size = (np.concatenate(c) for c in zip(*parts))
                 cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(batch)))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]
+                lists = [pa.ListArray.from_arrays(cuts, c) for c in (pa.array(anchor), pa.array(contents, pa.binary()), pa.array(first), pa.array(size))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(n_words), pa.array(digests, pa.binary()), *lists], [x.split(" ")[0] for x in PARSED.split(", ")])
 
     return docs.mapInArrow(run, PARSED)
 
 
 def window_hashes(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, hash, doc_id, key, start) of each window in the listed phrases of rows (doc_id, key, text, marks)."""
-    schema = "anchor long, hash long, doc_id long, key long, start int"
+    """(hash, doc_id, key, start) of each window in the listed phrases of rows (doc_id, key, text, marks)."""
+    schema = "hash binary, doc_id long, key long, start int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHash(BASE * 31)
         for batch in batches:
             for k, marks in enumerate(batch["marks"].to_pylist()):
                 data = np.frombuffer(batch["text"][k].as_buffer(), np.uint8)
@@ -117,10 +118,9 @@ def window_hashes(rows: DataFrame, window: int) -> DataFrame:
                 size = np.array([m["size"] for m in marks])
                 first = np.repeat(np.array([m["start"] for m in marks]), size)
                 at = first + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
-                hashes = hasher(flat, starts[at], ends[at + window - 1])
-                anchor = np.repeat(np.array([m["anchor"] for m in marks], np.int64), size)
+                hashes = content_hashes(flat.tobytes(), starts[at], ends[at + window - 1])
                 same = lambda name: pa.array(np.full(len(at), batch[name][k].as_py(), np.int64))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(hashes.view(np.int64)), same("doc_id"), same("key"), pa.array(at.astype(np.int32))], [x.split(" ")[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), same("doc_id"), same("key"), pa.array(at.astype(np.int32))], [x.split(" ")[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
 
@@ -153,18 +153,18 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataF
     found = found.select("doc_id", "key", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"), F.col("p.starts").alias("start"), F.col("p.sizes").alias("size"))
     index = materialize(found.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrases")
     # Anchors with more than one phrase: there, windows may recur though phrases don't.
-    edges = index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b")).filter("a < b").select("anchor")
+    edges = index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     edges = materialize(edges, "edges").withColumn("edge", F.lit(True))
     marked = index.join(edges, "anchor", "left").filter("edge or least < most")
     marked = materialize(marked, "marked")
     hits = found.join(marked, ["anchor", "phrase"]).filter("doc_id > least or edge")
-    hits = materialize(hits.select("doc_id", "key", "anchor", "start", "size", (F.col("doc_id") > F.col("least")).alias("copied")), "hits")
+    hits = materialize(hits.select("doc_id", "key", "start", "size", (F.col("doc_id") > F.col("least")).alias("copied")), "hits")
     factors = hits.filter("copied").select("doc_id", "key", "start", (F.col("size") + window - 1).alias("size"))
 
-    marks = hits.filter("not copied").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("marks"))
+    marks = hits.filter("not copied").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("marks"))
     windows = materialize(window_hashes(keyed.join(marks, ["doc_id", "key"]).select("doc_id", "key", "text", "marks"), window), "windows")
-    again = materialize(windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "again")
-    at_edges = windows.join(again, ["anchor", "hash"]).filter("doc_id > least").select("doc_id", "key", "start", F.lit(window).alias("size"))
+    again = materialize(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "again")
+    at_edges = windows.join(again, "hash").filter("doc_id > least").select("doc_id", "key", "start", F.lit(window).alias("size"))
     return keyed, parsed, factors.unionByName(at_edges)
 
 
