@@ -3,10 +3,11 @@
 Whole texts are encoded once, in tasks; what remains of a document is one row a piece. The driver sees the histogram of
 piece lengths alone (at most ``capacity`` numbers). Over it, a configuration LP (a variable for each way to fill a
 sequence) is solved by multiplicative weights: lengths have prices, a knapsack dynamic program finds the fillings of
-greatest price, their variables grow, and the prices of what they cover shrink exponentially. Variables are rounded
-down as they grow, and the few pieces left over are packed best-fit decreasing. The plan, runs of equal-length pieces by
+greatest price, their variables grow, and the prices of what they cover shrink exponentially. Variables are rounded and
+the few pieces left over are packed best-fit decreasing (linear_program.py). The plan, runs of equal-length pieces by
 rank, has a size bounded by the histogram's, and each piece finds its place by its rank among pieces of its length.
-Ranks are counted in hash buckets of each length, so that a length which many copies share is dealt over many tasks.
+Ranks are counted in hash buckets, of which each length has as many as its pieces ask for, so that a length which many
+copies share is dealt over many tasks and rare lengths cost a row each.
 
 Defined results: null and empty texts are the closing id alone. Repeated rows are packed one by one. Rows with a null
 doc_id are packed like others. Extra columns are ignored; an empty table gives an empty result.
@@ -22,13 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialize, small_batches, texts
+from .linear_program import configurations
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces of one length in a bucket, on average, at most.
+BUCKET = 4000
 
 
 #: The tokenizer's byte-level alphabet, a fixed rule: visible Latin-1 bytes stand for themselves, the others are numbered from U+0100.
@@ -94,98 +99,23 @@ class WordEncoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: int = 0) -> DataFrame:
-    """The pieces of each document: its ids and the closing id, cut every ``capacity``."""
+    """The pieces of each document: its ids and the closing id, cut every ``capacity``; and a number of each row that no other has."""
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, names = WordEncoder(vocabulary), np.array([closing], "<u4").tobytes(), [x.split(" ")[0] for x in PIECES.split(", ")]
+        encoder, end, names = WordEncoder(vocabulary), np.array([closing], "<u4").tobytes(), [*(x.split(" ")[0] for x in PIECES.split(", ")), "row"]
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder([x.as_buffer().to_pybytes() for x in batch["text"]])):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
-
-    return texts(docs).mapInArrow(cut, PIECES)
-
-
-class _Knapsack:
-    """The fillings of greatest price for every capacity up to ``capacity``, with at most left[s] pieces of length s."""
-
-    def __init__(self, price: np.ndarray, left: np.ndarray, capacity: int):
-        value, self.takes, chosen = np.zeros(capacity + 1), [], []
-        for s in np.flatnonzero(left[: capacity + 1]).tolist():
-            most, k = min(int(left[s]), capacity // s), 1
-            while most > 0:
-                k = min(k, most)
-                size = s * k
-                better = value[: capacity + 1 - size] + price[s] * k
-                take = np.zeros(capacity + 1, bool)
-                np.greater(better, value[size:] + 1e-12, out=take[size:])
-                np.maximum(value[size:], better, out=value[size:])
-                self.takes.append((s, k))
-                chosen.append(take)
-                most, k = most - k, 2 * k
-        self.value, self.chosen = value, np.array(chosen).reshape(len(chosen), capacity + 1)
-
-    def filling(self, capacity: int) -> dict[int, int]:
-        found, row = defaultdict(int), len(self.takes)
-        while row and (at := np.flatnonzero(self.chosen[:row, capacity])).size:
-            row = int(at[-1])
-            s, k = self.takes[row]
-            found[s] += k
-            capacity -= s * k
-        return found
-
-
-def configurations(counts: np.ndarray, capacity: int, epsilon: float = 0.25, columns: int = 48, few: int = 1500, most_rounds: int = 400) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """(filling, how many sequences) that cover the counts of pieces by length, and the LP's lower bound on sequences."""
-    left, total = counts.astype(np.int64).copy(), np.maximum(1, counts)
-    price = np.arange(len(counts)) / capacity * (1 + 0.02 * np.arange(len(counts)) / capacity)
-    out, bound = [], 0.0
-    for _ in range(most_rounds):
-        if left.sum() <= few:
-            break
-        pricing = _Knapsack(price, left, capacity)
-        if not bound:
-            bound = float(counts @ price[: len(counts)]) / pricing.value[capacity]  # prices over the dearest filling are a dual solution
-        grown = 0
-        # A column for each of the longest lengths left: it, and the dearest filling of the rest of its sequence.
-        for s in np.flatnonzero(left)[::-1][:columns].tolist():
-            if not left[s]:
-                continue
-            filling = pricing.filling(capacity - s)
-            filling[s] += 1
-            fits = min(int(left[t]) // a for t, a in filling.items())
-            if fits:
-                m = max(1, fits // 2) if fits > 8 else fits
-                out.append((dict(filling), m))
-                grown += m
-                for t, a in filling.items():
-                    left[t] -= a * m
-                    price[t] *= np.exp(-epsilon * a * m / total[t])
-        if not grown:
-            break
-    # Best-fit decreasing for what rounding left.
-    rooms: list[list] = []
-    by_room = defaultdict(list)
-    for s in range(capacity, 0, -1):
-        for n in range(int(left[s]) if len(left) > s else 0):
-            room = next((r for r in range(s, capacity + 1) if by_room[r]), None)
-            if room is None:
-                if s * 2 > capacity or capacity % s or left[s] - n < capacity // s:
-                    rooms.append([defaultdict(int, {s: 1}), capacity - s])
-                    by_room[capacity - s].append(rooms[-1])
-                    continue
-                rooms.append([defaultdict(int), capacity])
-                by_room[room := capacity].append(rooms[-1])
-            found = by_room[room].pop()
-            found[0][s] += 1
-            found[1] -= s
-            by_room[found[1]].append(found)
-    return out + [(dict(x[0]), 1) for x in rooms], bound
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), row))
+                    row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names)
+
+    return texts(docs).mapInArrow(cut, f"{PIECES}, row long")
 
 
 def runs(configs: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -207,17 +137,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048) -
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    spark = docs.sparkSession
     rows = materialize(pieces(docs, vocabulary, capacity), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in rows.groupBy("length").count().collect():
         counts[length] = n
     plan = runs(configurations(counts, capacity)[0])
 
-    buckets = max(32, int(counts.sum()) // 4000)
-    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = spark.createDataFrame([(length, -(-int(counts[length]) // BUCKET)) for length in np.flatnonzero(counts).tolist()], "length long, buckets int")
+    bucketed = rows.join(F.broadcast(spread), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))  # at most a row a length
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row")) - 1
     ranked = bucketed.withColumn("own", own).join(materialize(before, "ranks"), ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
