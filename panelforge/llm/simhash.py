@@ -1,11 +1,15 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a Hamming distance by vantage-point trees.
 
-Equal fingerprints are one point. The upper levels of one vantage-point tree, fitted on a bounded sample of points, deal
-all points to shards: a point goes to the side of each vantage point on which it lies, and a copy goes as a query to
-every later shard that its ball overlaps, by the triangle inequality. Within a shard a tree is built over its points
-and walked by points and queries together. Every pair within the distance meets in exactly one shard. A shard returns a
-spanning forest of its links, not the pairs, so a large group of near copies costs a row each; forests are merged by
-connected components over shard roots.
+Equal fingerprints are one point. Over whole fingerprints half of all points lie within two bits of a sphere that halves
+them, so copies of boundary points would grow with every level. Fingerprints are therefore cut into blocks of bits, one
+more than the reach: of two that differ in at most ``reach`` bits some block is equal, in general some block differs in
+at most ``reach // blocks``. Each block has a vantage-point tree over its own Hamming distance. Its upper levels, fitted
+on a bounded sample, deal all points to shards: a point goes to the side of each vantage point on which it lies, and as a
+query to every later shard that its ball overlaps by the triangle inequality (with as many blocks as by default the ball
+is the point itself and overlaps none). Every pair within the distance meets in a shard of some block; rows are the points
+times the blocks, however deep the trees are. Within a shard a tree over whole fingerprints is walked by points and
+queries together. A shard returns a spanning forest of its links, not the pairs, so a large group of near copies costs a
+row each; forests are merged by connected components over shard roots.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other. Repeated rows keep one
 fingerprint and component. Rows with a null doc_id keep a null component_id unless another document shares it. Extra
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, texts
 from .components import connected_components
+from .hashing import mix
 from .near_copies import keyed_rows, one_of_each
 
 #: Points of a pair of sides that are compared outright.
@@ -65,43 +70,54 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def fit_tree(sample: np.ndarray, depth: int) -> list[tuple[np.uint64, int]]:
-    """A vantage point and radius for each inner node of a complete binary tree, in heap order.
-
-    The vantage point of a node is, of eight candidates, the one whose median split has the fewest sample points within
-    the linking distance of its sphere."""
-    tree: list[tuple[np.uint64, int]] = []
-    levels = [sample]
-    for _ in range(depth):
-        below = []
-        for points in levels:
-            best = (np.inf, np.uint64(0), 32)
-            for v in points[:: max(1, len(points) // 8)][:8]:
-                d = distance(points, v)
-                radius = int(np.median(d))
-                best = min(best, (float(np.mean(np.abs(d - radius) <= 2)), v, radius), key=lambda x: x[0])
-            inside = distance(points, best[1]) <= best[2]
-            tree.append(best[1:])
-            below += [points[inside], points[~inside]]
-        levels = below
-    return tree
-
-
-def deal(fps: np.ndarray, tree: list[tuple[np.uint64, int]], depth: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bit_blocks(blocks: int) -> np.ndarray:
+    """Masks that cut 64 bits into so many blocks."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    return np.array([(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])], np.uint64)
+
+
+def fit_levels(sample: np.ndarray, depth: int, candidates: int = 16) -> list[tuple[np.uint64, int]]:
+    """A vantage point and radius for each level of a complete binary tree over the (masked) sample.
+
+    Of the candidates, spread over the sample, the one is taken whose sphere comes nearest to halving the sample and is
+    least correlated with the spheres above it, so that shards have like sizes."""
+    levels: list[tuple[np.uint64, int]] = []
+    above = np.zeros((0, len(sample)), np.float32)
+    for level in range(depth):
+        best = (np.inf, np.uint64(0), 0)
+        for k in range(candidates):
+            v = sample[(level * candidates + k) * 7919 % len(sample)]
+            d = distance(sample, v).astype(np.int64)
+            for radius in {int(np.median(d)), int(np.median(d)) - 1}:
+                side = np.where(d > radius, np.float32(1), np.float32(-1))
+                best = min(best, (float(((above @ side / len(side)) ** 2).sum() + side.mean() ** 2), v, radius), key=lambda x: x[0])
+        levels.append(best[1:])
+        above = np.vstack([above, np.where(distance(sample, best[1]) > best[2], np.float32(1), np.float32(-1))])
+    return levels
+
+
+def deal(fps: np.ndarray, levels: list[tuple[np.uint64, int]], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (which point, shard, is query): each point at home, and as a query in later shards that its ball overlaps."""
-    who, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
-    for _ in range(depth):
-        v, radius = np.array([tree[k][0] for k in range(len(tree))], np.uint64)[node], np.array([t[1] for t in tree])[node]
+    who, shard, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+    for v, radius in levels:
         d = distance(fps[who], v).astype(np.int64)
-        inside, near_in, near_out = d <= radius, d <= radius + reach, d > radius - reach
-        who, home, node = np.concatenate([who[near_in], who[near_out]]), np.concatenate([(home & inside)[near_in], (home & ~inside)[near_out]]), np.concatenate([2 * node[near_in] + 1, 2 * node[near_out] + 2])
-    shard = node - ((1 << depth) - 1)
+        inside = d <= radius
+        low, high = d <= radius + reach, d > radius - reach
+        if not reach:
+            shard = shard * 2 + ~inside
+            continue
+        who, home, shard = np.concatenate([who[low], who[high]]), np.concatenate([(home & inside)[low], (home & ~inside)[high]]), np.concatenate([2 * shard[low], 2 * shard[high] + 1])
     own = np.zeros(len(fps), np.int64)
     own[who[home]] = shard[home]
     later = shard >= own[who]
     return who[later], shard[later], ~home[later]
 
 
+def shard_of(leaf: np.ndarray, depth: int) -> np.ndarray:
+    """One of 2**depth shards for each leaf."""
+    return (mix(leaf.astype(np.uint64)) >> np.uint64(1) & np.uint64((1 << depth) - 1)).astype(np.int64)
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -112,8 +128,18 @@ class _Forest:
             k = self.up[k]
         return k
 
+    def roots(self) -> np.ndarray:
+        """The root of every member; also shortens all paths."""
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        return self.up
+
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
+        """Links a[k] and b[k]; pairs of roots that recur are linked once."""
+        up = self.roots()
+        a, b = up[a], up[b]
+        pairs = np.unique(np.minimum(a, b) * len(up) + np.maximum(a, b))
+        for x, y in zip((pairs // len(up)).tolist(), (pairs % len(up)).tolist()):
             x, y = self.root(x), self.root(y)
             self.up[max(x, y)] = min(x, y)
 
@@ -150,7 +176,7 @@ def link_shard(fps: np.ndarray, query: np.ndarray, reach: int) -> np.ndarray:
             compare(points, others)  # too dense to split
         else:
             stack += [inner, outer]
-    return np.array([forest.root(k) for k in range(len(fps))], np.int64)
+    return forest.roots()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, sample: int = 16384, shard_points: int = 2000) -> DataFrame:
@@ -159,19 +185,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, sample: i
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     n = points.count()
-    depth = int(np.clip(np.ceil(np.log2(max(1, n) / shard_points)), 0, 12))
+    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_points))))
     chosen = points.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect() if depth else []
-    tree = fit_tree(np.array([r["fp"] for r in chosen], np.int64).view(np.uint64), depth)
+    chosen = np.array([r["fp"] for r in chosen], np.int64).view(np.uint64)
+    masks = bit_blocks(reach + 1)
+    # Leaves differ in size; a shard is some 64 leaves, so that shards don't.
+    trees = [fit_levels(chosen & mask, depth + 6 if depth else 0) for mask in masks]
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch["fp"].to_numpy()
-            who, shard, query = deal(fps.view(np.uint64), tree, depth, reach)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[who]), pa.array(query)], ["shard", "fp", "query"])
+            for k, mask in enumerate(masks):
+                who, leaf, query = deal(fps.view(np.uint64) & mask, trees[k], reach // len(masks))
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(leaf, depth) * len(masks) + k), pa.array(fps[who]), pa.array(query)], ["shard", "fp", "query"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(pdf["fp"].to_numpy())
         pdf = pdf.sort_values("fp")
+        fps = pdf["fp"].to_numpy()
         roots = link_shard(fps.view(np.uint64), pdf["query"].to_numpy(), reach)
         linked = np.bincount(roots, minlength=len(roots))[roots] > 1
         return pd.DataFrame({"fp": fps[linked], "root": fps[roots[linked]]})
