@@ -107,6 +107,7 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     params = materialize(_factor(plain.unionByName(middle)), "mcd")
     for _ in range(steps):
         bins = _distance(rows.join(params, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "start", "bin").agg(*_terms())
+        bins = materialize(bins, "bins")  # else the windows' keys would deal the partial sums, and a hot group's would meet in one task
         nearer = W.partitionBy(*keys, "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
         everyone = W.partitionBy(*keys, "start")
         near = bins.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).withColumn("all", F.sum("n").over(everyone)).filter(F.col("before") < F.ceil(share * F.col("all")))
@@ -117,6 +118,7 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     best = materialize(best, "mcd")
     # The h-subset's covariance is too small for its distances: scale it up (never down) to meet the chi-square quantile.
     own = _distance(rows.join(best, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    own = materialize(own, "bins")
     nearer = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     edge = own.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy(*keys))).filter(F.col("before") < F.ceil(share * F.col("all"))).groupBy(*keys).agg(F.exp((F.max("bin") + 1) / 32).alias("reach"))
     return best.join(edge, keys).withColumn("scale", F.greatest(F.lit(1.0), F.col("reach") / CHI2_75)).select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for j, i in PAIRS), "scale")
