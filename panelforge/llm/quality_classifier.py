@@ -4,10 +4,12 @@ A word is a run of letters, of digits or of other visible characters. Words and
 to 2**18 weights; a document's score is the logistic function of the sparse dot product of its counts, divided by the
 square root of their number, with the weights. Only the text is an input.
 
-The model is fitted on the ``sample`` labelled documents that come first by a hash of doc_id, a documented bound; their
-texts reach the driver, every document is scored. Defined results: null and empty texts score by the intercept alone;
-without any labels scores are 0.5. Repeated rows get equal scores, repeated labels count again, labels without a quality
-are ignored. Extra columns are ignored; an empty table gives an empty result.
+The model is fitted on the labelled documents that come first by a hash of doc_id, at most ``sample`` of them and at most
+``most_features`` indices of weights in all, two documented bounds; tasks count the features, so no text reaches the
+driver. Every document is scored. Defined results: null and empty texts score by the intercept alone; without any labels
+scores are 0.5. Of rows that share a labelled doc_id the least text is learnt. Repeated rows get equal scores, repeated
+labels count again, labels without a quality are ignored. A null doc_id is not held out. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import small_batches, texts
+from .common import materialize, small_batches, texts
 from .hashing import SpanHash, mix, text_groups
 
 BITS = 18
@@ -67,26 +70,44 @@ class FollowTheRegularisedLeader:
         self.n[at] += g * g
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 3, seed: int = 11) -> np.ndarray:
-    """Weights from (text, label) rows."""
-    model, hasher, random = FollowTheRegularisedLeader(), SpanHash(), np.random.default_rng(seed)
-    examples = []
-    for text, y in rows:
-        data = np.frombuffer(text.encode(), np.uint8)
-        at, counts = np.unique(features(data, np.array([0, len(data)]), hasher)[0], return_counts=True)
-        examples.append((np.append(at, 1 << BITS), np.append(counts / np.sqrt(max(1, counts.sum())), 1.0), y))
+Example = tuple[np.ndarray, np.ndarray, int]
+
+
+def fit(examples: list[Example], epochs: int = 3, seed: int = 11) -> np.ndarray:
+    """Weights from examples (distinct indices of weights, their counts, label)."""
+    model, random = FollowTheRegularisedLeader(), np.random.default_rng(seed)
+    made = [(np.append(at, 1 << BITS), np.append(n / np.sqrt(max(1, n.sum())), 1.0), y) for at, n, y in examples]
     for _ in range(epochs):
-        for k in random.permutation(len(examples)):
-            model.learn(*examples[k])
+        for k in random.permutation(len(made)):
+            model.learn(*made[k])
     return model.weights(slice(None)).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[str, int]]:
-    """The first ``sample`` labelled rows by a hash, none of the held-out fold; the labels joined are as few."""
+def counted(text: bytes, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices of weights of a text and how often each occurs."""
+    data = np.frombuffer(text, np.uint8)
+    at, n = np.unique(features(data, np.array([0, len(data)]), hasher)[0], return_counts=True)
+    return at.astype(np.int32), n.astype(np.int32)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, most_features: int) -> list[Example]:
+    """The first labelled rows by a hash, none of the held-out fold, as counts of features; the labels joined are as few."""
     chosen = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(rows)]
+    chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id", "y").limit(sample)
+    found = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for batch in batches:
+            made = [counted(x.as_buffer().to_pybytes(), hasher) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(a) for a, _ in made], pa.int64()), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary())], ["doc_id", "size", "at", "n"])
+
+    small_batches(docs.sparkSession)
+    made = materialize(found.mapInArrow(count, "doc_id long, size long, at binary, n binary"), "features")
+    rows = made.join(F.broadcast(chosen), "doc_id")  # both sides have at most ``sample`` rows
+    upto = F.sum("size").over(W.orderBy("place", "doc_id", "y").rowsBetween(W.unboundedPreceding, 0))
+    taken = made.join(rows.withColumn("upto", upto).filter(F.col("upto") <= most_features).select("doc_id", "y"), "doc_id").orderBy("doc_id", "y").toArrow()
+    return [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32), y.as_py()) for a, n, y in zip(taken["at"], taken["n"], taken["y"])]
 
 
 def probabilities(column: pa.StringArray, weights: np.ndarray, hasher: SpanHash) -> np.ndarray:
@@ -109,17 +130,17 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
             p = probabilities(batch["text"], weights, hasher)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    fold = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     return texts(docs).select("doc_id", fold, "text").mapInArrow(scores, SCORES)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
-    return score(docs, fit(training_rows(docs, labels, sample)))
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_features: int = 6_000_000) -> DataFrame:
+    return score(docs, fit(training_rows(docs, labels, sample, most_features)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000, most_features: int = 6_000_000) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, all columns as they are."""
-    weights = fit(training_rows(docs, labels, sample))
+    weights = fit(training_rows(docs, labels, sample, most_features))
     small_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
