@@ -1,10 +1,11 @@
 """Personal data: exact patterns for four kinds, and spans that a character-level BiLSTM-CRF adds to them.
 
-The patterns' spans always stay. The tagger reads overlapping windows of a text; half a window of overlap means that
-every span up to half a window long lies inside some window. Windows are reconciled over the whole text: spans that
-touch a window's edge give way to the neighbour's view of them, equal spans are one, and of spans that overlap the
-longer stays, then the leftmost. A tagged span counts only if it holds a digit or an at sign and fits its kind (digits,
-octets, checksum); so windows without either character need no decoding, and the result is the same as with them.
+The patterns' spans always stay. The tagger reads windows of a text that overlap by half. They are reconciled over the
+whole text: each place takes its tag from the window in whose middle half it lies, the tags of all places form one
+sequence, and spans are read from that, however many windows they cross. Those that overlap a pattern's span are left
+out. Where a span is and of which kind is the tagger's decision; only numbers are checked (how many digits, their
+checksum, octets), and that an address has one at sign and no white space. So windows that hold neither a digit nor a
+place of a word with an at sign need no decoding: they are outside.
 
 Defined results: a null text is empty and has no spans. Positions are code points, ends exclusive. Repeated rows give
 repeated rows. Extra columns are ignored; an empty table gives an empty result.
@@ -76,14 +77,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """Whether a tagged span may stand: forms that the patterns miss, held to the same numbers."""
+    """Whether the numbers of a tagged span are those of its kind."""
     if kind == "email":
-        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]{2,}", text) is not None
-    if kind == "phone":
-        return re.fullmatch(r"[+(0-9][0-9()./ -]*[0-9]", text) is not None and 9 <= len(digits(text)) <= 15
-    if kind == "card":
-        return re.fullmatch(r"[0-9](?:[./ -]?[0-9])+", text) is not None and fits(kind, text)
-    return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) is not None and fits(kind, text)
+        return text.count("@") == 1 and not text.startswith("@") and not re.search(r"\s", text)
+    if kind == "ip":
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and octets(".".join(parts))
+    return fits(kind, text)
+
+
+def watched(text: str) -> np.ndarray:
+    """Places of digits and of the words that have an at sign."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    word = np.cumsum(space)
+    signed = np.zeros(int(word[-1]) + 1 if len(word) else 1, bool)
+    signed[word[codes == 64]] = True
+    return np.flatnonzero(((codes >= 48) & (codes <= 57)) | (signed[word] & ~space))
 
 
 def windows(n: int, at: np.ndarray) -> np.ndarray:
@@ -94,28 +104,35 @@ def windows(n: int, at: np.ndarray) -> np.ndarray:
     return half * np.unique(np.clip(k, 0, last))
 
 
-def tagged_spans(found: list[tuple[int, np.ndarray]], lengths: list[int], tags: np.ndarray) -> list[set[tuple[str, int, int]]]:
-    """Spans of each text from its windows' tags; those that touch an inner edge of their window are left to the next one."""
-    out: list[set] = [set() for _ in lengths]
-    k = 0
+def tagged_spans(found: list[tuple[int, np.ndarray]], lengths: list[int], tags: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text from its windows' tags, each place's from the window in whose middle half it lies."""
+    out: list[list] = [[] for _ in lengths]
+    k, quarter = 0, WINDOW // 4
     for who, starts in found:
+        n = lengths[who]
+        line = np.zeros(n, np.int8)
         for start in starts.tolist():
             row, k = tags[:, k], k + 1
-            for a in np.flatnonzero(row % 2 == 1).tolist():
-                b = a + 1
-                while b < WINDOW and row[b] == row[a] + 1:
-                    b += 1
-                end = start + b
-                if (a > 0 or start == 0) and (b < WINDOW or end >= lengths[who]) and end <= lengths[who]:
-                    out[who].add((KINDS[(row[a] - 1) // 2], start + a, end))
+            a = start + quarter if start else 0
+            b = min(n, start + WINDOW - quarter) if start + WINDOW < n else n
+            line[a:b] = row[a - start : b - start]
+        kind = (line + 1) // 2  # 0 outside
+        opens = (kind > 0) & ((line % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
+        edges = np.flatnonzero(opens | ((kind == 0) & (np.concatenate([[0], kind[:-1]]) > 0)))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), n]):
+            if kind[a]:
+                out[who].append((KINDS[kind[a] - 1], a, b))
     return out
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], tagged: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The tagged spans that may stand, overlap no pattern's span and, of each other, no longer one."""
-    kept: list[tuple[str, int, int]] = []
-    for kind, a, b in sorted(tagged, key=lambda s: (s[1] - s[2], s[1], s[0])):
-        if plausible(kind, text[a:b]) and all(b <= x or y <= a for _, x, y in base + kept):
+def added_spans(text: str, base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The tagged spans that may stand and overlap no pattern's span. Tagged spans don't overlap, so both lists are swept in order."""
+    taken = sorted((a, b) for _, a, b in base)
+    kept, at, reach = [], 0, 0
+    for kind, a, b in sorted(tagged, key=lambda s: s[1]):
+        while at < len(taken) and taken[at][0] < b:
+            reach, at = max(reach, taken[at][1]), at + 1
+        if reach <= a and plausible(kind, text[a:b]):
             kept.append((kind, a, b))
     return kept
 
@@ -153,7 +170,7 @@ def find_spans(column: pa.StringArray, model: dict[str, np.ndarray], most_window
     for row in np.unique(np.searchsorted(offsets, hits, "right") - 1).tolist():
         text = column[row].as_py()
         codes = classes(text)
-        starts = windows(len(text), np.flatnonzero((codes == 4) | (codes == 7)))
+        starts = windows(len(text), watched(text))
         queue.append((row, text, codes, starts))
         waiting += len(starts)
         if waiting >= most_windows:
