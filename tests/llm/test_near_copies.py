@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from panelforge.llm import near_copies, simhash
+from panelforge.llm import components, near_copies, simhash
 
 
 def shingles(text):
@@ -68,3 +68,21 @@ def test_candidates_miss_next_to_nothing_at_the_threshold():
         assert near_copies.similarity(np.sort(a), np.sort(b)) == 0.8
         missed += not (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
     assert missed <= 2
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(k, k + 1) for k in range(300)] + [(1000 + k, 1500) for k in range(200)] + [(5000, 5000)] + [(int(a), int(b)) for a, b in rng.integers(7000, 7200, (90, 2))]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    up = {k: k for p in pairs for k in p}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    assert got == {k: root(k) for k in up}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
