@@ -43,15 +43,16 @@ def json_text(value: Column) -> Column:
     return F.to_json(value)
 
 
-def stable_hash(value: Column) -> Column:
-    """SHA-256 of a value's JSON text; maps are sorted by key."""
-    return F.sha2(F.to_json(value), 256)
-
-
 def sorted_map(value: Column) -> Column:
+    """A map with its entries in order of their keys."""
     return F.map_from_entries(F.array_sort(F.map_entries(value)))
 
 
+def stable_hash(value: Column) -> Column:
+    """SHA-256 of a map's JSON text with sorted keys, the same for equal maps however they were built."""
+    return F.sha2(F.to_json(sorted_map(value)), 256)
+
+
 def ticker(symbol: Column) -> Column:
     return F.upper(F.trim(symbol))
 
@@ -66,9 +67,10 @@ def evidence_tier(real_mcap: Column, real_supply: Column, anchor_supply: Column,
     )
 
 
-def leg_count(n: Column, frac: float, target: float, cap: float) -> Column:
+def leg_count(n: Column, frac: Column | float, target: Column | float, cap: float) -> Column:
     """Names of a leg: the fraction, at least one, enough to reach the target under the cap, at most n."""
-    return F.least(n, F.greatest(F.lit(1), F.ceil(n * frac), F.ceil(F.lit(target / cap)))).cast("int")
+    by_target = F.ceil(target / F.lit(cap)) if isinstance(target, Column) else F.ceil(F.lit(target / cap))
+    return F.least(n, F.greatest(F.lit(1), F.ceil(n * frac), by_target)).cast("int")
 
 
 def normal_cdf(x: Column) -> Column:
@@ -79,3 +81,14 @@ def normal_cdf(x: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = poly * F.exp(-a * a / 2) / 2.5066282746310002
     return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the standard normal distribution function: a fixed rational approximation (Abramowitz and Stegun
+    26.2.23, to 4.5e-4), then a step of Newton's method on ``normal_cdf``, which leaves about 1e-6."""
+    q = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.log(q))
+    # Fixed coefficients of the approximation.
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    z = z - (q - (1 - normal_cdf(z))) * 2.5066282746310002 * F.exp(z * z / 2)
+    return F.when(p < 0.5, -z).otherwise(z)

@@ -81,6 +81,24 @@ def characteristics(rows: DataFrame) -> DataFrame:
     })
 
 
+#: The factors' measures and the sign in which a high score is held long. Fixed values.
+SIGNED = {
+    "VolC": ("vol4", -1), "MAXRET": ("max4", -1), "CRASH8": ("min8", -1), "BETA26": ("beta26", 1), "TVLC": ("tvl_ratio", -1), "SKEW52": ("skew52", 1), "NEWC": ("age", -1),
+    "RMOM1w": ("rmom1", 1), "RMOM2w": ("rmom2", 1), "SMBC": ("log_mcap", -1), "NetRel": ("relative", 1), "MomC": ("mom4c", 1), "NetMom": ("within", 1), "FunC": ("fee_yield", 1),
+}
+
+
+def signed_factors(rows: DataFrame, market: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Adds z_NAME for each signed factor, a flat week as zero. rows are characteristics with a cluster (may be null, a group
+    of its own); market (week, market) is the equal-weight return."""
+    r = F.col("ret")
+    a = rows.join(market, "week", "left")
+    a = a.withColumns({"beta26": rolling.beta(r, F.col("market"), 26, 13), "skew52": rolling.skew_adjusted(r, 52, 26), "rmom1": ratio(r, F.col("vol4")), "rmom2": ratio(F.col("mom2c"), F.col("vol4"))})
+    a = xsec.network_signals(a, "mom4c", cluster)
+    a = a.withColumns({f"_r_{f}": F.col(x).cast("double") * sign for f, (x, sign) in SIGNED.items()})
+    return xsec.zscores(a, {f"_r_{f}": f"z_{f}" for f in SIGNED}).drop(*(f"_r_{f}" for f in SIGNED))
+
+
 def cash_flow_yield(rows: DataFrame) -> DataFrame:
     """Adds 52 weeks' worth of fees and half the tvl income, by four-week means, over mcap."""
     fee, income = rolling.mean(F.col("fees"), 4, 2), rolling.mean(F.col("tvl"), 4, 2)
@@ -99,10 +117,10 @@ def activity_growth(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
 def supply_emission(rows: DataFrame, n: int = 12) -> DataFrame:
     """Adds minus the z-score of the n-row change of mcap over price."""
-    rows = rows.withColumn("_s", ratio(F.col("mcap"), F.col("price")))
-    rows = rows.withColumn("_e", ratio(F.col("_s"), F.lag("_s", n).over(by_symbol())) - 1)
+    rows = rows.withColumn("_supply", ratio(F.col("mcap"), F.col("price")))
+    rows = rows.withColumn("_e", ratio(F.col("_supply"), F.lag("_supply", n).over(by_symbol())) - 1)
     rows = xsec.zscore(rows, "_e", "_z", flat_to_zero=False)
-    return rows.withColumn("emission", -F.col("_z")).drop("_s", "_e", "_z")
+    return rows.withColumn("emission", -F.col("_z")).drop("_supply", "_e", "_z")
 
 
 def supply_trend(rows: DataFrame, least: int = 30, low: float = -0.03 / 365, high: float = 0.50 / 365) -> DataFrame:
@@ -114,3 +132,14 @@ def supply_trend(rows: DataFrame, least: int = 30, low: float = -0.03 / 365, hig
     fit = fit.withColumn("slope", F.greatest(F.least("b", F.lit(high)), F.lit(low)))
     level = F.exp(F.col("my") + F.col("slope") * (F.col("_t") - F.col("mt")))
     return a.join(fit, "symbol").select("symbol", "week", "slope", F.least(level, "most").alias("supply"))
+
+
+def reconstruction_error(rows: DataFrame, least: int = 31) -> DataFrame:
+    """(years_back, median_abs_pct_err, n_coins): price times the fitted supply against the real mcap, for symbols with
+    enough weeks. Years are counted back from the last week of all."""
+    fit = supply_trend(rows).join(rows.select("symbol", "week", "price", "mcap"), ["symbol", "week"])
+    last = rows.agg(F.max("week").alias("_last"))  # one row
+    e = fit.crossJoin(F.broadcast(last)).withColumns({"years_back": F.floor(F.datediff("_last", "week") / 365.25).cast("int"), "ape": F.abs(ratio(F.col("supply") * F.col("price"), F.col("mcap")) - 1)})
+    s = e.groupBy("symbol", "years_back").agg(F.median("ape").alias("m"), F.count("*").alias("n"))
+    s = s.withColumn("total", F.sum("n").over(W.partitionBy("symbol"))).filter(F.col("total") >= least)
+    return s.groupBy("years_back").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("median_abs_pct_err"), F.countDistinct("symbol").alias("n_coins"))

@@ -90,69 +90,98 @@ def factor_count(resid: np.ndarray, most: int = 7) -> int:
 
 
 def latent_factors(resid: np.ndarray, k: int) -> np.ndarray:
-    """The first k principal components of the columns scaled to unit deviation, each of unit deviation; weeks by k."""
+    """The first k principal components of the residuals as they are, each brought to unit deviation; weeks by k."""
     if not k:
         return np.zeros((len(resid), 0))
-    sd = resid.std(0, ddof=1)
-    u, s, v = np.linalg.svd(resid / np.where(sd > 0, sd, 1.0), full_matrices=False)
-    scores = (u[:, :k] * s[:k]) * np.sign(fixed_signs(v[:k])[np.arange(k), np.abs(v[:k]).argmax(1)] * v[:k][np.arange(k), np.abs(v[:k]).argmax(1)])
-    return scores / scores.std(0, ddof=1)
-
-
-def _three_pass(y: np.ndarray, f: np.ndarray, names: list[str]) -> pd.DataFrame:
-    """Risk premia of observed factors, with hidden ones taken from the residuals; y weeks by assets, f weeks by factors."""
-    ones = np.ones((len(f), 1))
-
-    def betas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = np.hstack([ones, x])
-        b, e = np.full((y.shape[1], x.shape[1]), np.nan), np.zeros_like(y)
-        for j in range(y.shape[1]):
-            known = ~np.isnan(y[:, j])
-            if known.sum() >= max(x.shape[1] + 2, 8):
-                c = np.linalg.lstsq(a[known], y[known, j], rcond=None)[0]
-                b[j], e[known, j] = c[1:], y[known, j] - a[known] @ c
-        return b, e
-
-    _, resid = betas(f)
-    k = factor_count(resid)
-    b, _ = betas(np.hstack([f, latent_factors(resid, k)]))
-    use = ~np.isnan(b).any(1)
-    b, mean = b[use], np.nanmean(y[:, use], 0)
-    lam = np.linalg.lstsq(b, mean, rcond=None)[0]
-    inv = np.linalg.pinv(b.T @ b)
+    u, s, v = np.linalg.svd(resid, full_matrices=False)
+    top = np.abs(v[:k]).argmax(1)
+    scores = u[:, :k] * s[:k] * np.where(v[np.arange(k), top] < 0, -1, 1)
+    sd = scores.std(0, ddof=1)
+    return scores / np.where(sd > 0, sd, 1.0)
+
+
+def _betas(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of each column of y on x with an intercept, over its known rows (NaN for too few), and residuals (zero where unknown)."""
+    a = np.hstack([np.ones((len(x), 1)), x])
+    b, e = np.full((y.shape[1], x.shape[1]), np.nan), np.zeros_like(y)
+    known = ~np.isnan(y)
+    whole = known.all(0)
+    if whole.any() and len(y) >= max(x.shape[1] + 2, 8):
+        c = np.linalg.lstsq(a, y[:, whole], rcond=None)[0]
+        b[whole], e[:, whole] = c[1:].T, y[:, whole] - a @ c
+    for j in np.flatnonzero(~whole):
+        rows = known[:, j]
+        if rows.sum() >= max(x.shape[1] + 2, 8):
+            c = np.linalg.lstsq(a[rows], y[rows, j], rcond=None)[0]
+            b[j], e[rows, j] = c[1:], y[rows, j] - a[rows] @ c
+    return b, e
+
+
+def _premia(b: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Premia of mean returns on betas without intercept, and their White errors."""
+    lam, inv = np.linalg.lstsq(b, mean, rcond=None)[0], np.linalg.pinv(b.T @ b)
     e = mean - b @ lam
-    white = np.sqrt(np.diag(inv @ (b.T * e**2) @ b @ inv))
+    return lam, np.sqrt(np.maximum(np.diag(inv @ (b.T * e**2) @ b @ inv), 0.0))
+
+
+def three_pass(y: np.ndarray, f: np.ndarray, names: list[str]) -> pd.DataFrame:
+    """Risk premia of observed factors, alone and beside hidden ones taken from the residuals, and week by week on the
+    observed factors' betas; y weeks by assets, f weeks by factors."""
+    seen, resid = _betas(y, f)
+    k = factor_count(resid)
+    full, _ = _betas(y, np.hstack([f, latent_factors(resid, k)]))
+    n = len(names)
+
+    def used(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        use = ~np.isnan(b).any(1)
+        return b[use], use
+
+    b, use = used(full)
+    lam, white = _premia(b, np.nanmean(y[:, use], 0))
+    b, use = used(seen)
+    alone, alone_white = _premia(b, np.nanmean(y[:, use], 0))
     weekly = []
     for row in y[:, use]:
         known = ~np.isnan(row)
-        if known.sum() >= b.shape[1] + 2:
+        if known.sum() >= n + 2:
             weekly.append(np.linalg.lstsq(b[known], row[known], rcond=None)[0])
-    weekly = np.array(weekly).reshape(-1, b.shape[1])
-    se = [newey_west_se(weekly[:, j]) if len(weekly) >= 5 else np.nan for j in range(len(names))]
-    n = len(names)
-    return pd.DataFrame({"factor": names, "premium": lam[:n], "se_white": white[:n], "low": lam[:n] - 1.96 * white[:n], "high": lam[:n] + 1.96 * white[:n], "fmb_mean": weekly[:, :n].mean(0) if len(weekly) else np.nan, "fmb_t": [m / s if s and s == s else np.nan for m, s in zip(weekly[:, :n].mean(0), se)] if len(weekly) else np.nan, "n_hidden": k, "n_assets": int(use.sum())})
+    weekly = np.array(weekly).reshape(-1, n)
+    se = np.array([newey_west_se(weekly[:, j]) if len(weekly) >= 2 else np.nan for j in range(n)])
+    t = lambda x, e: np.where(e > 0, x / np.where(e > 0, e, 1), np.nan)
+    mean = weekly.mean(0) if len(weekly) else np.full(n, np.nan)
+    return pd.DataFrame({"factor": names, "premium": lam[:n], "t": t(lam[:n], white[:n]), "low": lam[:n] - 1.96 * white[:n], "high": lam[:n] + 1.96 * white[:n], "premium_alone": alone, "t_alone": t(alone, alone_white), "fmb_mean": mean, "fmb_t": t(mean, se), "n_hidden": k, "n_assets": int(use.sum())})
+
+
+PREMIA = "factor string, premium double, t double, low double, high double, premium_alone double, t_alone double, fmb_mean double, fmb_t double, n_hidden long, n_assets long"
+
+
+def priced_group(pdf: pd.DataFrame, least_weeks: int = 30) -> pd.DataFrame:
+    """Premia of a group's rows (week, name, ret, asset); gaps of a factor are its last value, leading ones its mean."""
+    y = pdf[pdf["asset"]].pivot_table(index="week", columns="name", values="ret")
+    f = pdf[~pdf["asset"]].pivot_table(index="week", columns="name", values="ret").ffill()
+    f = f.fillna(f.mean())
+    weeks = y.index.intersection(f.index)
+    if len(weeks) < least_weeks or y.shape[1] < f.shape[1] + 3:
+        return pd.DataFrame({c.split(" ")[0]: [] for c in PREMIA.split(", ")}, dtype=object)
+    return three_pass(y.loc[weeks].to_numpy(float), f.loc[weeks].to_numpy(float), list(f.columns))
 
 
 def giglio_xiu(returns: DataFrame, factors: DataFrame, keys: list[str] = (), least: int = 24) -> DataFrame:
     """Three-pass risk premia by key (a candidate, a window): returns (week, symbol, ret) of symbols with enough weeks,
-    factors (keys, week, factor, ret). Each key's matrices are one group; keys run side by side."""
+    factors (keys, week, factor, ret). Each key's matrices are one group; keys run side by side. Hidden factors come from
+    all residuals at once, so a group holds the whole panel of weeks by symbols: what it needs is that, in memory."""
     keys = list(keys)
     n = F.count("ret").over(W.partitionBy("symbol"))
     assets = returns.filter("ret is not null").withColumn("_n", n).filter(F.col("_n") >= least).select("week", F.col("symbol").cast("string").alias("name"), "ret", F.lit(True).alias("asset"))
     named = factors.filter("ret is not null").select(*keys, "week", F.col("factor").alias("name"), "ret", F.lit(False).alias("asset"))
-    rows = named.unionByName(assets.crossJoin(F.broadcast(factors.select(*keys).distinct())) if keys else assets)  # keys are candidates or windows, few by their making
+    rows = named.unionByName(assets.crossJoin(F.broadcast(factors.select(*keys).distinct()))) if keys else named.unionByName(assets)  # keys are candidates or windows, few by their making
 
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[pdf["asset"]].pivot_table(index="week", columns="name", values="ret")
-        f = pdf[~pdf["asset"]].pivot_table(index="week", columns="name", values="ret").ffill().dropna()
-        weeks = y.index.intersection(f.index)
-        if len(weeks) < 30 or y.shape[1] < f.shape[1] + 3:
-            return pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")}, dtype=object)
-        out = _three_pass(y.loc[weeks].to_numpy(float), f.loc[weeks].to_numpy(float), list(f.columns))
+        out = priced_group(pdf)
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[c.split(" ")[0] for c in schema.split(", ")]]
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "factor string, premium double, se_white double, low double, high double, fmb_mean double, fmb_t double, n_hidden long, n_assets long"])
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), PREMIA])
     return rows.groupBy(*keys).applyInPandas(price, schema)
 
 
@@ -162,24 +191,40 @@ def _matrix(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     return wide.loc[:, wide.notna().sum() >= least]
 
 
-def rolling_pca(rows: DataFrame, n: int = 26, least: int = 16, k: int = 3) -> DataFrame:
-    """(end, symbol, loadings, explained, residual) of each window of prior weeks: principal axes of demeaned returns,
-    their share of variance, and what the last return has beside them."""
+def window_pca(wide: pd.DataFrame, latest: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, pd.Series] | None:
+    """Scores of symbols (columns of wide, unknown returns as zero) on k components over the weeks, the shares of variance,
+    and what ``latest`` returns have beside an intercept and the scores."""
+    x = wide.fillna(0.0).to_numpy()
+    x = (x - x.mean(0)).T
+    x = x - x.mean(0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    k = min(k, len(s))
+    scores = fixed_signs((u[:, :k] * s[:k]).T).T
+    resid = pd.Series(np.nan, index=wide.columns)
+    y = latest.reindex(wide.columns)
+    known = y.notna().to_numpy()
+    if known.sum() >= k + 2:
+        a = np.hstack([np.ones((known.sum(), 1)), scores[known]])
+        resid[known] = y[known] - a @ np.linalg.lstsq(a, y[known].to_numpy(float), rcond=None)[0]
+    return scores, s[:k] ** 2 / max((s**2).sum(), 1e-300), resid
+
+
+def rolling_pca(rows: DataFrame, n: int = 26, least: int = 16, k: int = 3, least_names: int = 10) -> DataFrame:
+    """(end, symbol, loadings, explained, residual) of each window of prior weeks: principal scores of symbols with enough
+    returns, the components' shares of variance, and what the window's last return has beside an intercept and the scores
+    (null where it is unknown)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = _matrix(pdf, least)
-        if wide.shape[1] <= k or len(wide) <= k:
+        if wide.shape[1] < least_names or pdf["week"].nunique() < n:
             return pd.DataFrame({"end": [], "symbol": [], "loadings": [], "explained": [], "residual": []}, dtype=object)
-        x = wide.fillna(wide.mean()).to_numpy()
-        x = x - x.mean(0)
-        _, s, v = np.linalg.svd(x, full_matrices=False)
-        load = fixed_signs(v[:k])
-        resid = x[-1] - load.T @ (load @ x[-1])
-        return pd.DataFrame({"end": pdf["end"].iloc[0], "symbol": wide.columns, "loadings": list(load.T), "explained": float((s[:k] ** 2).sum() / (s**2).sum()), "residual": resid})
+        last = pdf[pdf["week"] == pdf["week"].max()].set_index("symbol")["ret"]
+        scores, share, resid = window_pca(wide, last, k)
+        return pd.DataFrame({"end": pdf["end"].iloc[0], "symbol": wide.columns, "loadings": list(scores), "explained": [share] * len(scores), "residual": resid.to_numpy()})
 
     kind = dict(rows.dtypes)["symbol"]
     windows = window_expand(rows.select("week", "symbol", "ret").filter("ret is not null"), n, inclusive=False)
-    return windows.groupBy("end").applyInPandas(run, f"end date, symbol {kind}, loadings array<double>, explained double, residual double")
+    return windows.groupBy("end").applyInPandas(run, f"end date, symbol {kind}, loadings array<double>, explained array<double>, residual double")
 
 
 def svd_kmeans(rows: DataFrame, n: int = 26, least: int = 16, dims: int = 8, clusters: int = 5) -> DataFrame:
@@ -268,6 +313,46 @@ def canonical_correlations(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "week").groupBy().applyInPandas(run, "pair int, rho double, left_driver string, right_driver string")
 
 
+def canonical_weights(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit weights of the columns of x (standardised) in its k canonical variates with y, and the correlations."""
+    ux, sx, vx = np.linalg.svd(x, full_matrices=False)
+    uy, sy, _ = np.linalg.svd(y, full_matrices=False)
+    ux, vx, sx, uy = ux[:, sx > 1e-9], vx[sx > 1e-9], sx[sx > 1e-9], uy[:, sy > 1e-9]
+    p, rho, _ = np.linalg.svd(ux.T @ uy, full_matrices=False)
+    w = fixed_signs(((vx.T / sx) @ p[:, :k]).T)
+    return w / np.linalg.norm(w, axis=1, keepdims=True), np.clip(rho[:k], 0, 1)
+
+
+def forward_canonical(returns: DataFrame, market: DataFrame, fit_weeks: DataFrame, k: int = 3, most: int = 200) -> DataFrame:
+    """(week, component, rho, value): canonical variates of the symbols that have a return in all weeks of ``fit_weeks``,
+    with the market series, fitted on these weeks, scaled by their moments, and applied to every week (an unknown return is
+    zero). The fit is one small group: at most ``most`` symbols, those with the most weeks in all, a documented bound."""
+    known = returns.filter("ret is not null").select("week", "symbol", "ret")
+    weeks = fit_weeks.agg(F.count("*").alias("_all"))  # one row
+    inside = known.join(fit_weeks, "week", "left_semi").groupBy("symbol").agg(F.count("*").alias("_n"))
+    whole = inside.crossJoin(F.broadcast(weeks)).filter("_n = _all").select("symbol").join(known.groupBy("symbol").agg(F.count("*").alias("_total")), "symbol")
+    whole = whole.orderBy(F.col("_total").desc(), "symbol").limit(most).select("symbol")
+    series = [c for c, t in market.dtypes if t == "double"]
+    rows = known.join(whole, "symbol").join(fit_weeks, "week", "left_semi").join(market, "week")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot_table(index="week", columns="symbol", values="ret").dropna(axis=1)
+        y = pdf.groupby("week")[series].first().dropna(axis=1)
+        if not len(x) or not x.shape[1] or not y.shape[1]:
+            return pd.DataFrame({"symbol": [], "component": [], "rho": [], "mean": [], "sd": [], "weight": []}, dtype=object)
+        scale = lambda m: (m - m.mean()) / m.std(ddof=0).replace(0, np.nan)
+        w, rho = canonical_weights(scale(x).fillna(0).to_numpy(), scale(y).fillna(0).to_numpy(), k)
+        sd = x.std(ddof=0).replace(0, 1.0)
+        return pd.concat([pd.DataFrame({"symbol": x.columns, "component": i + 1, "rho": rho[i], "mean": x.mean().to_numpy(), "sd": sd.to_numpy(), "weight": w[i]}) for i in range(len(w))], ignore_index=True)
+
+    kind = dict(returns.dtypes)["symbol"]
+    weights = rows.groupBy().applyInPandas(fit, f"symbol {kind}, component int, rho double, mean double, sd double, weight double")
+    every = returns.select("week").distinct().crossJoin(F.broadcast(weights))  # at most k rows for each of ``most`` symbols
+    held = every.join(known, ["week", "symbol"], "left")
+    value = F.sum((F.coalesce("ret", F.lit(0.0)) - F.col("mean")) / F.col("sd") * F.col("weight"))
+    return held.groupBy("week", "component").agg(F.max("rho").alias("rho"), value.alias("value"))
+
+
 def series_r2(rows: DataFrame, y: str, xs: list[str], least: int = 10) -> DataFrame:
     """(symbol, r2, n) of each symbol's regression on a basket of series."""
 

@@ -119,12 +119,13 @@ def fill_past_then_mean(rows: DataFrame, keys: list[str], order: str, value: str
     return rows.withColumn("filled", F.coalesce(past, F.avg(value).over(W.partitionBy(*keys))))
 
 
-def to_wide(panel: DataFrame, value: str, symbols: list) -> DataFrame:
-    return panel.groupBy("week").pivot("symbol", symbols).agg(F.first(value))
+def to_wide(long: DataFrame, keys: list[str], name: str, value: str, names: list) -> DataFrame:
+    """A column for each of the names, which are given, so that no pass over the data looks for them."""
+    return long.groupBy(*keys).pivot(name, names).agg(F.first(value))
 
 
-def to_long(wide: DataFrame, value: str) -> DataFrame:
-    return wide.unpivot("week", [c for c in wide.columns if c != "week"], "symbol", value)
+def to_long(wide: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    return wide.unpivot(keys, [c for c in wide.columns if c not in keys], name, value)
 
 
 def symmetric_turnover(members: DataFrame) -> DataFrame:
@@ -136,3 +137,60 @@ def symmetric_turnover(members: DataFrame) -> DataFrame:
     before = members.select(F.col("week").alias("prev"), "symbol")
     stay = members.join(sizes.select("week", "prev"), "week").join(before, ["prev", "symbol"]).groupBy("week").agg(F.count("*").alias("stay"))
     return sizes.join(stay, "week", "left").select("week", ((F.col("n") + F.col("n_prev") - 2 * F.coalesce("stay", F.lit(0))) / (2 * F.col("n_prev"))).alias("turnover"))
+
+
+def excluded(rows: DataFrame, names: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not in the exclusion set, and those whose key is."""
+    return rows.join(names.select(key), key, "left_anti"), rows.join(names.select(key), key, "left_semi")
+
+
+def mapping_status(candidate: Column, exact: Column) -> Column:
+    """How a name was found: by exact match, by a sole candidate, or not at all."""
+    return F.when(candidate.isNull(), "unmapped").when(exact, "mapped_exact_name").otherwise("mapped_single_candidate")
+
+
+def existing(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of the names that are columns of df, in their order."""
+    return [n for n in names if n in df.columns]
+
+
+def last_by_slug_then_sum(observed: DataFrame, slugs: DataFrame, ts: str, order: list[str], value: str) -> DataFrame:
+    """(symbol, week, value): symbols and slugs match many to many; of each symbol, slug and week the last value, then
+    their sum, null where none is known."""
+    last = last_in_week(observed.join(slugs, "slug"), ["symbol", "slug"], ts, order, [value])
+    return last.groupBy("symbol", "week").agg(F.sum(value).alias(value))
+
+
+def chain_totals(rows: DataFrame, values: list[str], day: str = "day") -> DataFrame:
+    """(week, values): each week's last day of the rows of chain ALL, or where there is no such row at all, of sums over chains."""
+    whole = F.upper("chain") == "ALL"
+    by_day = rows.groupBy(day).agg(*(F.sum(F.when(whole, F.col(v))).alias(f"_a_{v}") for v in values), *(F.sum(v).alias(v) for v in values), F.count_if(whole).alias("_n"))
+    there = rows.agg(F.coalesce(F.bool_or(whole), F.lit(False)).alias("_any"))  # one row
+    a = by_day.crossJoin(F.broadcast(there)).filter("not _any or _n > 0").withColumns({v: F.when(F.col("_any"), F.col(f"_a_{v}")).otherwise(F.col(v)) for v in values})
+    return a.groupBy(week_of(day).alias("week")).agg(*(F.max_by(v, day).alias(v) for v in values))
+
+
+def cascade(assets: DataFrame, skip: DataFrame, overrides: DataFrame, protocols: DataFrame, allowed: list[str]) -> DataFrame:
+    """(symbol, slug, source) of assets (symbol, gecko_id) by the first rule that applies: symbols to skip; a slug set by
+    hand (null: none); of the protocols with the asset's gecko_id and an allowed category that of the largest tvl; none."""
+    fits = F.lower("category").isin(*allowed)
+    best = protocols.filter("gecko_id is not null").groupBy("gecko_id").agg(F.max_by("slug", F.when(fits, F.struct(F.coalesce("tvl", F.lit(0.0)).alias("t"), F.col("slug")))).alias("_best"), F.count_if(fits).alias("_fit"))
+    a = assets.join(skip.select("symbol", F.lit(True).alias("_skip")).distinct(), "symbol", "left")
+    a = a.join(overrides.select("symbol", F.col("slug").alias("_own"), F.lit(True).alias("_set")), "symbol", "left").join(best, "gecko_id", "left")
+    source = (
+        F.when(F.col("_skip"), "skipped").when(F.col("_set") & F.col("_own").isNull(), "override_skip").when(F.col("_set"), "override")
+        .when(F.col("_fit").isNull(), "unmapped").when(F.col("_fit") == 0, "fallback_filtered_out").when(F.col("_best").isNull(), "unmapped").otherwise("gecko_id_fallback")
+    )
+    slug = F.when(F.col("source") == "override", F.col("_own")).when(F.col("source") == "gecko_id_fallback", F.col("_best"))
+    return a.withColumn("source", source).select("symbol", slug.alias("slug"), "source")
+
+
+def closed_windows(split: DataFrame) -> DataFrame:
+    """(window, lo, hi): first and last week of the windows of ``chronological_split``, and of both as Full."""
+    both = split.select("week", "window").unionByName(split.select("week", F.lit("Full").alias("window")))
+    return both.groupBy("window").agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+
+
+def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows once for each window whose closed interval holds their week; three windows at most."""
+    return rows.join(F.broadcast(windows), F.col("week").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.functions import ratio
+from panelforge.functions import leg_count, ratio
 
 
 def turnover(weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,16 +31,17 @@ def backtest(weights: DataFrame, returns: DataFrame, keys: list[str], cost_bps:
     return a.join(turnover(weights, keys), [*keys, "week"]).select(*keys, "week", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "long", "short", "names")
 
 
-def combine(weights: DataFrame, allocation: DataFrame) -> DataFrame:
-    """Sum over books of weight times allocation; allocation (week, book, share)."""
-    return weights.join(allocation, ["week", "book"]).groupBy("week", "symbol").agg(F.sum(F.col("w") * F.col("share")).alias("w"))
+def combine(weights: DataFrame, allocation: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum over books of weight times allocation; allocation (by, week, book, share)."""
+    return weights.join(allocation, ["week", "book"]).groupBy(*by, "week", "symbol").agg(F.sum(F.col("w") * F.col("share")).alias("w"))
 
 
-def trailing_score(net: DataFrame, lookback: int = 26, least: int = 13) -> DataFrame:
-    """Adds score: the positive part of the prior rows' mean over deviation, times one plus their worst drawdown."""
+def trailing_score(net: DataFrame, lookback: int = 26, least: int = 8) -> DataFrame:
+    """Adds score: the positive part of the prior rows' mean over deviation, times one plus their worst drawdown; null
+    where fewer than ``least`` rows are prior. Rows count whether their net is known or not."""
     over = W.partitionBy("book").orderBy("week").rowsBetween(-lookback, -1)
-    a = net.withColumn("_h", F.collect_list("net").over(over))
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
+    a = net.withColumn("_h", F.collect_list("net").over(over)).withColumn("_n", F.count(F.lit(1)).over(over))
+    zero = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("dd"))
 
     def fold(s: Column, r: Column) -> Column:
         w = s["w"] * (1 + r)
@@ -50,25 +51,38 @@ def trailing_score(net: DataFrame, lookback: int = 26, least: int = 13) -> DataF
     dd = F.aggregate("_h", zero, fold, lambda s: s["dd"])
     sharpe = ratio(F.avg("net").over(over), F.stddev_samp("net").over(over))
     value = F.greatest(F.coalesce(sharpe, F.lit(0.0)), F.lit(0.0)) * (1 + F.least(dd, F.lit(0.0)))
-    return a.withColumn("score", F.when(F.size("_h") >= least, value)).drop("_h")
+    return a.withColumn("score", F.when(F.col("_n") >= least, value)).drop("_h", "_n")
 
 
-def regime_tilt(book: Column, p_off: Column, p_on: Column, strength: float = 0.3) -> Column:
-    """Multiplier of a book: defensive ones gain in risk-off weeks, the others in risk-on weeks."""
-    lean = p_off - p_on
-    return 1 + strength * F.when(book == "core_rank", lean).otherwise(-lean)
+#: Multipliers of a book: constant, and what the probabilities of risk-on and risk-off weeks add. Fixed values.
+TILTS = {"mispricing": (1.0, 0.25, -0.10), "core_rank": (1.0, 0.0, 0.35), "priced_tilt": (0.55, 0.35, 0.0)}
 
 
-def allocate(scored: DataFrame, base: dict[str, float], blend: float = 0.65, capped: str | None = "priced_tilt", cap: float = 0.18) -> DataFrame:
-    """(week, book, share): base shares until a book of the week has a score, then a blend with score shares; tilted, and
-    one book held to ``cap`` of the raw total before all are divided by what remains."""
-    table = F.create_map(*(x for b, s in base.items() for x in (F.lit(b), F.lit(s))))
-    over = W.partitionBy("week")
-    a = scored.withColumn("_b", table[F.col("book")]).withColumn("_t", F.sum("score").over(over)).withColumn("_k", F.count("score").over(over) == F.count(F.lit(1)).over(over))
-    mixed = F.when(F.col("_k") & (F.col("_t") > 0), (1 - blend) * F.col("_b") + blend * F.col("score") / F.col("_t")).otherwise(F.col("_b"))
+def regime_tilt(book: Column, p_off: Column, p_neutral: Column, p_on: Column) -> Column:
+    """Multiplier of a book by the probabilities of a week's regimes, times half of one plus the largest of them."""
+    confidence = 0.5 + 0.5 * F.greatest(p_off, p_neutral, p_on)
+    tilt = F.lit(1.0)
+    for name, (level, on, off) in TILTS.items():
+        tilt = F.when(book == name, confidence * (level + on * p_on + off * p_off)).otherwise(tilt)
+    return tilt
+
+
+def allocate(scored: DataFrame, base: Column, by: tuple[str, ...] = ("week",), blend: float = 0.65, capped: str = "priced_tilt", cap: Column | float = 0.18) -> DataFrame:
+    """(by, book, share) of rows (by, book, score, tilt): base shares until the books have scores, then a blend of base and
+    raw scores (base for scores that are all zero); tilted; one book held to ``cap`` of the raw total; then divided by the
+    total. Where nothing is left, base shares over their sum."""
+    over = W.partitionBy(*by)
+    a = scored.withColumn("_b", base).withColumn("_t", F.sum("score").over(over)).withColumn("_k", F.count("score").over(over) == F.count(F.lit(1)).over(over))
+    mixed = F.when(~F.col("_k"), F.col("_b")).when(F.col("_t") > 0, (1 - blend) * F.col("_b") + blend * F.col("score")).otherwise(F.col("_b"))
     a = a.withColumn("_raw", mixed * F.col("tilt")).withColumn("_sum", F.sum("_raw").over(over))
-    a = a.withColumn("_raw", F.when(F.col("book") == capped, F.least(F.col("_raw"), cap * F.col("_sum"))).otherwise(F.col("_raw")))
-    return a.select("week", "book", ratio(F.col("_raw"), F.sum("_raw").over(over)).alias("share"))
+    a = a.withColumn("_raw", F.greatest(F.when(F.col("book") == capped, F.least(F.col("_raw"), cap * F.col("_sum"))).otherwise(F.col("_raw")), F.lit(0.0)))
+    total = F.sum("_raw").over(over)
+    return a.select(*by, "book", F.when(total > 0, F.col("_raw") / total).otherwise(ratio(F.col("_b"), F.sum("_b").over(over))).alias("share"))
+
+
+def share_of(shares: dict[str, float]) -> Column:
+    """The named share of a row's book, zero for books without one."""
+    return F.coalesce(F.create_map(*(x for b, s in shares.items() for x in (F.lit(b), F.lit(s))))[F.col("book")], F.lit(0.0))
 
 
 def fixed_shares(weeks: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -84,64 +98,119 @@ def benchmarks(returns: DataFrame, leader) -> DataFrame:
     return a.unpivot("week", ["equal_weight", "leader"], "name", "ret").filter("ret is not null")
 
 
-def capped_shares(scores: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """total dealt by score with at most cap each; what the capped cannot take goes to the others. Too low caps leave a rest."""
-    out, free, left = np.zeros(len(scores)), scores > 0, total
-    while free.any() and left > 1e-12:
-        add = np.where(free, scores, 0) / scores[free].sum() * left
-        take = np.minimum(out + add, cap) - out
-        out += take
-        left -= take.sum()
-        free &= out < cap - 1e-12
-        if take.sum() <= 1e-15:
-            break
-    return out
+def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, cap: float, out: str, tie: str = "symbol") -> DataFrame:
+    """Adds each row's part of its group's ``target``: by score, at most ``cap``; what capped rows cannot take goes to the
+    others by score, or evenly where their scores are all zero. A target that all caps together don't reach is cut to them.
+
+    In order of score the first rows are capped, and the rest share what is left in proportion; the first row whose share
+    stays under the cap ends the capped ones. So one window with sums from the end replaces repeated passes."""
+    over = W.partitionBy(*by)
+    best = over.orderBy(F.col("_s").desc(), tie)
+    a = rows.withColumn("_s", F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
+    a = a.withColumns({"_n": F.count(F.lit(1)).over(over), "_before": F.row_number().over(best) - 1, "_rest": F.sum("_s").over(best.rowsBetween(0, W.unboundedFollowing))})
+    left = F.greatest(F.least(F.col(target), cap * F.col("_n")) - cap * F.col("_before"), F.lit(0.0))
+    part = F.when(F.col("_rest") > 0, left * F.col("_s") / F.col("_rest")).otherwise(left / (F.col("_n") - F.col("_before")))
+    a = a.withColumns({"_left": left, "_part": part})
+    free = F.when(F.col("_part") < cap - 1e-12, F.struct("_before", "_left", "_rest"))
+    a = a.withColumn("_free", F.min(free).over(over))  # the first row that is not capped
+    own = F.when(F.col("_free._rest") > 0, F.col("_free._left") * F.col("_s") / F.col("_free._rest")).otherwise(F.col("_free._left") / (F.col("_n") - F.col("_free._before")))
+    value = F.when(F.col("_free").isNull() | (F.col("_before") < F.col("_free._before")), F.least(F.lit(cap), F.col(target))).otherwise(own)
+    return a.withColumn(out, F.when(F.col(target) > 0, value).otherwise(0.0)).drop("_s", "_n", "_before", "_rest", "_left", "_part", "_free")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """How a book's weights are built from scores."""
-
-    frac: float = 0.25
-    gross: float = 1.0
-    long_share: float = 0.6
-    cap: float = 0.08
-    rank_power: float = 1.8
-    vol_power: float = 1.1
+    """How a book's weights are built from signals; the defaults are fixed values."""
+
+    min_names: int = 14
+    long_cap: float = 0.20
+    short_cap: float = 0.065
+    long_power: float = 1.8
+    short_power: float = 1.1
+    least_vol: float = 0.05
     most_turnover: float = 0.45
 
 
-def leg_weights(names: pd.DataFrame, target: float, rules: Rules) -> pd.Series:
-    """Weights of a leg's names (sorted from the best): power of rank over power of volatility, capped."""
-    n = len(names)
-    raw = ((n - np.arange(n)) / n) ** rules.rank_power / np.maximum(names["vol"].to_numpy(), 1e-4) ** rules.vol_power
-    return pd.Series(capped_shares(raw, target, rules.cap), names["symbol"])
-
-
-def build_weights(signals: DataFrame, rules: Rules) -> DataFrame:
-    """(book, week, symbol, w) from signals (book, week, symbol, score, vol): weekly legs, then a blend towards them from
-    last week's weights so that turnover stays under its limit. Weeks follow one another, so a book is one group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = pd.Series(dtype=float), []
-        for week, names in pdf.sort_values(["week", "score", "symbol"], ascending=[True, False, True]).groupby("week", sort=True):
-            k = min(len(names) // 2, max(1, int(np.ceil(len(names) * rules.frac)), int(np.ceil(rules.gross * rules.long_share / rules.cap))))
-            if k:
-                long = leg_weights(names.head(k), rules.gross * rules.long_share, rules)
-                short = leg_weights(names.tail(k)[::-1], rules.gross * (1 - rules.long_share), rules)
-                new = pd.concat([long, -short])
-                union = new.index.union(held.index)
-                change = (new.reindex(union, fill_value=0.0) - held.reindex(union, fill_value=0.0)).abs().sum() / 2
-                if len(held) and change > rules.most_turnover:
-                    step = rules.most_turnover / change
-                    new = held.reindex(union, fill_value=0.0) * (1 - step) + new.reindex(union, fill_value=0.0) * step
-                    new = new[new.index.isin(names["symbol"])]  # names that are gone this week are dropped
-                held = new[new != 0]
-            else:
-                held = held[held.index.isin(names["symbol"])]
-            out.append(pd.DataFrame({"week": week, "symbol": held.index, "w": held.to_numpy()}))
-        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"week": [], "symbol": [], "w": []}, dtype=object)
-        return found.assign(book=pdf["book"].iloc[0])[["book", "week", "symbol", "w"]]
-
-    kinds = dict(signals.dtypes)
-    return signals.select("book", "week", "symbol", "score", "vol").groupBy("book").applyInPandas(fold, f"book string, week date, symbol {kinds['symbol']}, w double")
+#: The long leg's share of gross in each regime. Fixed values.
+LONG_SHARE = {"RiskOn": 0.90, "Neutral": 0.75, "RiskOff": 0.70}
+#: Books: weights of factors, fraction of names in a leg, and gross exposure in risk-on, neutral and risk-off weeks. Fixed values.
+BOOKS = {
+    "mispricing": ({"RMOM1w": 0.25, "RMOM2w": 0.25, "SMBC": 0.25, "NetRel": 0.25}, 0.25, (0.90, 0.72, 0.52)),
+    "core_rank": ({"VolC": 0.55, "MAXRET": 0.45}, 0.25, (0.72, 0.64, 0.58)),
+    "priced_tilt": ({"CRASH8": 0.20, "BETA26": 0.20, "TVLC": 0.25, "SKEW52": 0.20, "NEWC": 0.15}, 0.20, (0.55, 0.42, 0.25)),
+}
+
+
+def exposures(regimes: DataFrame) -> DataFrame:
+    """(week, book, frac, gross, long_share) of weekly probabilities (week, p_RiskOff, p_Neutral, p_RiskOn)."""
+    on, neutral, off = F.col("p_RiskOn"), F.col("p_Neutral"), F.col("p_RiskOff")
+    books = F.explode(F.array(*(F.struct(F.lit(b).alias("book"), F.lit(frac).alias("frac"), (g[0] * on + g[1] * neutral + g[2] * off).alias("gross")) for b, (_, frac, g) in BOOKS.items())))
+    share = LONG_SHARE["RiskOn"] * on + LONG_SHARE["Neutral"] * neutral + LONG_SHARE["RiskOff"] * off
+    return regimes.select("week", share.alias("long_share"), books.alias("b")).select("week", "b.*", "long_share")
+
+
+def target_weights(signals: DataFrame, exposure: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(book, week, symbol, signal, side, w) from signals (book, week, symbol, signal, vol) and ``exposures``: weights
+    before any limit on turnover. Weeks with fewer than ``min_names`` signals have none.
+
+    The last names by signal are long, the first are short, and a name in both legs is short. A leg's raw weight is the
+    distance from its weakest signal, to a power, over volatility (unknown: the week's median; at least ``least_vol``)."""
+    week = W.partitionBy("book", "week")
+    a = signals.filter("signal is not null").withColumn("_n", F.count(F.lit(1)).over(week)).filter(F.col("_n") >= rules.min_names).join(exposure, ["book", "week"])
+    a = a.withColumn("_long", F.col("gross") * F.col("long_share")).withColumn("_short", F.col("gross") * (1 - F.col("long_share")))
+    a = a.withColumn("_r", F.row_number().over(week.orderBy("signal", "symbol")))
+    longs, shorts = leg_count(F.col("_n"), F.col("frac"), F.col("_long"), rules.long_cap), leg_count(F.col("_n"), F.col("frac"), F.col("_short"), rules.short_cap)
+    a = a.withColumn("side", F.when(F.col("_r") <= shorts, -1).when(F.col("_r") > F.col("_n") - longs, 1).otherwise(0))
+    vol = F.greatest(F.coalesce("vol", F.median("vol").over(week)), F.lit(rules.least_vol))
+    leg = W.partitionBy("book", "week", "side")
+    above, below = F.col("signal") - F.min("signal").over(leg) + 1e-6, F.max("signal").over(leg) - F.col("signal") + 1e-6
+    a = a.withColumn("_raw", F.when(F.col("side") == 1, F.pow(above, rules.long_power) / vol).when(F.col("side") == -1, F.pow(below, rules.short_power) / vol))
+    legs = None
+    for side, target, cap in ((1, "_long", rules.long_cap), (-1, "_short", rules.short_cap), (0, None, 0.0)):
+        one = a.filter(F.col("side") == side)
+        one = capped_allocation(one, ["book", "week"], "_raw", target, cap, "_w") if target else one.withColumn("_w", F.lit(0.0))
+        one = one.select("book", "week", "symbol", "signal", "side", (F.col("_w") * side).alias("w"))
+        legs = one if legs is None else legs.unionByName(one)
+    return legs
+
+
+def limit_turnover(targets: DataFrame, most: float = 0.45) -> DataFrame:
+    """(book, week, symbol, w) of target weights, each week moved from the last one's weights only as far as turnover stays
+    within ``most``; names without a target that week are dropped.
+
+    Weeks depend on one another, books don't. A book's rows are sorted by week and read in that order, so that a task
+    holds one week and the weights held before, never the history. Names that no leg ever takes are left out before."""
+    kind = dict(targets.dtypes)["symbol"]
+    ever = targets.groupBy("book", "symbol").agg(F.max(F.abs("w")).alias("_m")).filter("_m > 0").select("book", "symbol")
+    rows = targets.join(ever, ["book", "symbol"]).select("book", "week", "symbol", "w")
+
+    def step(week: pd.DataFrame, held: pd.Series | None) -> pd.Series:
+        new = pd.Series(week["w"].to_numpy(), week["symbol"].to_numpy())
+        if held is not None:
+            names = new.index.union(held.index)
+            goal, past = new.reindex(names, fill_value=0.0), held.reindex(names, fill_value=0.0)
+            moved = 0.5 * (goal - past).abs().sum()
+            if moved > most:
+                new = (past + most / moved * (goal - past)).reindex(new.index)
+        return new
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, held, waiting = None, None, None
+        for part in parts:
+            part = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
+            groups = list(part.groupby(["book", "week"], sort=True))
+            waiting = groups[-1][1] if groups else None  # its week may go on in the next batch
+            out = []
+            for (name, week), rows in groups[:-1]:
+                held = step(rows, held if name == book else None)
+                book = name
+                out.append(pd.DataFrame({"book": name, "week": week, "symbol": held.index, "w": held.to_numpy()}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if waiting is not None and len(waiting):
+            name, week = waiting["book"].iloc[0], waiting["week"].iloc[0]
+            held = step(waiting, held if name == book else None)
+            yield pd.DataFrame({"book": name, "week": week, "symbol": held.index, "w": held.to_numpy()})
+
+    ordered = rows.repartition("book").sortWithinPartitions("book", "week", "symbol")
+    return ordered.mapInPandas(fold, f"book string, week date, symbol {kind}, w double").filter("w <> 0")

@@ -4,16 +4,18 @@ Candidates are a key of one long table, so each step is one job over all of them
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from panelforge.functions import ratio
 
-from . import factors, matrix, rolling, stats
+from . import factors, matrix, rolling, stats, xsec
 from .panel import by_symbol
 
 
-def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1, 2, 3, 4, 8, 12, 26, 52), risk_windows: tuple[int, ...] = (8, 12, 26, 52)) -> tuple[DataFrame, list[str]]:
+def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1, 2, 3, 4, 8, 12, 26, 52), risk_windows: tuple[int, ...] = (8, 12, 26, 52), attention: tuple[int, ...] = (1, 2, 4, 8)) -> tuple[DataFrame, list[str]]:
     """rows with a column for each measure and window, and the columns' names."""
     r, p, m = F.col("ret"), F.col("price"), F.col(market)
     found = {}
@@ -25,13 +27,15 @@ def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1,
         }
     for n in risk_windows:
         up, down = F.when(r > 0, r), F.when(r < 0, r)
-        found |= {f"beta_{n}w": rolling.beta_mixed(r, m, n), f"corr_mkt_{n}w": rolling.correlation(r, m, n), f"upvol_{n}w": rolling.sd(up, n), f"downvol_{n}w": rolling.sd(down, n), f"volratio_{n}w": ratio(rolling.sd(up, n), rolling.sd(down, n))}
-    found |= {"age": F.row_number().over(by_symbol()) - 1, "log_mcap": F.log("mcap")}
+        found |= {f"beta_{n}w": rolling.beta_mixed(r, m, n), f"corr_mkt_{n}w": rolling.correlation(r, m, n), f"upvol_{n}w": rolling.sd(up, n), f"downvol_{n}w": rolling.sd(down, n), f"volratio_{n}w": ratio(rolling.sd(down, n), rolling.sd(up, n))}
+    found |= {"age": F.datediff("week", F.min("week").over(W.partitionBy("symbol"))) / 7, "log_mcap": F.log(F.when(F.col("mcap") > 0, F.col("mcap")))}
     rows = rows.withColumns(found)
     # The deviation of what the market does not explain needs the rolling beta first.
     rows = rows.withColumns({f"_e{n}": r - F.col(f"beta_{n}w") * m for n in risk_windows})
     rows = rows.withColumns({f"idvol_{n}w": rolling.sd(F.col(f"_e{n}"), n) for n in risk_windows}).drop(*(f"_e{n}" for n in risk_windows))
-    return rows, [*found, *(f"idvol_{n}w" for n in risk_windows)]
+    # Attention is the mean absolute return over its median among the week's symbols.
+    rows = xsec.medians_scaled(rows, {f"absret_{n}w": f"attention_{n}w" for n in attention})
+    return rows, [*found, *(f"idvol_{n}w" for n in risk_windows), *(f"attention_{n}w" for n in attention)]
 
 
 def candidates(rows: DataFrame, names: list[str], **how) -> DataFrame:
@@ -47,10 +51,55 @@ def screened(series: DataFrame, least: int = 30) -> DataFrame:
     return stats.corrections(tests, "t", ["factor"])
 
 
-def priced(returns: DataFrame, base: DataFrame, series: DataFrame) -> DataFrame:
-    """The premium of each candidate beside the base factors, a group a candidate."""
-    own = series.select(F.col("factor").alias("candidate"), "week", F.lit("candidate").alias("factor"), "ret")
-    keys = series.select(F.col("factor").alias("candidate")).distinct()
-    shared = base.select("week", "factor", "ret").crossJoin(F.broadcast(keys)).select("candidate", "week", "factor", "ret")  # candidates are a fixed grid
-    found = matrix.giglio_xiu(returns, own.unionByName(shared), ["candidate"])
-    return found.filter("factor = 'candidate'").drop("factor")
+def unlike(base: DataFrame, series: DataFrame, twin: float = 0.995) -> DataFrame:
+    """candidate, nearest base factor and its correlation, of the candidates that are no twin of a base factor."""
+    own = series.select(F.col("factor").alias("candidate"), "week", F.col("ret").alias("x")).filter("x is not null")
+    pairs = own.join(base.select("week", F.col("factor").alias("base"), F.col("ret").alias("y")), "week").groupBy("candidate", "base").agg(F.corr("x", "y").alias("rho")).filter("rho is not null")
+    best = pairs.groupBy("candidate").agg(F.max_by(F.struct("base", "rho"), F.struct(F.abs("rho"), "base")).alias("m"))
+    return best.select("candidate", F.col("m.base").alias("nearest"), F.col("m.rho").alias("rho")).filter(F.abs("rho") <= twin)
+
+
+def priced(returns: DataFrame, base: DataFrame, series: DataFrame, windows: DataFrame, least: int = 52) -> DataFrame:
+    """Premia of each candidate beside the base factors in each window (window, lo, hi), with the nearest base factor.
+
+    A characteristic's two directions are one fit, as the premium and its t only change their sign; a candidate's windows
+    are one group, as they share its returns."""
+    high = series.filter(F.col("factor").endswith("+"))
+    enough = high.groupBy("factor").agg(F.count("ret").alias("_n")).filter(F.col("_n") >= least).select("factor")
+    keys = unlike(base, high.join(enough, "factor", "left_semi"))
+    own = high.join(keys.select(F.col("candidate").alias("factor")), "factor", "left_semi").select(F.col("factor").alias("candidate"), "week", F.lit("candidate").alias("name"), "ret", F.lit(False).alias("asset"))
+    one = F.broadcast(keys.select("candidate"))  # a fixed grid
+    shared = base.select("week", F.col("factor").alias("name"), "ret", F.lit(False).alias("asset"))
+    assets = returns.filter("ret is not null").select("week", F.col("symbol").cast("string").alias("name"), "ret", F.lit(True).alias("asset"))
+    spans = windows.agg(F.collect_list(F.struct("window", "lo", "hi")).alias("spans"))  # one row
+    rows = own.unionByName(shared.unionByName(assets).crossJoin(one).select("candidate", "week", "name", "ret", "asset")).filter("ret is not null").crossJoin(F.broadcast(spans))
+    rows = rows.select("candidate", "week", "name", "ret", "asset", F.to_json("spans").alias("spans"))
+
+    def price(pdf: pd.DataFrame) -> pd.DataFrame:
+        import json
+
+        out = []
+        for span in json.loads(pdf["spans"].iloc[0]):
+            lo, hi = (pd.Timestamp(span[k]).date() for k in ("lo", "hi"))
+            part = pdf[(pdf["week"] >= lo) & (pdf["week"] <= hi)]
+            if len(part):
+                counts = part[part["asset"]].groupby("name")["ret"].transform("count")
+                part = part[~part["asset"] | (counts.reindex(part.index).fillna(0) >= 24)]
+                found = matrix.priced_group(part)
+                out.append(found[found["factor"] == "candidate"].assign(window=span["window"]))
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        return pd.concat(out, ignore_index=True).assign(candidate=pdf["candidate"].iloc[0])[names] if out else pd.DataFrame({c: [] for c in names}, dtype=object)
+
+    schema = f"candidate string, window string, {matrix.PREMIA}"
+    found = rows.groupBy("candidate").applyInPandas(price, schema).drop("factor").join(keys, "candidate")
+    turned = ("premium", "t", "low", "high", "premium_alone", "t_alone", "fmb_mean", "fmb_t", "rho")
+    low = found.withColumn("candidate", F.regexp_replace("candidate", r"\+$", "-")).withColumns({c: -F.col(c) for c in turned}).withColumnsRenamed({"low": "high", "high": "low"})
+    return found.unionByName(low)
+
+
+def joint(returns: DataFrame, base: DataFrame, series: DataFrame, k: int) -> DataFrame:
+    """Premia of the base factors and the k candidates of greatest |t|, one of a characteristic, in one model."""
+    high = series.filter(F.col("factor").endswith("+"))
+    best = screened(high).orderBy(F.abs("t").desc(), "factor").limit(k).select("factor")  # k is asked for
+    chosen = high.join(F.broadcast(best), "factor", "left_semi")
+    return matrix.giglio_xiu(returns, base.select("week", "factor", "ret").unionByName(chosen.select("week", "factor", "ret")))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.functions import normal_cdf, ratio
+from panelforge.functions import normal_cdf, normal_quantile, ratio
 
 
 def newey_west(series: DataFrame, keys: list[str], value: str, lags: int = 4, order: str = "week") -> DataFrame:
@@ -44,10 +41,10 @@ def window_stats(series: DataFrame, keys: list[str], value: str, least: int = 5)
     return t.join(a, keys).select(*keys, "n", (F.col("_m") * 52).alias("ann_mean"), (ratio(F.col("_m"), F.col("_s")) * F.sqrt(F.lit(52.0))).alias("sharpe"), "t", "skew", "exkurt", F.exp(-jb / 2).alias("jb_p"))
 
 
-def verdict(t_in: Column, t_out: Column) -> Column:
-    """Confirmed: |t| of 2 in sample, and out of sample the same sign with |t| of 1."""
-    same = F.signum(t_in) == F.signum(t_out)
-    return F.when(F.abs(t_in) < 2, "weak").when(same & (F.abs(t_out) >= 1), "confirmed").when(same, "faded").otherwise("reversed")
+def verdict(t_in: Column, t_out: Column, value_in: Column, value_out: Column) -> Column:
+    """Weak: |t| under 2 in sample. Robust: out of sample the same sign with |t| of 1. Else in sample only."""
+    holds = (F.signum(value_in) == F.signum(value_out)) & (F.abs(t_out) >= 1)
+    return F.when(t_in.isNull() | (F.abs(t_in) < 2), "weak").when(holds, "robust").otherwise("in_sample_only")
 
 
 def drawdown(series: DataFrame, keys: list[str], value: str, order: str = "week") -> DataFrame:
@@ -103,15 +100,64 @@ def corrections(tests: DataFrame, t: str, keys: list[str]) -> DataFrame:
     return a.withColumns({"bonferroni": F.col("p") * F.col("_m") <= 0.05, "q": q}).drop("_m", "_r", "_q")
 
 
-def grade(t_price: Column, t_ic_in: Column, t_ic_out: Column, dominates: Column) -> Column:
-    """Seven grades of evidence, from priced, predictive and dominant to none."""
-    priced, inside, outside = F.abs(t_price) >= 2, F.abs(t_ic_in) >= 2, F.abs(t_ic_out) >= 1
+#: Grades of evidence from strong to none, and the bars of t they are cut at. Fixed values.
+GRADES = ("Confirmed", "Priced risk", "Tradable signal", "Suggestive", "Economic-only", "Structure", "Not supported")
+PRICED, BORDER, HOLDS = 1.65, 1.3, 1.0
+
+
+def grade(t_price: Column, ic_in: Column, ic_out: Column, assd: Column, dominated: Column, market: Column, structure: Column) -> Column:
+    """The grade of a factor by the t of its premium, the t of its information coefficient in and out of sample, in the
+    direction of its bet (null: it has none), second-order dominance over the market, and whether the market dominates it.
+    The market's own premium is priced risk, factors that only describe structure are that."""
+    at_least = lambda t, bar: F.coalesce(t >= bar, F.lit(False))
+    priced = at_least(F.abs(t_price), PRICED)
+    border = at_least(F.abs(t_price), BORDER) & ~priced
+    strong = at_least(ic_in, PRICED) & at_least(ic_out, HOLDS)
+    reverse = at_least(-ic_in, PRICED) & at_least(-ic_out, HOLDS)
+    partly = at_least(ic_in, BORDER) | (at_least(ic_in, HOLDS) & at_least(ic_out, HOLDS))
+    ranks = strong | reverse
     return (
-        F.when(priced & inside & outside & dominates, "A+").when(priced & inside & outside, "A").when(priced & inside, "A-")
-        .when(priced, "B").when(inside & outside, "C+").when(inside, "C").otherwise("D")
+        F.when(market, "Priced risk").when(structure, "Structure").when(ranks & priced, "Confirmed").when(priced, "Priced risk").when(ranks, "Tradable signal")
+        .when(F.coalesce(assd, F.lit(False)) | partly | border, "Suggestive")
+        .when(F.coalesce(dominated, F.lit(False)) | (at_least(-ic_in, PRICED) & ~reverse), "Not supported").when(ic_in.isNull(), "Economic-only").otherwise("Not supported")
     )
 
 
+def dominance_flags(found: DataFrame) -> DataFrame:
+    """Adds the shares in the other direction and whether x almost dominates y, or y x, at first and second order. The areas
+    of both directions add up to the whole, so the reverse share is one less the share, or both are zero."""
+    back = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(1 - F.col(c))
+    a = found.withColumns({"rev1": back("eps1"), "rev2": back("eps2"), "eps1": F.coalesce("eps1", F.lit(0.0)), "eps2": F.coalesce("eps2", F.lit(0.0))})
+    return a.withColumns({"afsd": F.col("eps1") <= 0.059, "assd": F.col("eps2") <= 0.032, "afsd_by": F.col("rev1") <= 0.059, "assd_by": F.col("rev2") <= 0.032})
+
+
+def composite(series: DataFrame, names: DataFrame, name: str, value: str, order: str = "week") -> DataFrame:
+    """(week, value): the mean over the named series, those unknown in a week left out."""
+    return series.join(names.select(name), name, "left_semi").groupBy(order).agg(F.avg(value).alias(value))
+
+
+def rolling_newey_west(series: DataFrame, keys: list[str], value: str, n: int = 26, lags: int = 4, order: str = "week") -> DataFrame:
+    """(keys, week, mean, t) over the n known rows before each; null for the first n. Sums of products of rows and of the
+    rows before them are taken over one window, and centred by its mean afterwards."""
+    over = W.partitionBy(*keys).orderBy(order)
+    a = series.filter(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(over))
+    made = {}
+    for lag in range(1, lags + 1):
+        made[f"_p{lag}"] = F.col(value) * F.lag(value, lag).over(over)
+    a = a.withColumns(made)
+    prior = over.rowsBetween(-n, -1)
+    m = F.avg(value).over(prior)
+    total = (F.avg(F.col(value) * F.col(value)).over(prior) - m * m)
+    for lag in range(1, lags + 1):
+        late = over.rowsBetween(-(n - lag), -1)  # the later rows of the window's pairs
+        early = over.rowsBetween(-n, -1 - lag)
+        gamma = F.avg(f"_p{lag}").over(late) - m * (F.avg(value).over(late) + F.avg(value).over(early)) + m * m
+        total = total + 2 * (1 - lag / (lags + 1)) * gamma
+    se = F.sqrt(F.when(total > 0, total) / n)
+    enough = F.col("_k") > n
+    return a.select(*keys, order, F.when(enough, m).alias("mean"), F.when(enough, ratio(m, se)).alias("t"))
+
+
 def autocorrelation(series: DataFrame, keys: list[str], value: str, most: int = 12, order: str = "week") -> DataFrame:
     """Correlation of the series with itself k rows before, for k up to ``most``."""
     over = W.partitionBy(*keys).orderBy(order)
@@ -142,13 +188,16 @@ def nearest(pairs: DataFrame, twin: float = 0.995) -> DataFrame:
     return best.select("a", F.col("m.b").alias("nearest"), F.col("m.rho").alias("rho"), (F.abs("m.rho") > twin).alias("twin"))
 
 
-def quantile_points(series: DataFrame, value: str, order: str = "week") -> DataFrame:
-    """Sorted values beside the normal quantiles at i / (n + 1) of the same mean and deviation."""
-    @F.pandas_udf("double")
-    def inverse(p: pd.Series) -> pd.Series:
-        return p.map(NormalDist().inv_cdf)
-
+def quantile_points(series: DataFrame, keys: list[str], value: str, order: str = "week") -> DataFrame:
+    """(keys, i, value, normal): sorted values beside the normal quantiles at i / (n + 1) of the same mean and deviation."""
     known = series.filter(F.col(value).isNotNull())
-    whole = W.partitionBy()
-    a = known.select(F.col(value).alias("value"), F.row_number().over(W.orderBy(value, order)).alias("i"), F.count("*").over(whole).alias("n"), F.avg(value).over(whole).alias("m"), F.stddev_samp(value).over(whole).alias("s"))
-    return a.select("i", "value", (inverse(F.col("i") / (F.col("n") + 1)) * F.col("s") + F.col("m")).alias("normal"))
+    whole = W.partitionBy(*keys)
+    a = known.select(*keys, F.col(value).alias("value"), F.row_number().over(whole.orderBy(value, order)).alias("i"), F.count("*").over(whole).alias("n"), F.avg(value).over(whole).alias("m"), F.stddev_samp(value).over(whole).alias("s"))
+    return a.select(*keys, "i", "value", (normal_quantile(F.col("i") / (F.col("n") + 1)) * F.col("s") + F.col("m")).alias("normal"))
+
+
+def leaders(rows: DataFrame, keys: list[str], name: str, loading: str, k: int) -> DataFrame:
+    """(keys, leaders): the k names of greatest magnitude, in order, each with the sign of its loading."""
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.abs(loading).desc(), name))).filter(F.col("_r") <= k)
+    item = F.concat(F.col(name).cast("string"), F.when(F.col(loading) >= 0, "+").otherwise("-"))
+    return ranked.groupBy(*keys).agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("_r", item.alias("x")))), lambda s: s["x"])).alias("leaders"))

@@ -21,6 +21,18 @@ def zscore(rows: DataFrame, x: str, out: str, flat_to_zero: bool = True, by: tup
     return rows.join(stats, list(by), "left").withColumn(out, z).drop("_m", "_s")
 
 
+def zscores(rows: DataFrame, measures: dict[str, str], flat_to_zero: bool = True, by: tuple[str, ...] = ("week",)) -> DataFrame:
+    """As ``zscore`` for several measures (column to its score): one aggregate and one join, however many they are."""
+    stats = rows.groupBy(*by).agg(*(f(x).alias(f"_{k}_{x}") for x in measures for k, f in (("m", F.avg), ("s", F.stddev_samp))))
+    joined = rows.join(stats, list(by), "left")
+    made = {}
+    for x, out in measures.items():
+        m, s = F.col(f"_m_{x}"), F.col(f"_s_{x}")
+        z = ratio(F.col(x) - m, s)
+        made[out] = F.when(s.isNull() | (s <= 0), F.col(x) * 0.0).otherwise(z) if flat_to_zero else z
+    return joined.withColumns(made).drop(*(f"_{k}_{x}" for x in measures for k in "ms"))
+
+
 def winsorize(rows: DataFrame, x: str, out: str, p: float = 0.01, by: tuple[str, ...] = ("week",)) -> DataFrame:
     """Adds x clipped to its quantiles p and 1 - p."""
     edges = rows.groupBy(*by).agg(F.percentile(x, [p, 1 - p]).alias("_q"))
@@ -45,6 +57,12 @@ def median_scaled(rows: DataFrame, x: str, out: str, by: tuple[str, ...] = ("wee
     return rows.join(mid, list(by), "left").withColumn(out, ratio(F.col(x), F.col("_m"))).drop("_m")
 
 
+def medians_scaled(rows: DataFrame, measures: dict[str, str], by: tuple[str, ...] = ("week",)) -> DataFrame:
+    """As ``median_scaled`` for several measures (column to its name): one aggregate and one join."""
+    mid = rows.groupBy(*by).agg(*(F.percentile(x, 0.5).alias(f"_m_{x}") for x in measures))
+    return rows.join(mid, list(by), "left").withColumns({out: ratio(F.col(x), F.col(f"_m_{x}")) for x, out in measures.items()}).drop(*(f"_m_{x}" for x in measures))
+
+
 def clip_above(rows: DataFrame, x: str, out: str, q: float = 0.99) -> DataFrame:
     """Adds x clipped to its quantile over all rows."""
     top = rows.agg(F.percentile(x, q).alias("_q"))
@@ -92,6 +110,18 @@ def leave_one_out(rows: DataFrame, x: str, group: str) -> DataFrame:
     return a.withColumns({"own": own, "other": other, "relative": F.col(x) - other}).drop("_cs", "_cn", "_ws", "_wn")
 
 
+def network_signals(rows: DataFrame, x: str, group: str) -> DataFrame:
+    """Adds within (the z-score of x's rank among its group, zero in a group of one) and relative (x less the mean over the
+    other groups), in windows over a week and a group; rows without a group are one."""
+    inner, week = W.partitionBy("week", group), W.partitionBy("week")
+    a = rows.withColumn("_r", average_rank(F.col(x), ("week", group)))
+    sd = F.stddev_samp("_r").over(inner)
+    z = F.when(F.coalesce(sd, F.lit(0.0)) <= 0, F.col("_r") * 0.0).otherwise(ratio(F.col("_r") - F.avg("_r").over(inner), sd))
+    total, own = F.sum(x).over(week), F.coalesce(F.sum(x).over(inner), F.lit(0.0))
+    other = ratio(total - own, F.count(x).over(week) - F.count(x).over(inner))
+    return a.withColumns({"within": z, "relative": F.col(x) - other}).drop("_r")
+
+
 def entropy(labels: DataFrame, group: str) -> DataFrame:
     """Shannon entropy of the group sizes of each week, and the number of groups."""
     sizes = labels.filter(F.col(group).isNotNull()).groupBy("week", group).agg(F.count("*").alias("_n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import leg_count
-from panelforge.operators import factors, graph, matrix, panel, portfolio, regime, rolling, search, stats, xsec
+from panelforge.operators import factors, graph, matrix, panel, portfolio, rolling, stats, xsec
 from panelforge.session import materialize
 from panelforge.sources import table
 
@@ -243,33 +243,17 @@ def backtest_turnover_cost(spark, d):
 
 
 BOOKS = {"mispricing": "LOWVOL", "core_rank": "MOM", "priced_tilt": "SIZE"}
-BASE = {"mispricing": 0.5, "core_rank": 0.35, "priced_tilt": 0.15}
-
-
-@query(f"""
-WITH {SERIES}, nb AS (SELECT week, CASE factor WHEN 'LOWVOL' THEN 'mispricing' WHEN 'MOM' THEN 'core_rank' ELSE 'priced_tilt' END AS book, ret / 20 AS net FROM z WHERE factor IN ('LOWVOL', 'MOM', 'SIZE')),
-h AS (SELECT *, list(net) OVER w AS hist, avg(net) OVER w / nullif(stddev_samp(net) OVER w, 0) AS sr FROM nb WINDOW w AS (PARTITION BY book ORDER BY week ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)),
-sc AS (SELECT week, book, CASE WHEN len(hist) >= 13 THEN greatest(coalesce(sr, 0), 0) * (1 + list_reduce(list_transform(range(1, len(hist) + 1), lambda i: list_product(list_transform(hist[1:i], lambda x: 1 + x)) / greatest(1, list_max(list_transform(range(1, i + 1), lambda j: list_product(list_transform(hist[1:j], lambda x: 1 + x))))) - 1), lambda a, b: least(a, b))) END AS score0, hist FROM h),
-s2 AS (SELECT week, book, score0 AS score FROM sc),
-al AS (SELECT *, CASE book WHEN 'mispricing' THEN 0.5 WHEN 'core_rank' THEN 0.35 ELSE 0.15 END AS b, sum(score) OVER (PARTITION BY week) AS t, count(score) OVER (PARTITION BY week) = count(*) OVER (PARTITION BY week) AS k FROM s2),
-rw AS (SELECT *, CASE WHEN k AND t > 0 THEN 0.35 * b + 0.65 * score / t ELSE b END AS raw FROM al), sm AS (SELECT *, sum(raw) OVER (PARTITION BY week) AS total FROM rw),
-cp AS (SELECT week, book, CASE WHEN book = 'priced_tilt' THEN least(raw, 0.18 * total) ELSE raw END AS raw FROM sm)
-SELECT week, book, round(raw / sum(raw) OVER (PARTITION BY week) + 1e-8, 5) AS share FROM cp""")
-def book_allocation(spark, d):
-    return rounded(portfolio.allocate(portfolio.trailing_score(books(spark, d)).withColumn("tilt", F.lit(1.0)), BASE), 5)
-
-
 def books(spark, d):
     name = F.create_map(*(x for b, f in BOOKS.items() for x in (F.lit(f), F.lit(b))))
     return zoo_of(spark, d).filter(F.col("factor").isin(*BOOKS.values())).select("week", name[F.col("factor")].alias("book"), (F.col("ret") / 20).alias("net"))
 
 
 @query(f"""
-WITH {WEIGHTS}, b AS (SELECT week, symbol, 'a' AS book, w FROM w UNION ALL SELECT week, symbol, 'b', -w / 2 FROM w WHERE symbol % 2 = 0)
+WITH {WEIGHTS}, b AS (SELECT week, symbol, 'a' AS book, w FROM w UNION ALL SELECT week, symbol, 'b', -w / 2 FROM w WHERE w > 0)
 SELECT week, symbol, round(sum(w * CASE book WHEN 'a' THEN 0.75 ELSE 0.25 END) + 1e-8, 7) AS w FROM b GROUP BY 1, 2""")
 def combine_books(spark, d):
     w = simple_weights(spark, d)
-    both = w.select("week", "symbol", F.lit("a").alias("book"), "w").unionByName(w.filter("symbol % 2 = 0").select("week", "symbol", F.lit("b").alias("book"), (-F.col("w") / 2).alias("w")))
+    both = w.select("week", "symbol", F.lit("a").alias("book"), "w").unionByName(w.filter("w > 0").select("week", "symbol", F.lit("b").alias("book"), (-F.col("w") / 2).alias("w")))
     shares = portfolio.fixed_shares(w.select("week").distinct(), {"a": 3.0, "b": 1.0, "c": -1.0})
     return rounded(portfolio.combine(both, shares), 7)
 
@@ -329,21 +313,6 @@ def supply_trend_fit(spark, d):
     return factors.supply_trend(returns(spark, d)).select("symbol", "week", rd("slope", 7).alias("slope"), rd("supply", 4).alias("supply"))
 
 
-@query(f"""
-WITH {PANEL}, m AS (SELECT week, avg(ret) AS mean_ret, stddev_samp(ret) AS dispersion, sum(CASE WHEN symbol = 1 THEN mcap END) / sum(mcap) AS dominance FROM r GROUP BY week),
-a AS (SELECT *, CASE WHEN count(mean_ret) OVER (ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) >= 2 THEN sum(mean_ret) OVER (ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS mom, dominance - lag(dominance, 4) OVER (ORDER BY week) AS dd FROM m),
-z AS (SELECT week, {', '.join(f'CASE WHEN count({x}) OVER w >= 8 THEN ({x} - avg({x}) OVER w) / nullif(stddev_samp({x}) OVER w, 0) END AS z_{x}' for x in ('mom', 'dispersion', 'dd'))} FROM a WINDOW w AS (ORDER BY week ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)),
-s AS (SELECT week, lag(z_mom) OVER o - 0.5 * lag(z_dispersion) OVER o - 0.25 * lag(z_dd) OVER o AS score FROM z WINDOW o AS (ORDER BY week)),
-q AS (SELECT quantile_cont(score, [1.0 / 3, 2.0 / 3]) AS q FROM s)
-SELECT week, round(score + 1e-8, 5) AS score, CASE WHEN score IS NULL THEN NULL WHEN score <= q[1] THEN 'RiskOff' WHEN score >= q[2] THEN 'RiskOn' ELSE 'Neutral' END AS label FROM s, q""")
-def regime_labels(spark, d):
-    return labelled(spark, d).select("week", rd("score", 5).alias("score"), "label")
-
-
-def labelled(spark, d):
-    return regime.labels(regime.features(factors.market_state(returns(spark, d), 1)))
-
-
 @query(f"""
 WITH {SERIES} SELECT week, factor, round(avg(ret) OVER w + 1e-8, 6) AS mean13, round(CASE WHEN count(ret) OVER p >= 52 THEN avg(ret) OVER p / nullif(stddev_samp(ret) OVER p, 0) * sqrt(52) END + 1e-8, 5) AS sharpe52
 FROM z WINDOW w AS (PARTITION BY factor ORDER BY week ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), p AS (PARTITION BY factor ORDER BY week ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)""")
@@ -422,7 +391,7 @@ def spearman_mst(spark, d):
 
 @query()
 def louvain_network_panel(spark, d):
-    return graph.network_panel(sorted_panel(spark, d), graph.RECIPES["network"], "ret")
+    return graph.network_panel(materialize(sorted_panel(spark, d), "panel"), graph.RECIPES["network"], "mom4c")
 
 
 @query()
@@ -437,45 +406,4 @@ def unit_root(spark, d):
 
 @query()
 def qq_points(spark, d):
-    return stats.quantile_points(zoo_of(spark, d).filter("factor = 'LOWVOL'"), "ret")
-
-
-@query()
-def regime_probs(spark, d):
-    return regime.probabilities(labelled(spark, d), "1999-12-27")
-
-
-def signals(spark, d):
-    """Scores of the three books from z-scored characteristics, with volatilities for the inverse-volatility weights."""
-    a = sorted_panel(spark, d).filter("vol4 is not null")
-    for c in ("vol4", "mom4", "log_mcap", "fee_yield"):
-        a = xsec.zscore(a, c, f"z_{c}")
-    scores = {"mispricing": {"z_vol4": -1.0, "z_fee_yield": 0.5}, "core_rank": {"z_mom4": 1.0}, "priced_tilt": {"z_log_mcap": -1.0}}
-    made = F.explode(F.array(*(F.struct(F.lit(b).alias("book"), xsec.score(a, w).alias("score")) for b, w in scores.items())))
-    return a.select("week", "symbol", F.col("vol4").alias("vol"), "fwd", made.alias("s")).select("week", "symbol", "vol", "fwd", "s.*")
-
-
-@query()
-def weights_fold(spark, d):
-    return portfolio.build_weights(signals(spark, d), portfolio.Rules())
-
-
-@query()
-def ensemble_backtest(spark, d):
-    """The flagship: three books' weights, their profits, causal tilted allocations, and the combined backtest."""
-    s = materialize(signals(spark, d), "signals")
-    held = materialize(portfolio.build_weights(s, portfolio.Rules()), "weights")  # the fold runs once; its weights are used four times
-    ahead = materialize(returns(spark, d).select("week", "symbol", "fwd"), "returns")
-    net = portfolio.backtest(held, ahead, ["book"]).select("week", "book", "net")
-    p = regime.labels(regime.features(factors.market_state(returns(spark, d), 1))).select("week", (F.col("label") == "RiskOff").cast("double").alias("off"), (F.col("label") == "RiskOn").cast("double").alias("on"))
-    scored = portfolio.trailing_score(net).join(p, "week", "left")
-    tilt = portfolio.regime_tilt(F.col("book"), F.coalesce("off", F.lit(0.2)), F.coalesce("on", F.lit(0.2)))
-    shares = portfolio.allocate(scored.withColumn("tilt", tilt), BASE)
-    return portfolio.backtest(portfolio.combine(held, shares), ahead, [])
-
-
-@query()
-def candidate_search(spark, d):
-    a = returns(spark, d)
-    a, names = search.grid(a.join(factors.equal_weight_market(a), "week"), windows=(2, 4, 8, 12), risk_windows=(8, 12))
-    return search.screened(materialize(search.candidates(a, names), "candidates"))
+    return stats.quantile_points(zoo_of(spark, d), ["factor"], "ret")

@@ -220,10 +220,14 @@ def ffill_then_mean(spark, d):
 
 
 @query(f"""
-WITH {PANEL}, w AS (SELECT DISTINCT week FROM p), s AS (SELECT unnest(range(1, 6)) AS symbol)
-SELECT w.week, CAST(s.symbol AS VARCHAR) AS symbol, round(price + 1e-8, 4) AS price FROM w CROSS JOIN s LEFT JOIN p USING (week, symbol)""")
+WITH {PANEL}, l AS (SELECT week, CAST(symbol AS VARCHAR) AS symbol, unnest(['price', 'mcap', 'fees', 'tvl']) AS measure, unnest([price, mcap, fees, tvl]) AS v FROM p)
+SELECT week, symbol, measure, round(v + 1e-8, 4) AS v FROM l WHERE measure <> 'mcap'""")
 def unpivot_pivot(spark, d):
-    return rounded(panel.to_long(panel.to_wide(weekly(spark, d), "price", [1, 2, 3, 4, 5]), "price"), 4)
+    """All measures in long form, pivoted by measure, one dropped, and unpivoted again."""
+    p = weekly(spark, d).withColumn("symbol", F.col("symbol").cast("string"))
+    long = panel.to_long(p.select("week", "symbol", "price", "mcap", "fees", "tvl"), ["week", "symbol"], "measure", "v")
+    wide = panel.to_wide(long, ["week", "symbol"], "measure", "v", ["price", "mcap", "fees", "tvl"]).drop("mcap")
+    return rounded(panel.to_long(wide, ["week", "symbol"], "measure", "v"), 4)
 
 
 @query(f"""
