@@ -92,8 +92,8 @@ def priced(returns: DataFrame, base: DataFrame, series: DataFrame, windows: Data
 
     schema = f"candidate string, window string, {matrix.PREMIA}"
     found = rows.groupBy("candidate").applyInPandas(price, schema).drop("factor").join(keys, "candidate")
-    turned = ("premium", "t", "low", "high", "premium_alone", "t_alone", "fmb_mean", "fmb_t", "rho")
-    low = found.withColumn("candidate", F.regexp_replace("candidate", r"\+$", "-")).withColumns({c: -F.col(c) for c in turned}).withColumnsRenamed({"low": "high", "high": "low"})
+    turned = ("premium", "t", "premium_alone", "t_alone", "fmb_mean", "fmb_t", "rho")
+    low = found.withColumns({"candidate": F.regexp_replace("candidate", r"\+$", "-"), "low": -F.col("high"), "high": -F.col("low"), **{c: -F.col(c) for c in turned}})
     return found.unionByName(low)
 
 
