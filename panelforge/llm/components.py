@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,9 +33,11 @@ def connected_components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         jump = near.join(near.toDF("up", "new"), "up").select("old", "new")
         taken.append(materialize(jump, "taken"))
         moved = edges.join(taken[-1].toDF("a", "new_a"), "a").join(taken[-1].toDF("b", "new_b"), "b").filter("new_a <> new_b")
-        edges = materialize(moved.select(*ordered("new_a", "new_b")).distinct(), "edges")
+        before, edges = edges, materialize(moved.select(*ordered("new_a", "new_b")).distinct(), "edges")
+        discard(before, near)
     labels = nodes.withColumn("label", F.col("node"))
     for t in taken:
         labels = labels.join(t.toDF("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     labels = materialize(labels, "labels")
+    discard(edges, *taken)
     return labels.join(labels.groupBy("label").agg(F.min("node").alias("root")), "label").select("node", "root")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts
+from .common import discard, materialize, small_batches, texts
 from .hashing import SpanHash, content_hashes, text_groups
 
 GRAM = 10
@@ -145,8 +145,9 @@ def remove_spans(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed texts, their parse, and (doc_id, key, start, size) of spans of words that a smaller doc_id has."""
+def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """The keyed texts, their parse, (doc_id, key, start, size) of spans of words that a smaller doc_id has, and the tables that
+    the spans are read from."""
     keyed = texts(docs).withColumn("key", F.xxhash64("text"))
     parsed = materialize(parse(keyed, window), "parsed")
     found = parsed.filter("doc_id is not null").select("doc_id", "key", F.explode(F.arrays_zip("anchors", "phrases", "starts", "sizes")).alias("p"))
@@ -154,24 +155,27 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataF
     index = materialize(found.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrases")
     # Anchors with more than one phrase: there, windows may recur though phrases don't.
     edges = index.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    edges = materialize(edges, "edges").withColumn("edge", F.lit(True))
-    marked = index.join(edges, "anchor", "left").filter("edge or least < most")
+    edges = materialize(edges, "edges")
+    marked = index.join(edges.withColumn("edge", F.lit(True)), "anchor", "left").filter("edge or least < most")
     marked = materialize(marked, "marked")
     hits = found.join(marked, ["anchor", "phrase"]).filter("doc_id > least or edge")
     hits = materialize(hits.select("doc_id", "key", "start", "size", (F.col("doc_id") > F.col("least")).alias("copied")), "hits")
+    discard(index, edges, marked)
     factors = hits.filter("copied").select("doc_id", "key", "start", (F.col("size") + window - 1).alias("size"))
 
     marks = hits.filter("not copied").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("marks"))
     windows = materialize(window_hashes(keyed.join(marks, ["doc_id", "key"]).select("doc_id", "key", "text", "marks"), window), "windows")
     again = materialize(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "again")
     at_edges = windows.join(again, "hash").filter("doc_id > least").select("doc_id", "key", "start", F.lit(window).alias("size"))
-    return keyed, parsed, factors.unionByName(at_edges)
+    return keyed, parsed, factors.unionByName(at_edges), [hits, windows, again]
 
 
 def remove_duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    keyed, parsed, spans = duplicate_spans(docs, window)
+    keyed, parsed, spans, read = duplicate_spans(docs, window)
     marks = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("marks"))
     changed = remove_spans(keyed.join(marks, ["doc_id", "key"]).select("doc_id", "key", "text", "marks")).dropDuplicates(["doc_id", "key"])
-    joined = parsed.select("doc_id", "key", "n_words", "whole").join(materialize(changed, "changed"), ["doc_id", "key"], "left")
+    changed = materialize(changed, "changed")
+    discard(*read)
+    joined = parsed.select("doc_id", "key", "n_words", "whole").join(changed, ["doc_id", "key"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "whole"))).alias("kept_sha256"))
