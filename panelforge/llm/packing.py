@@ -33,7 +33,7 @@ from .linear_program import configurations
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length in a bucket, on average, at most.
-BUCKET = 4000
+BUCKET = 1000
 
 
 #: The tokenizer's byte-level alphabet, a fixed rule: visible Latin-1 bytes stand for themselves, the others are numbered from U+0100.
