@@ -96,7 +96,7 @@ def signed_factors(rows: DataFrame, market: DataFrame, cluster: str = "cluster")
     a = a.withColumns({"beta26": rolling.beta(r, F.col("market"), 26, 13), "skew52": rolling.skew_adjusted(r, 52, 26), "rmom1": ratio(r, F.col("vol4")), "rmom2": ratio(F.col("mom2c"), F.col("vol4"))})
     a = xsec.network_signals(a, "mom4c", cluster)
     a = a.withColumns({f"_r_{f}": F.col(x).cast("double") * sign for f, (x, sign) in SIGNED.items()})
-    return xsec.zscores(a, {f"_r_{f}": f"z_{f}" for f in SIGNED}).drop(*(f"_r_{f}" for f in SIGNED))
+    return xsec.zscores(a, {f"z_{f}": (f"_r_{f}", True) for f in SIGNED}).drop(*(f"_r_{f}" for f in SIGNED))
 
 
 def cash_flow_yield(rows: DataFrame) -> DataFrame:

@@ -98,13 +98,13 @@ def benchmarks(returns: DataFrame, leader) -> DataFrame:
     return a.unpivot("week", ["equal_weight", "leader"], "name", "ret").filter("ret is not null")
 
 
-def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, cap: float, out: str, tie: str = "symbol") -> DataFrame:
+def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, cap: Column | float, out: str, tie: str = "symbol") -> DataFrame:
     """Adds each row's part of its group's ``target``: by score, at most ``cap``; what capped rows cannot take goes to the
     others by score, or evenly where their scores are all zero. A target that all caps together don't reach is cut to them.
 
     In order of score the first rows are capped, and the rest share what is left in proportion; the first row whose share
     stays under the cap ends the capped ones. So one window with sums from the end replaces repeated passes."""
-    over = W.partitionBy(*by)
+    over, cap = W.partitionBy(*by), cap if isinstance(cap, Column) else F.lit(cap)
     best = over.orderBy(F.col("_s").desc(), tie)
     a = rows.withColumn("_s", F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
     a = a.withColumns({"_n": F.count(F.lit(1)).over(over), "_before": F.row_number().over(best) - 1, "_rest": F.sum("_s").over(best.rowsBetween(0, W.unboundedFollowing))})
@@ -114,7 +114,7 @@ def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, c
     free = F.when(F.col("_part") < cap - 1e-12, F.struct("_before", "_left", "_rest"))
     a = a.withColumn("_free", F.min(free).over(over))  # the first row that is not capped
     own = F.when(F.col("_free._rest") > 0, F.col("_free._left") * F.col("_s") / F.col("_free._rest")).otherwise(F.col("_free._left") / (F.col("_n") - F.col("_free._before")))
-    value = F.when(F.col("_free").isNull() | (F.col("_before") < F.col("_free._before")), F.least(F.lit(cap), F.col(target))).otherwise(own)
+    value = F.when(F.col("_free").isNull() | (F.col("_before") < F.col("_free._before")), F.least(cap, F.col(target))).otherwise(own)
     return a.withColumn(out, F.when(F.col(target) > 0, value).otherwise(0.0)).drop("_s", "_n", "_before", "_rest", "_left", "_part", "_free")
 
 
@@ -165,13 +165,10 @@ def target_weights(signals: DataFrame, exposure: DataFrame, rules: Rules = Rules
     leg = W.partitionBy("book", "week", "side")
     above, below = F.col("signal") - F.min("signal").over(leg) + 1e-6, F.max("signal").over(leg) - F.col("signal") + 1e-6
     a = a.withColumn("_raw", F.when(F.col("side") == 1, F.pow(above, rules.long_power) / vol).when(F.col("side") == -1, F.pow(below, rules.short_power) / vol))
-    legs = None
-    for side, target, cap in ((1, "_long", rules.long_cap), (-1, "_short", rules.short_cap), (0, None, 0.0)):
-        one = a.filter(F.col("side") == side)
-        one = capped_allocation(one, ["book", "week"], "_raw", target, cap, "_w") if target else one.withColumn("_w", F.lit(0.0))
-        one = one.select("book", "week", "symbol", "signal", "side", (F.col("_w") * side).alias("w"))
-        legs = one if legs is None else legs.unionByName(one)
-    return legs
+    long = F.col("side") == 1
+    a = a.withColumn("_goal", F.when(long, F.col("_long")).when(F.col("side") == -1, F.col("_short")).otherwise(0.0))
+    a = capped_allocation(a, ["book", "week", "side"], "_raw", "_goal", F.when(long, rules.long_cap).otherwise(rules.short_cap), "_w")
+    return a.select("book", "week", "symbol", "signal", "side", (F.col("_w") * F.col("side")).alias("w"))
 
 
 def limit_turnover(targets: DataFrame, most: float = 0.45) -> DataFrame:

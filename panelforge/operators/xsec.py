@@ -21,12 +21,13 @@ def zscore(rows: DataFrame, x: str, out: str, flat_to_zero: bool = True, by: tup
     return rows.join(stats, list(by), "left").withColumn(out, z).drop("_m", "_s")
 
 
-def zscores(rows: DataFrame, measures: dict[str, str], flat_to_zero: bool = True, by: tuple[str, ...] = ("week",)) -> DataFrame:
-    """As ``zscore`` for several measures (column to its score): one aggregate and one join, however many they are."""
+def zscores(rows: DataFrame, scores: dict[str, tuple[str, bool]], by: tuple[str, ...] = ("week",)) -> DataFrame:
+    """As ``zscore`` for several scores, name to (column, flat_to_zero): one aggregate and one join, however many they are."""
+    measures = dict.fromkeys(x for x, _ in scores.values())
     stats = rows.groupBy(*by).agg(*(f(x).alias(f"_{k}_{x}") for x in measures for k, f in (("m", F.avg), ("s", F.stddev_samp))))
     joined = rows.join(stats, list(by), "left")
     made = {}
-    for x, out in measures.items():
+    for out, (x, flat_to_zero) in scores.items():
         m, s = F.col(f"_m_{x}"), F.col(f"_s_{x}")
         z = ratio(F.col(x) - m, s)
         made[out] = F.when(s.isNull() | (s <= 0), F.col(x) * 0.0).otherwise(z) if flat_to_zero else z

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import evidence_tier, ratio
 from panelforge.operators import factors, panel, rolling, xsec
+from panelforge.session import materialize
 from panelforge.sources import table
 
 from .common import PANEL, r6, rd, returns, rounded, sorted_panel, weekly
@@ -132,8 +133,8 @@ def ts_zscore_lagged(spark, d):
 WITH {PANEL} SELECT week, symbol, round(CASE WHEN coalesce(stddev_samp(ret) OVER w, 0) <= 0 THEN ret * 0 ELSE (ret - avg(ret) OVER w) / stddev_samp(ret) OVER w END + 1e-8, 5) AS z_zero,
   round((ret - avg(ret) OVER w) / nullif(stddev_samp(ret) OVER w, 0) + 1e-8, 5) AS z_null FROM r WINDOW w AS (PARTITION BY week)""")
 def xs_zscore(spark, d):
-    a = xsec.zscore(returns(spark, d).select("week", "symbol", "ret"), "ret", "z_zero")
-    return rounded(xsec.zscore(a, "ret", "z_null", flat_to_zero=False).drop("ret"), 5)
+    a = xsec.zscores(returns(spark, d).select("week", "symbol", "ret"), {"z_zero": ("ret", True), "z_null": ("ret", False)})
+    return rounded(a.drop("ret"), 5)
 
 
 @query(f"""
@@ -141,7 +142,8 @@ WITH {PANEL}, q AS (SELECT week, quantile_cont(ret, 0.01) AS lo, quantile_cont(r
 g AS (SELECT quantile_cont(mcap, 0.99) AS top FROM r)
 SELECT week, symbol, CASE WHEN ret IS NOT NULL THEN round(greatest(least(ret, hi), lo) + 1e-8, 6) END AS clipped, round(price / mid + 1e-8, 5) AS to_median, round(least(mcap, top) + 1e-8, 3) AS capped FROM r JOIN q USING (week), g""")
 def winsorize(spark, d):
-    a = xsec.winsorize(returns(spark, d).select("week", "symbol", "ret", "price", "mcap"), "ret", "clipped")
+    rows = materialize(returns(spark, d).select("week", "symbol", "ret", "price", "mcap"), "returns")
+    a = xsec.winsorize(rows, "ret", "clipped")
     a = xsec.clip_above(xsec.median_scaled(a, "price", "to_median"), "mcap", "capped")
     return a.select("week", "symbol", rd("clipped", 6).alias("clipped"), rd("to_median", 5).alias("to_median"), rd("capped", 3).alias("capped"))
 

@@ -53,8 +53,9 @@ z AS (SELECT week, symbol, fwd, vol4, {', '.join(f'CASE WHEN coalesce(stddev_sam
 
 
 def factor_panel(spark, d):
-    """Signed factors, with the suppliers' regions as clusters."""
-    return factors.signed_factors(clustered(spark, d), factors.equal_weight_market(returns(spark, d)))
+    """Signed factors, with the suppliers' regions as clusters. The panel is written once, as its scores read it twice."""
+    rows = materialize(clustered(spark, d), "panel")
+    return factors.signed_factors(rows, factors.equal_weight_market(rows))
 
 
 @query(f"WITH {FACTORS} SELECT week, symbol, {r6(*(f'z_{n}' for n in RAW), places=4)} FROM z")

@@ -262,13 +262,19 @@ def test_prices_of_candidates(spark, candidates):
 
 def test_scores_of_many_measures_take_one_aggregate(spark):
     rows = spark.createDataFrame([(week(k), j, float(j * k), float(j)) for k in range(3) for j in range(5)], "week date, symbol long, a double, b double")
-    many = xsec.zscores(rows, {"a": "za", "b": "zb"})
+    many = xsec.zscores(rows, {"za": ("a", True), "zb": ("b", True)})
     one = xsec.zscore(xsec.zscore(rows, "a", "za"), "b", "zb")
     assert sorted(many.select(*one.columns).collect()) == sorted(one.collect())
     plan = many._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
 
 
+@pytest.mark.parametrize(("name", "most"), [("xs_zscore", 2), ("target_weights", 2), ("louvain_network_panel", 0), ("signed_factors", 0), ("winsorize", 0)])
+def test_plans_scan_the_table_few_times(spark, sf, name, most):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= most
+
+
 def test_twins_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, s string")
     write_twins(df, str(tmp_path / "t"))
