@@ -299,9 +299,10 @@ def joint_prices(spark, d):
 
 @query()
 def cca_forward(spark, d):
-    """Canonical factors of returns against market series, fitted in sample and applied to all weeks."""
+    """Canonical factors of returns against market series, fitted in sample and applied to all weeks. Prices are carried over
+    gaps, as next to no symbol has all weeks."""
     split = panel.chronological_split(weekly(spark, d))
-    return matrix.forward_canonical(returns(spark, d), factors.market_state(returns(spark, d), 1), split.filter("window = 'IS'").select("week"))
+    return matrix.forward_canonical(panel.with_returns(weekly(spark, d), "pad"), factors.market_state(returns(spark, d), 1), split.filter("window = 'IS'").select("week"))
 
 
 @query()

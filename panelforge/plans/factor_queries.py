@@ -10,7 +10,7 @@ from panelforge.operators import factors, graph, matrix, panel, portfolio, rolli
 from panelforge.session import materialize
 from panelforge.sources import table
 
-from .common import PANEL, r6, rd, returns, rounded, sorted_panel
+from .common import PANEL, r6, rd, returns, rounded, sorted_panel, weekly
 
 QUERIES, SQL = {}, {}
 
@@ -368,8 +368,8 @@ def rolling_pca(spark, d):
 
 @query()
 def sparse_pca(spark, d):
-    # The tables have gaps in most series; a shorter window leaves symbols that have all its weeks.
-    return matrix.rolling_sparse_pca(returns(spark, d), n=12, least=6, k=3)
+    # Prices are carried over gaps, as next to no symbol has all weeks of a window.
+    return matrix.rolling_sparse_pca(panel.with_returns(weekly(spark, d), "pad"))
 
 
 @query()

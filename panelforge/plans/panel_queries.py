@@ -38,10 +38,10 @@ def weekly_last(spark, d):
 
 
 @query("""
-WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)
+WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS v FROM orders)
 SELECT o_custkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, arg_max(v, (o_orderdate, o_orderkey)) FILTER (v IS NOT NULL) AS last_known FROM o GROUP BY 1, 2""")
 def weekly_last_known(spark, d):
-    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_totalprice")))
+    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_totalprice")))
     return panel.last_known_in_week(o, ["o_custkey"], "o_orderdate", ["o_orderdate", "o_orderkey"], ["v"]).select("o_custkey", "week", F.col("v").alias("last_known"))
 
 
@@ -233,18 +233,18 @@ def unpivot_pivot(spark, d):
 
 
 @query(f"""
-WITH {PANEL}, a AS (SELECT week, symbol, price AS v FROM p WHERE symbol % 2 = 0), b AS (SELECT week, symbol, price * 2 AS v FROM p WHERE symbol % 3 = 0)
+WITH {PANEL}, a AS (SELECT week, symbol, price AS v FROM p WHERE volume > 50), b AS (SELECT week, symbol, price * 2 AS v FROM p WHERE fees > 1500)
 SELECT p.week, p.symbol, round(coalesce(b.v, a.v) + 1e-8, 4) AS v,
-  CASE WHEN a.v IS NOT NULL THEN '1_real_mcap' WHEN b.v IS NOT NULL THEN '2_price_x_realsupply' WHEN p.symbol % 5 = 0 THEN '3_price_x_anchor' ELSE 'none' END AS tier
+  CASE WHEN a.v IS NOT NULL THEN '1_real_mcap' WHEN b.v IS NOT NULL THEN '2_price_x_realsupply' WHEN tvl > 900 THEN '3_price_x_anchor' ELSE 'none' END AS tier
 FROM p LEFT JOIN a USING (week, symbol) LEFT JOIN b USING (week, symbol)""")
 def prefer_and_tier(spark, d):
-    p = weekly(spark, d).select("week", "symbol", "price")
-    a = p.filter("symbol % 2 = 0").select("week", "symbol", F.col("price").alias("v"))
-    b = p.filter("symbol % 3 = 0").select("week", "symbol", (F.col("price") * 2).alias("v"))
+    """A source for weeks of large volume, one for weeks of high fees that is preferred, and how each week's value is known."""
+    p = weekly(spark, d).select("week", "symbol", "price", "volume", "fees", "tvl")
+    a = p.filter("volume > 50").select("week", "symbol", F.col("price").alias("v"))
+    b = p.filter("fees > 1500").select("week", "symbol", (F.col("price") * 2).alias("v"))
     base = p.join(a, ["week", "symbol"], "left").withColumn("own", F.col("v"))
     got = panel.prefer(base, b, ["week", "symbol"], ["v"])
-    third = F.col("symbol") % 3 == 0
-    return got.select("week", "symbol", rd("v", 4).alias("v"), evidence_tier(F.col("own"), F.when(third, 1), F.when(F.col("symbol") % 5 == 0, 1), F.col("price")).alias("tier"))
+    return got.select("week", "symbol", rd("v", 4).alias("v"), evidence_tier(F.col("own"), F.when(F.col("fees") > 1500, 1), F.when(F.col("tvl") > 900, 1), F.col("price")).alias("tier"))
 
 
 @query(f"""
