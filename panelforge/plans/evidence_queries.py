@@ -164,12 +164,12 @@ def terciles(spark, d):
 
 @query(f"""
 WITH {TERCILES}, {WINDOWS}, u AS (SELECT week, unnest(['low', 'middle', 'high', 'spread']) AS tercile, unnest([low, middle, high, low - high]) AS ret FROM tp WHERE low IS NOT NULL AND middle IS NOT NULL AND high IS NOT NULL)
-SELECT tercile, "window", count(*) AS n, round(power(exp(sum(ln(1 + ret))), 52.0 / count(*)) - 1 + 1e-8, 5) AS ann_return FROM u, wn WHERE week BETWEEN lo AND hi GROUP BY 1, 2""")
+SELECT tercile, "window", count(*) AS n, CASE WHEN min(ret) > -1 THEN round(power(exp(sum(ln(greatest(1 + ret, 1e-300)))), 52.0 / count(*)) - 1 + 1e-8, 5) END AS ann_return FROM u, wn WHERE week BETWEEN lo AND hi GROUP BY 1, 2""")
 def tercile_windows(spark, d):
-    """Annualised returns of thirds and of their spread in and out of sample."""
+    """Annualised returns of thirds and of their spread in and out of sample; null where a week loses all or more."""
     a = terciles(spark, d).dropna(subset=["low", "middle", "high"]).withColumn("spread", F.col("low") - F.col("high"))
     long = panel.in_windows(a.unpivot("week", ["low", "middle", "high", "spread"], "tercile", "ret"), windows_of(spark, d))
-    return rounded(long.groupBy("tercile", "window").agg(F.count("*").alias("n"), (F.pow(F.exp(F.sum(F.log1p("ret"))), 52 / F.count("*")) - 1).alias("ann_return")), 5)
+    return rounded(long.groupBy("tercile", "window").agg(F.count("*").alias("n"), F.when(F.min("ret") > -1, F.pow(F.exp(F.sum(F.log1p("ret"))), 52 / F.count("*")) - 1).alias("ann_return")), 5)
 
 
 @query(f"""
