@@ -64,6 +64,11 @@ def vectors(stats: DataFrame) -> DataFrame:
     })
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """Parameters of groups, written in few files: by their size Spark then broadcasts them, rather than deal the rows by group."""
+    return materialize(groups.coalesce(8), "mcd")
+
+
 def _factor(params: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l_ij of the covariance c_ij, whose diagonal gets the least variances."""
     params = params.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + LEAST_SD[i] ** 2 for i in range(DIMS)})
@@ -104,7 +109,7 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     starts = rows.groupBy(*keys).agg(*_terms(), *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMS)))
     plain = starts.select(*keys, F.lit(0).alias("start"), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)), *((F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2).alias(f"c{i}{j}") for i, j in PAIRS))
     middle = starts.select(*keys, F.lit(1).alias("start"), *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIMS)), *((((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-    params = materialize(_factor(plain.unionByName(middle)), "mcd")
+    params = _few(_factor(plain.unionByName(middle)))
     for _ in range(steps):
         bins = _distance(rows.join(params, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "start", "bin").agg(*_terms())
         bins = materialize(bins, "bins")  # else the windows' keys would deal the partial sums, and a hot group's would meet in one task
@@ -113,9 +118,9 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
         near = bins.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).withColumn("all", F.sum("n").over(everyone)).filter(F.col("before") < F.ceil(share * F.col("all")))
         edge = near.groupBy(*keys, "start").agg(F.exp((F.max("bin") + 1) / 32).alias("edge"))
         params = _factor(_moments(near, [*keys, "start"]).drop("n", *(f"s{i}" for i in range(DIMS)), *(f"p{i}{j}" for i, j in PAIRS)))
-        params = materialize(params.join(edge, [*keys, "start"]), "mcd")
+        params = _few(params.join(edge, [*keys, "start"]))
     best = params.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in params.columns if c not in keys)), F.struct("logdet", "start")).alias("best")).select(*keys, "best.*")
-    best = materialize(best, "mcd")
+    best = _few(best)
     # The h-subset's covariance is too small for its distances: scale it up (never down) to meet the chi-square quantile.
     own = _distance(rows.join(best, keys)).withColumn("bin", F.floor(32 * F.log(F.col("d2") + 1e-6))).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     own = materialize(own, "bins")
@@ -131,10 +136,10 @@ def group_parameters(stats: DataFrame, min_group: int) -> DataFrame:
     own, of_lang, of_all = level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), F.lit("\1")), level(F.lit("\1"), F.lit("\1"))
     groups = stats.groupBy(*keys).agg(F.count_if(~F.col("base_failed")).alias("n")).withColumn("of_lang", F.sum("n").over(W.partitionBy("g_lang")))
     chosen = F.when(F.col("n") >= min_group, own).when(F.col("of_lang") >= min_group, of_lang).otherwise(of_all)
-    groups = materialize(groups.select(*keys, chosen.alias("by")), "groups")
+    groups = _few(groups.select(*keys, chosen.alias("by")))
     # A row counts in its group's own estimate and in those of its language and of all, as far as any group needs them.
     counts_in = groups.select(*keys, F.explode(F.array(own, of_lang, of_all)).alias("by")).join(groups.select("by").distinct(), "by", "left_semi")
-    counts_in = materialize(counts_in, "estimates")
+    counts_in = _few(counts_in)
     rows = stats.filter(~F.col("base_failed")).join(counts_in, keys).select("by.*", *(f"x{i}" for i in range(DIMS)))
     params = minimum_covariance_determinant(materialize(rows, "vectors"))
     return groups.join(params.withColumn("by", F.struct(*keys)).drop(*keys), "by").drop("by")
@@ -144,7 +149,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CHI2_9999, min_group: int = 5
     """Statistics, base_failed and kept of each document, with the squared robust distance d2 (null: no document passed the fixed rules)."""
     named = docs.withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
     stats = materialize(vectors(document_statistics(named, "g_lang", "g_source")).withColumn("base_failed", fixed_rules()), "statistics")
-    params = materialize(group_parameters(stats, min_group), "mcd")
+    params = _few(group_parameters(stats, min_group))
     judged = _distance(stats.join(params, ["g_lang", "g_source"], "left")).withColumn("d2", F.col("d2") / F.col("scale"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
