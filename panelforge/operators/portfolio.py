@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,12 +185,12 @@ def limit_turnover(targets: DataFrame, most: float = 0.45) -> DataFrame:
     def step(week: pd.DataFrame, held: pd.Series | None) -> pd.Series:
         new = pd.Series(week["w"].to_numpy(), week["symbol"].to_numpy())
         if held is not None:
-            names = new.index.union(held.index)
-            goal, past = new.reindex(names, fill_value=0.0), held.reindex(names, fill_value=0.0)
-            moved = 0.5 * (goal - past).abs().sum()
+            past = held.reindex(new.index, fill_value=0.0).to_numpy()
+            gone = np.abs(held.to_numpy()).sum() - np.abs(past).sum()  # of names without a target
+            moved = 0.5 * (np.abs(new.to_numpy() - past).sum() + gone)
             if moved > most:
-                new = (past + most / moved * (goal - past)).reindex(new.index)
-        return new
+                new = pd.Series(past + most / moved * (new.to_numpy() - past), new.index)
+        return new[new != 0]
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book, held, waiting = None, None, None

@@ -148,7 +148,7 @@ def target_weights(spark, d):
 
 def targets(spark, d):
     exposed = portfolio.exposures(certain(regime.labels(observed(spark, d))))
-    return portfolio.target_weights(signals_of(factor_panel(spark, d)), exposed)
+    return materialize(portfolio.target_weights(signals_of(factor_panel(spark, d)), exposed), "targets")  # read twice by the limit
 
 
 @query()
