@@ -70,12 +70,71 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import centroid_clusters
+
+    return centroid_clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op6_mixing, op7_warc, op8_substring, op9_media, op10_packing)
+    for f in (op1_pii, op2_quality_classifier, op3_token_counts, op4_quality_rules, op5_simhash, op6_mixing, op7_warc, op8_substring, op9_media, op10_packing, op11_divergence, op12_clustering, op13_tokenizer)
 }
 
+def _clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Centroids round by round: v are the vectors, c0 the first centroids, a<r> the assignments, c<r> the centroids after them."""
+    assigned = """
+a{r} AS MATERIALIZED (SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT id, cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} AS c) GROUP BY id)"""
+    moved = """
+c{s} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN (
+  SELECT cluster, list(CAST((total - (total % n + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT cluster, i, sum(e)::BIGINT AS total, count(*) AS n FROM (SELECT cluster, unnest(v.x) AS e, unnest(range({dims})) AS i FROM a{r} JOIN v USING (id)) GROUP BY ALL) GROUP BY cluster) AS m USING (cluster))"""
+    steps = ",".join(assigned.format(r=r) + "," + moved.format(r=r, s=r + 1, dims=dims) for r in range(rounds)) + "," + assigned.format(r=rounds)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k}),{steps},
+i AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(a.cluster AS INT) AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a{rounds}) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN v USING (id) JOIN c{rounds} AS c ON c.cluster = a.cluster JOIN i ON i.cluster = a.cluster
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_clustering": _clustering_sql(),
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+t AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN t USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (SELECT g.lang, g.source, t.term, coalesce(n, 0) AS n FROM g JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, CAST(1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM full_counts),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM full_counts GROUP BY ALL)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+""",
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN right(source, 1) IN ('0', '1', '2') THEN 'web' WHEN right(source, 1) IN ('3', '4', '5', '6') THEN 'news' ELSE 'forum' END AS domain,
