@@ -53,6 +53,8 @@ RUN = {"a": re.compile("[a-z]*"), "!": re.compile("[^ a-z0-9]*")}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(rb"[\t-\r ]")
 BLOCK = 1 << 16
+#: Up to so many symbols the least rank is looked for along the list, beyond it a queue has the ranks.
+SHORT, NEVER = 64, 1 << 60
 
 
 def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int:
@@ -122,6 +124,17 @@ class Vocabulary:
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges by rank, the leftmost of equals first."""
         ranks, n = self.ranks, len(symbols)
+        if n <= SHORT:
+            open_ranks = [ranks.get(pair, NEVER) for pair in zip(symbols, symbols[1:])]
+            while open_ranks and (r := min(open_ranks)) < NEVER:
+                k = open_ranks.index(r)
+                symbols[k] += symbols.pop(k + 1)
+                open_ranks.pop(k)
+                if k < len(open_ranks):
+                    open_ranks[k] = ranks.get((symbols[k], symbols[k + 1]), NEVER)
+                if k:
+                    open_ranks[k - 1] = ranks.get((symbols[k - 1], symbols[k]), NEVER)
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, k, a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get((a, b))) is not None]
         heapq.heapify(queue)
@@ -201,7 +214,7 @@ class Transducer:
                 continue
             end = PIECE.match(shadow, at).end()
             if final or end + 2 < n:
-                out.append(self._piece(text[at:end]))
+                out.append(self.piece(text[at:end]))
                 at = end
             elif end == n and (shadow[at] != "'" or end - at > 3) and not shadow[at].isdigit():
                 self.inside = "a" if shadow[at].isalpha() else "!"
@@ -211,7 +224,8 @@ class Transducer:
         if final and self.inside:
             self._close(out)
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        """The ids of a whole piece."""
         found = self.known.get(piece)
         if found is None:
             if len(self.known) > self.most_pieces:
@@ -294,9 +308,12 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         if len(self.known) > self.most:
             self.known.clear()
-        self.stream.reset()
-        ids = self.stream.feed(word.decode(), True)
-        self.stream.reset()
+        if word.isascii() and b"<" not in word:  # nothing to normalise but case
+            ids = b"".join([self.stream.piece(p) for p in PIECE.findall(word.decode().lower())])
+        else:
+            self.stream.reset()
+            ids = self.stream.feed(word.decode(), True)
+            self.stream.reset()
         if len(word) <= self.longest:
             self.known[word] = ids
         return ids
