@@ -161,8 +161,8 @@ def trees_of(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[dic
 
 def usable(centroids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The centroids as Python integers and, where they are small, as doubles."""
-    exact = np.array(centroids, object).reshape(len(centroids), -1)
-    return exact, exact.astype(np.float64) if exact.size and max(abs(e) for c in centroids for e in c) <= SMALL else None
+    exact = np.array(centroids, object)
+    return exact, exact.astype(np.float64) if max(abs(e) for c in centroids for e in c) <= SMALL else None
 
 
 def by_cluster(centroids: list[list[int]], dims: int):
@@ -232,8 +232,10 @@ def centroid_clusters(rows: DataFrame, k: int = 40, rounds: int = 5, dims: int =
     finite = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     vectors = rows.select("vec_id", e.alias("embedding")).where((F.size("embedding") == dims) & finite)
     centroids = first_centroids(vectors, k, seed)
+    if not centroids:
+        return rows.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     trees = materialize(vectors.mapInArrow(plant(dims), TREES), "ball-trees")
-    for _ in range(rounds if centroids else 0):
+    for _ in range(rounds):
         found: dict[tuple[int, int], int] = {}
         for r in trees.mapInArrow(by_cluster(centroids, dims), SUMS).groupBy("cluster", "component", "limb").agg(F.sum("total").alias("total")).collect():
             at = r["cluster"], r["component"]
