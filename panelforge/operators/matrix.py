@@ -74,117 +74,6 @@ def series_betas(rows: DataFrame, y: str, xs: list[str], least: int = 8) -> Data
     return rows.select("symbol", y, *xs).groupBy("symbol").applyInPandas(betas, f"symbol {kind}, term string, beta double, n long")
 
 
-def newey_west_se(x: np.ndarray, lags: int = 4) -> float:
-    e = x - x.mean()
-    g = (e @ e) / len(e) + sum(2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / (len(e) - k) for k in range(1, min(lags, len(e) - 1) + 1))
-    return float(np.sqrt(max(g, 0.0) / len(e)))
-
-
-def factor_count(resid: np.ndarray, most: int = 7) -> int:
-    """The number of latent factors by the Bai-Ng IC_p2 criterion; resid is weeks by symbols."""
-    t, n = resid.shape
-    u, s, v = np.linalg.svd(resid, full_matrices=False)
-    penalty = (n + t) / (n * t) * np.log(min(n, t))
-    values = [np.log(max(((resid - (u[:, :k] * s[:k]) @ v[:k]) ** 2).mean(), 1e-300)) + k * penalty for k in range(min(most, len(s) - 1) + 1)]
-    return int(np.argmin(values))
-
-
-def latent_factors(resid: np.ndarray, k: int) -> np.ndarray:
-    """The first k principal components of the residuals as they are, each brought to unit deviation; weeks by k."""
-    if not k:
-        return np.zeros((len(resid), 0))
-    u, s, v = np.linalg.svd(resid, full_matrices=False)
-    top = np.abs(v[:k]).argmax(1)
-    scores = u[:, :k] * s[:k] * np.where(v[np.arange(k), top] < 0, -1, 1)
-    sd = scores.std(0, ddof=1)
-    return scores / np.where(sd > 0, sd, 1.0)
-
-
-def _betas(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes of each column of y on x with an intercept, over its known rows (NaN for too few), and residuals (zero where unknown)."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    b, e = np.full((y.shape[1], x.shape[1]), np.nan), np.zeros_like(y)
-    known = ~np.isnan(y)
-    whole = known.all(0)
-    if whole.any() and len(y) >= max(x.shape[1] + 2, 8):
-        c = np.linalg.lstsq(a, y[:, whole], rcond=None)[0]
-        b[whole], e[:, whole] = c[1:].T, y[:, whole] - a @ c
-    for j in np.flatnonzero(~whole):
-        rows = known[:, j]
-        if rows.sum() >= max(x.shape[1] + 2, 8):
-            c = np.linalg.lstsq(a[rows], y[rows, j], rcond=None)[0]
-            b[j], e[rows, j] = c[1:], y[rows, j] - a[rows] @ c
-    return b, e
-
-
-def _premia(b: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Premia of mean returns on betas without intercept, and their White errors."""
-    lam, inv = np.linalg.lstsq(b, mean, rcond=None)[0], np.linalg.pinv(b.T @ b)
-    e = mean - b @ lam
-    return lam, np.sqrt(np.maximum(np.diag(inv @ (b.T * e**2) @ b @ inv), 0.0))
-
-
-def three_pass(y: np.ndarray, f: np.ndarray, names: list[str]) -> pd.DataFrame:
-    """Risk premia of observed factors, alone and beside hidden ones taken from the residuals, and week by week on the
-    observed factors' betas; y weeks by assets, f weeks by factors."""
-    seen, resid = _betas(y, f)
-    k = factor_count(resid)
-    full, _ = _betas(y, np.hstack([f, latent_factors(resid, k)]))
-    n = len(names)
-
-    def used(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        use = ~np.isnan(b).any(1)
-        return b[use], use
-
-    b, use = used(full)
-    lam, white = _premia(b, np.nanmean(y[:, use], 0))
-    b, use = used(seen)
-    alone, alone_white = _premia(b, np.nanmean(y[:, use], 0))
-    weekly = []
-    for row in y[:, use]:
-        known = ~np.isnan(row)
-        if known.sum() >= n + 2:
-            weekly.append(np.linalg.lstsq(b[known], row[known], rcond=None)[0])
-    weekly = np.array(weekly).reshape(-1, n)
-    se = np.array([newey_west_se(weekly[:, j]) if len(weekly) >= 2 else np.nan for j in range(n)])
-    t = lambda x, e: np.where(e > 0, x / np.where(e > 0, e, 1), np.nan)
-    mean = weekly.mean(0) if len(weekly) else np.full(n, np.nan)
-    return pd.DataFrame({"factor": names, "premium": lam[:n], "t": t(lam[:n], white[:n]), "low": lam[:n] - 1.96 * white[:n], "high": lam[:n] + 1.96 * white[:n], "premium_alone": alone, "t_alone": t(alone, alone_white), "fmb_mean": mean, "fmb_t": t(mean, se), "n_hidden": k, "n_assets": int(use.sum())})
-
-
-PREMIA = "factor string, premium double, t double, low double, high double, premium_alone double, t_alone double, fmb_mean double, fmb_t double, n_hidden long, n_assets long"
-
-
-def priced_group(pdf: pd.DataFrame, least_weeks: int = 30) -> pd.DataFrame:
-    """Premia of a group's rows (week, name, ret, asset); gaps of a factor are its last value, leading ones its mean."""
-    y = pdf[pdf["asset"]].pivot_table(index="week", columns="name", values="ret")
-    f = pdf[~pdf["asset"]].pivot_table(index="week", columns="name", values="ret").ffill()
-    f = f.fillna(f.mean())
-    weeks = y.index.intersection(f.index)
-    if len(weeks) < least_weeks or y.shape[1] < f.shape[1] + 3:
-        return pd.DataFrame({c.split(" ")[0]: [] for c in PREMIA.split(", ")}, dtype=object)
-    return three_pass(y.loc[weeks].to_numpy(float), f.loc[weeks].to_numpy(float), list(f.columns))
-
-
-def giglio_xiu(returns: DataFrame, factors: DataFrame, keys: list[str] = (), least: int = 24) -> DataFrame:
-    """Three-pass risk premia by key (a candidate, a window): returns (week, symbol, ret) of symbols with enough weeks,
-    factors (keys, week, factor, ret). Each key's matrices are one group; keys run side by side. Hidden factors come from
-    all residuals at once, so a group holds the whole panel of weeks by symbols: what it needs is that, in memory."""
-    keys = list(keys)
-    n = F.count("ret").over(W.partitionBy("symbol"))
-    assets = returns.filter("ret is not null").withColumn("_n", n).filter(F.col("_n") >= least).select("week", F.col("symbol").cast("string").alias("name"), "ret", F.lit(True).alias("asset"))
-    named = factors.filter("ret is not null").select(*keys, "week", F.col("factor").alias("name"), "ret", F.lit(False).alias("asset"))
-    rows = named.unionByName(assets.crossJoin(F.broadcast(factors.select(*keys).distinct()))) if keys else named.unionByName(assets)  # keys are candidates or windows, few by their making
-
-    def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = priced_group(pdf)
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[c.split(" ")[0] for c in schema.split(", ")]]
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), PREMIA])
-    return rows.groupBy(*keys).applyInPandas(price, schema)
-
-
 def _matrix(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     """Weeks by symbols of a window; symbols with enough returns."""
     wide = pdf.pivot_table(index="week", columns="symbol", values="ret")

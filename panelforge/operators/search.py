@@ -4,16 +4,21 @@ Candidates are a key of one long table, so each step is one job over all of them
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import ratio
+from panelforge.session import materialize
 
-from . import factors, matrix, rolling, stats, xsec
+from . import factors, pricing, rolling, stats, xsec
 from .panel import by_symbol
 
+#: The name of a candidate among the factors of its model.
+CANDIDATE = "(candidate)"
+
 
 def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1, 2, 3, 4, 8, 12, 26, 52), risk_windows: tuple[int, ...] = (8, 12, 26, 52), attention: tuple[int, ...] = (1, 2, 4, 8)) -> tuple[DataFrame, list[str]]:
     """rows with a column for each measure and window, and the columns' names."""
@@ -59,47 +64,53 @@ def unlike(base: DataFrame, series: DataFrame, twin: float = 0.995) -> DataFrame
     return best.select("candidate", F.col("m.base").alias("nearest"), F.col("m.rho").alias("rho")).filter(F.abs("rho") <= twin)
 
 
-def priced(returns: DataFrame, base: DataFrame, series: DataFrame, windows: DataFrame, least: int = 52) -> DataFrame:
-    """Premia of each candidate beside the base factors in each window (window, lo, hi), with the nearest base factor.
+def priced(returns: DataFrame, base: DataFrame, series: DataFrame, windows: DataFrame, least: int = 80, fill: str = "mean") -> DataFrame:
+    """Premia of each candidate beside the base factors in each window (window, lo, hi), with the nearest base factor; of the
+    candidates with enough returns that are no twin of a base factor.
 
-    A characteristic's two directions are one fit, as the premium and its t only change their sign; a candidate's windows
-    are one group, as they share its returns."""
+    A characteristic's two directions are one fit, as the premium and its t only change their sign."""
     high = series.filter(F.col("factor").endswith("+"))
     enough = high.groupBy("factor").agg(F.count("ret").alias("_n")).filter(F.col("_n") >= least).select("factor")
-    keys = unlike(base, high.join(enough, "factor", "left_semi"))
-    own = high.join(keys.select(F.col("candidate").alias("factor")), "factor", "left_semi").select(F.col("factor").alias("candidate"), "week", F.lit("candidate").alias("name"), "ret", F.lit(False).alias("asset"))
-    one = F.broadcast(keys.select("candidate"))  # a fixed grid
-    shared = base.select("week", F.col("factor").alias("name"), "ret", F.lit(False).alias("asset"))
-    assets = returns.filter("ret is not null").select("week", F.col("symbol").cast("string").alias("name"), "ret", F.lit(True).alias("asset"))
-    spans = windows.agg(F.collect_list(F.struct("window", "lo", "hi")).alias("spans"))  # one row
-    rows = own.unionByName(shared.unionByName(assets).crossJoin(one).select("candidate", "week", "name", "ret", "asset")).filter("ret is not null").crossJoin(F.broadcast(spans))
-    rows = rows.select("candidate", "week", "name", "ret", "asset", F.to_json("spans").alias("spans"))
-
-    def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        out = []
-        for span in json.loads(pdf["spans"].iloc[0]):
-            lo, hi = (pd.Timestamp(span[k]).date() for k in ("lo", "hi"))
-            part = pdf[(pdf["week"] >= lo) & (pdf["week"] <= hi)]
-            if len(part):
-                counts = part[part["asset"]].groupby("name")["ret"].transform("count")
-                part = part[~part["asset"] | (counts.reindex(part.index).fillna(0) >= 24)]
-                found = matrix.priced_group(part)
-                out.append(found[found["factor"] == "candidate"].assign(window=span["window"]))
-        names = [c.split(" ")[0] for c in schema.split(", ")]
-        return pd.concat(out, ignore_index=True).assign(candidate=pdf["candidate"].iloc[0])[names] if out else pd.DataFrame({c: [] for c in names}, dtype=object)
-
-    schema = f"candidate string, window string, {matrix.PREMIA}"
-    found = rows.groupBy("candidate").applyInPandas(price, schema).drop("factor").join(keys, "candidate")
+    keys = materialize(unlike(base, high.join(enough, "factor", "left_semi")), "candidates")
+    own = high.withColumnRenamed("factor", "candidate").join(keys, "candidate", "left_semi").select("candidate", "week", F.lit(CANDIDATE).alias("factor"), "ret")
+    spans = [(r["window"], r["lo"], r["hi"]) for r in windows.select("window", "lo", "hi").collect()]
+    found = pricing.premia(returns, own, ["candidate"], base, spans, fill).filter(F.col("factor") == CANDIDATE).drop("factor").join(keys, "candidate")
     turned = ("premium", "t", "premium_alone", "t_alone", "fmb_mean", "fmb_t", "rho")
     low = found.withColumns({"candidate": F.regexp_replace("candidate", r"\+$", "-"), "low": -F.col("high"), "high": -F.col("low"), **{c: -F.col(c) for c in turned}})
     return found.unionByName(low)
 
 
-def joint(returns: DataFrame, base: DataFrame, series: DataFrame, k: int) -> DataFrame:
-    """Premia of the base factors and the k candidates of greatest |t|, one of a characteristic, in one model."""
-    high = series.filter(F.col("factor").endswith("+"))
-    best = screened(high).orderBy(F.abs("t").desc(), "factor").limit(k).select("factor")  # k is asked for
-    chosen = high.join(F.broadcast(best), "factor", "left_semi")
-    return matrix.giglio_xiu(returns, base.select("week", "factor", "ret").unionByName(chosen.select("week", "factor", "ret")))
+def tested(series: DataFrame, prices: DataFrame, strict: float = 2.0, bar: float = 1.65) -> DataFrame:
+    """What the search reports of each priced candidate: its return and the Newey-West t of that, its yearly premia and their
+    t by each method, whether the t beside hidden factors passes the bars, and p-values of that t corrected for all tests."""
+    own = stats.newey_west(series, ["factor"], "ret").select(F.col("factor").alias("candidate"), "n", F.col("t").alias("t_ret"))
+    moments = series.groupBy(F.col("factor").alias("candidate")).agg((F.avg("ret") * 52).alias("ann_ret"), (ratio(F.avg("ret"), F.stddev("ret")) * 52**0.5).alias("sharpe"))
+    yearly = {"premium_full": "premium", "premium_obs": "premium_alone", "premium_fmb": "fmb_mean"}
+    found = prices.select("candidate", *((F.col(c) * 52).alias(a) for a, c in yearly.items()), F.col("t").alias("t_full"), F.col("t_alone").alias("t_obs"), F.col("fmb_t").alias("t_fmb"), "n_hidden", "nearest", "rho")
+    found = own.join(moments, "candidate").join(found, "candidate").filter("t_full is not null")
+    found = found.withColumns({"passes_strict": F.abs("t_full") >= strict, "passes": F.abs("t_full") >= bar})
+    return stats.corrections(found, "t_full", ["candidate"])
+
+
+def shortlist(series: DataFrame, tests: DataFrame, k: int, twin: float = 0.995) -> list[str]:
+    """The k candidates of greatest |t_full|, in the direction that is paid, none a near twin of one before it.
+
+    Candidates are a fixed grid, so their correlations are a table that does not grow with the data."""
+    own = series.filter("ret is not null").select("factor", "week", "ret")
+    pairs = own.join(own.select(F.col("factor").alias("other"), "week", F.col("ret").alias("y")), "week").filter("factor < other").groupBy("factor", "other").agg(F.corr("ret", "y").alias("rho"))
+    twins = {frozenset((r["factor"], r["other"])) for r in pairs.filter(F.abs("rho") > twin).collect()}
+    chosen: list[str] = []
+    for r in tests.filter("t_full > 0").orderBy(F.desc("t_full"), "candidate").select("candidate").collect():
+        if len(chosen) < k and not any(frozenset((r["candidate"], c)) in twins for c in chosen):
+            chosen.append(r["candidate"])
+    return chosen
+
+
+def joint(returns: DataFrame, base: DataFrame, series: DataFrame, chosen: list[str], windows: DataFrame) -> DataFrame:
+    """Premia of the base factors and the chosen candidates in one model for each window. Gaps of a factor are its mean in the
+    whole sample (the first window by name "Full"), and its last value in the parts of it."""
+    picked = base.select("week", "factor", "ret").unionByName(series.filter(F.col("factor").isin(chosen)).select("week", "factor", "ret"))
+    spans = [(r["window"], r["lo"], r["hi"]) for r in windows.select("window", "lo", "hi").collect()]
+    whole, parts = [x for x in spans if x[0] == "Full"], [x for x in spans if x[0] != "Full"]
+    found = [pricing.premia(returns, picked, windows=x, fill=fill) for x, fill in ((whole, "mean"), (parts, "carry")) if x]
+    return reduce(DataFrame.unionByName, found).withColumn("selected", F.col("factor").isin(chosen))

@@ -278,23 +278,36 @@ def candidate_series(spark, d):
 
 
 @query()
-def candidate_search(spark, d):
-    """All 110 characteristics in both directions, tested and corrected for the number of tests."""
+def candidate_returns(spark, d):
+    """All 110 characteristics in both directions: the t of their returns, corrected for the number of tests."""
     return search.screened(candidate_series(spark, d))
 
 
+def full_window(windows):
+    return windows.filter("`window` = 'Full'")
+
+
+@query()
+def candidate_search(spark, d):
+    """The candidates that are no near twin of a base factor, priced beside the base and hidden factors over the whole sample;
+    the t of that premium corrected for the number of tests."""
+    series = candidate_series(spark, d)
+    return search.tested(series, search.priced(returns(spark, d), zoo_of(spark, d), series, full_window(windows_of(spark, d))))
+
+
 @query()
 def candidate_prices(spark, d):
-    """Premia of the candidates that are no near twin of a base factor, beside the base factors, over the whole sample and in
-    and out of sample."""
+    """The same premia over the whole sample and in and out of sample."""
     windows = materialize(windows_of(spark, d), "windows")
     return search.priced(returns(spark, d), zoo_of(spark, d), candidate_series(spark, d), windows)
 
 
 @query()
 def joint_prices(spark, d):
-    """Premia of the base factors and of the three strongest candidates in one model."""
-    return search.joint(returns(spark, d), zoo_of(spark, d), candidate_series(spark, d), 3)
+    """Premia of the base factors and of the three strongest candidates in one model, in each window."""
+    series, base, windows = candidate_series(spark, d), materialize(zoo_of(spark, d), "zoo"), materialize(windows_of(spark, d), "windows")
+    tests = search.tested(series, search.priced(returns(spark, d), base, series, full_window(windows)))
+    return search.joint(returns(spark, d), base, series, search.shortlist(series, tests, 3), windows)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import leg_count
-from panelforge.operators import factors, graph, matrix, panel, portfolio, rolling, stats, xsec
+from panelforge.operators import factors, graph, matrix, panel, portfolio, pricing, rolling, stats, xsec
 from panelforge.session import materialize
 from panelforge.sources import table
 
@@ -358,7 +358,7 @@ def ts_betas(spark, d):
 
 @query()
 def giglio_xiu(spark, d):
-    return matrix.giglio_xiu(returns(spark, d), zoo_of(spark, d))
+    return pricing.premia(returns(spark, d), zoo_of(spark, d))
 
 
 @query()

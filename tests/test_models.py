@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import graph, matrix, regime, search, stats, xsec
+from panelforge.operators import graph, matrix, pricing, regime, search, stats, xsec
 from panelforge.plans import ORACLE_SQL, QUERIES
 from panelforge.sources import write_manifest, write_twins
 
@@ -68,13 +68,13 @@ def test_three_passes_find_premia_beside_a_hidden_factor(spark):
     y = (f - f.mean(0) + premia) @ beta.T + (h - h.mean() + own)[:, None] * hidden + random.normal(0, 0.001, (t, n))
     returns = spark.createDataFrame([(week(k), j, float(y[k, j])) for k in range(t) for j in range(n)], "week date, symbol long, ret double")
     factors = spark.createDataFrame([(week(k), m, float(f[k, j])) for k in range(t) for j, m in enumerate("xy")], "week date, factor string, ret double")
-    got = {r.factor: r for r in matrix.giglio_xiu(returns, factors).collect()}
+    got = {r.factor: r for r in pricing.premia(returns, factors).collect()}
     assert all(got[m].n_hidden == 1 and got[m].n_assets == n and abs(got[m].premium - premia[j]) < 3e-4 for j, m in enumerate("xy"))
     b = np.array([normal_equations(f, y[:, j])[1:] for j in range(n)])
     alone = np.linalg.solve(b.T @ b, b.T @ y.mean(0))
     weekly = np.array([np.linalg.solve(b.T @ b, b.T @ row) for row in y])
     assert np.allclose([got[m].premium_alone for m in "xy"], alone) and np.allclose([got[m].fmb_mean for m in "xy"], weekly.mean(0))
-    assert np.allclose([got[m].fmb_t for m in "xy"], [weekly[:, j].mean() / matrix.newey_west_se(weekly[:, j]) for j in range(2)])
+    assert np.allclose([got[m].fmb_t for m in "xy"], [weekly[:, j].mean() / pricing.newey_west_se(weekly[:, j]) for j in range(2)])
 
 
 def test_window_components(spark):
@@ -191,7 +191,7 @@ def test_quantile_points_and_rolling_errors(spark):
     assert t[week(25)] == (None, None)
     for k in (26, 50, 79):
         part = x[k - 26 : k]
-        assert abs(t[week(k)][0] - part.mean()) < 1e-12 and abs(t[week(k)][1] - part.mean() / matrix.newey_west_se(part)) < 1e-8
+        assert abs(t[week(k)][0] - part.mean()) < 1e-12 and abs(t[week(k)][1] - part.mean() / pricing.newey_west_se(part)) < 1e-8
 
 
 def test_boosted_regimes(spark):
@@ -236,7 +236,7 @@ def test_grid_and_tests_of_candidates(candidates):
         order = np.argsort(r[k - 3 : k + 1].std(0, ddof=1))
         spread.append(r[k + 1, order[-6:]].mean() - r[k + 1, order[:6]].mean())
     spread = np.array(spread)
-    assert len(got) == 4 and abs(got["vol_4w+"].t - spread.mean() / matrix.newey_west_se(spread)) < 1e-6 and abs(got["vol_4w+"].t + got["vol_4w-"].t) < 1e-9
+    assert len(got) == 4 and abs(got["vol_4w+"].t - spread.mean() / pricing.newey_west_se(spread)) < 1e-6 and abs(got["vol_4w+"].t + got["vol_4w-"].t) < 1e-9
     p = {f: 2 * (1 - NormalDist().cdf(abs(x.t))) for f, x in got.items()}
     order = sorted(p, key=lambda f: (p[f], f))
     q = np.minimum.accumulate([p[f] * 4 / (i + 1) for i, f in enumerate(order)][::-1])[::-1]
@@ -244,20 +244,113 @@ def test_grid_and_tests_of_candidates(candidates):
 
 
 def test_prices_of_candidates(spark, candidates):
-    _, rows = candidates
+    r, rows = candidates
     made, _ = search.grid(rows)
     series = search.candidates(made, ["vol_4w", "minret_4w", "maxret_4w"])
     base = series.filter("factor = 'maxret_4w+'").select("week", F.lit("BASE").alias("factor"), "ret")
     windows = spark.createDataFrame([("Full", week(0), week(89)), ("IS", week(0), week(50))], "window string, lo date, hi date")
-    got = {(r.candidate, r.window): r for r in search.priced(rows.select("week", "symbol", "ret"), base, series, windows).collect()}
+    returns = rows.select("week", "symbol", "ret")
+    prices = search.priced(returns, base, series, windows, 40)
+    got = {(x.candidate, x.window): x for x in prices.collect()}
     assert {c for c, _ in got} == {"vol_4w+", "vol_4w-", "minret_4w+", "minret_4w-"}  # a twin of the base factor is left out
     assert all(abs(got["vol_4w+", w].premium + got["vol_4w-", w].premium) < 1e-15 and got["vol_4w+", w].low == -got["vol_4w-", w].high for w in ("Full", "IS"))
-    both = base.unionByName(series.filter("factor = 'vol_4w+'").select("week", "factor", "ret"))
-    one = {r.factor: r for r in matrix.giglio_xiu(rows.select("week", "symbol", "ret"), both).collect()}
-    assert abs(one["vol_4w+"].premium - got["vol_4w+", "Full"].premium) < 1e-9 and one["vol_4w+"].n_hidden == got["vol_4w+", "Full"].n_hidden
-    rho = series.filter("factor = 'vol_4w+'").select("week", F.col("ret").alias("x")).join(base, "week").agg(F.corr("x", "ret")).first()[0]
+    wide = series.toPandas().pivot(index="week", columns="factor", values="ret")
+    for w, last in (("Full", 89), ("IS", 50)):
+        f = wide.loc[[x for x in wide.index if x <= week(last)], ["maxret_4w+", "vol_4w+"]]
+        want = plain_three_pass(r[[(x - week(0)).days // 7 for x in f.index]], f.to_numpy(float))
+        assert_premia(want, 1, got["vol_4w+", w])
+    rho = np.corrcoef(wide["vol_4w+"].dropna(), wide["maxret_4w+"].dropna())[0, 1]
     assert got["vol_4w+", "Full"].nearest == "BASE" and abs(got["vol_4w+", "Full"].rho - rho) < 1e-9
-    assert {r.factor for r in search.joint(rows.select("week", "symbol", "ret"), base, series.filter("factor <> 'maxret_4w+'"), 2).collect()} == {"BASE", "vol_4w+", "minret_4w+"}
+    tests = search.tested(series, prices.filter("`window` = 'Full'"), strict=0.5, bar=0.1)
+    found = {x.candidate: x for x in tests.collect()}
+    p = {c: 2 * (1 - NormalDist().cdf(abs(got[c, "Full"].t))) for c in found}
+    assert len(found) == 4 and all(abs(x.p - p[c]) < 1e-5 and x.bonferroni == (p[c] * 4 <= 0.05) and x.passes_strict == (abs(x.t_full) >= 0.5) and abs(x.premium_full - 52 * got[c, "Full"].premium) < 1e-12 for c, x in found.items())
+    assert abs(found["vol_4w+"].ann_ret - 52 * wide["vol_4w+"].mean()) < 1e-9 and abs(found["vol_4w+"].sharpe - wide["vol_4w+"].mean() / wide["vol_4w+"].std() * 52**0.5) < 1e-9
+    chosen = search.shortlist(series, tests, 2)
+    assert chosen == [c for c, _ in sorted(((c, -x.t_full) for c, x in found.items() if x.t_full > 0), key=lambda x: x[1])]
+    assert search.shortlist(series, tests, 2, twin=0.0) == chosen[:1]
+    both = {(x.factor, x.window): x for x in search.joint(returns, base, series, chosen, windows).collect()}
+    assert {f for f, _ in both} == {"BASE", *chosen} and {f for (f, _), x in both.items() if x.selected} == set(chosen)
+    f = wide[["maxret_4w+", *chosen]].dropna()
+    assert_premia(plain_three_pass(r[[(x - week(0)).days // 7 for x in f.index]], f.to_numpy(float)), 1, both[chosen[0], "Full"])
+
+
+def plain_three_pass(y, f, least=24, most=7):
+    """The passes as they are defined, asset by asset and week by week over the whole matrix."""
+
+    def betas(x):
+        b, e = {}, {}
+        for j in range(y.shape[1]):
+            known = ~np.isnan(y[:, j])
+            if known.sum() >= max(x.shape[1] + 2, 8, least):
+                a = np.column_stack([np.ones(known.sum()), x[known]])
+                c = np.linalg.lstsq(a, y[known, j], rcond=None)[0]
+                b[j], e[j] = c[1:], np.zeros(len(y))
+                e[j][known] = y[known, j] - a @ c
+        return np.array([b[j] for j in b]), np.array([e[j] for j in b]).T, [*b]
+
+    def premia(b, use):
+        mean = np.array([np.nanmean(y[:, j]) for j in use])
+        lam = np.linalg.lstsq(b, mean, rcond=None)[0]
+        e, inv = mean - b @ lam, np.linalg.pinv(b.T @ b)
+        return lam, np.sqrt(np.diag(inv @ (b.T * e**2) @ b @ inv))
+
+    seen, resid, use = betas(f)
+    u, s, v = np.linalg.svd(resid, full_matrices=False)
+    t, n = resid.shape
+    scores = [np.log(max(((resid - (u[:, :k] * s[:k]) @ v[:k]) ** 2).mean(), 1e-12)) + k * (n + t) / (n * t) * np.log(min(n, t)) for k in range(min(most, len(s)) + 1)]
+    k = int(np.argmin(scores))
+    hidden = u[:, :k] * s[:k]
+    full, _, used = betas(np.hstack([f, hidden / hidden.std(0, ddof=1)]))
+    weekly = []
+    for row in y:
+        known = [i for i, j in enumerate(use) if not np.isnan(row[j])]
+        if len(known) >= f.shape[1] + 2:
+            weekly.append(np.linalg.lstsq(seen[known], row[[use[i] for i in known]], rcond=None)[0])
+    weekly = np.array(weekly)
+    lam, error = premia(full, used)
+    alone, alone_error = premia(seen, use)
+    m = f.shape[1]
+    return {"premium": lam[:m], "t": (lam / error)[:m], "premium_alone": alone, "t_alone": alone / alone_error, "fmb_mean": weekly.mean(0), "fmb_t": weekly.mean(0) / [pricing.newey_west_se(x) for x in weekly.T], "n_hidden": k, "n_assets": len(used)}
+
+
+def assert_premia(want, j, got):
+    for c, x in want.items():
+        assert np.isclose(x if np.ndim(x) == 0 else x[j], getattr(got, c), rtol=1e-6, atol=1e-10), (c, x, got)
+
+
+@pytest.mark.parametrize("part, fill", [(4000, "mean"), (7, "carry")])
+def test_premia_equal_three_plain_passes(spark, monkeypatch, part, fill):
+    """Gaps in returns and factors, symbols with few returns, several parts, keys and shared factors."""
+    monkeypatch.setattr(pricing, "PART", part)
+    random = np.random.default_rng(17)
+    t, n = 70, 40
+    f = random.normal(0, 0.02, (t, 4))
+    y = f @ random.normal(0, 1, (4, n)) + np.outer(random.normal(0, 0.03, t), random.normal(0, 1, n)) + random.normal(0, 0.01, (t, n))
+    y[random.random((t, n)) < 0.2] = np.nan
+    y[:60, :3] = np.nan  # too few
+    f[random.random((t, 4)) < 0.1] = np.nan
+    returns = spark.createDataFrame([(week(k), f"s{j}", float(y[k, j])) for k in range(t) for j in range(n) if not np.isnan(y[k, j])], "week date, symbol string, ret double")
+    series = lambda j: [(week(k), float(f[k, j])) for k in range(t) if not np.isnan(f[k, j])]
+    shared = spark.createDataFrame([(w, name, x) for j, name in ((0, "a"), (1, "b")) for w, x in series(j)], "week date, factor string, ret double")
+    own = spark.createDataFrame([(key, w, "own", x) for j, key in ((2, "p"), (3, "q")) for w, x in series(j)], "candidate string, week date, factor string, ret double")
+    got = {(r.candidate, r.window, r.factor): r for r in pricing.premia(returns, own, ["candidate"], shared, [("all", week(0), week(t)), ("late", week(30), week(t))], fill).collect()}
+    assert len(got) == 12
+    for key, j in (("p", 2), ("q", 3)):
+        for window, lo in (("all", 0), ("late", 30)):
+            x = pd.DataFrame(f[lo:, [0, 1, j]])
+            rows = ~x.isna().all(axis=1)
+            x = x[rows].ffill() if fill == "carry" else x[rows]
+            want = plain_three_pass(y[lo:][rows], x.fillna(x.mean()).to_numpy())
+            for m, name in enumerate(("a", "b", "own")):
+                assert_premia(want, m, got[key, window, name])
+
+
+def test_premia_without_enough(spark):
+    returns = spark.createDataFrame([(week(k), j, 0.01 * (k % 3)) for k in range(50) for j in range(3)], "week date, symbol long, ret double")
+    factor = spark.createDataFrame([(week(k), "x", 0.01 * (k % 5)) for k in range(50)], "week date, factor string, ret double")
+    assert pricing.premia(returns, factor).collect() == []  # fewer symbols than factors and three
+    assert pricing.premia(returns, factor.limit(20)).collect() == [] and pricing.premia(returns.limit(0), factor).collect() == [] and pricing.premia(returns, factor.limit(0)).collect() == []
 
 
 def test_scores_of_many_measures_take_one_aggregate(spark):
