@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, texts, words
+from .common import materialize, words
 
 TREE = ("domain", "lang", "source")
 
@@ -58,13 +58,13 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict[str, Column],
     return sources.select(*TREE, "tokens", "n_docs", F.floor(F.col("share") + 1e-6).alias("tokens_due"))
 
 
-def place(seed: int, epoch: str = "epoch") -> Column:
-    """A document's place in the random order of an epoch."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col(epoch), F.col("doc_id")).cast("binary"))
+def place(seed: int, epoch: Column, key: str) -> Column:
+    """A row's place in the random order of an epoch."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch, F.col(key)).cast("binary"))
 
 
-def mix(rows: DataFrame, budget: Column, weights: dict[str, Column], epochs: int = 4, seed: int = 17) -> DataFrame:
-    """rows (doc_id, domain, lang, source, n_tokens) as drawn, once for each epoch; ``budget`` is an aggregate over leaves."""
+def mix(rows: DataFrame, budget: Column, weights: dict[str, Column], epochs: int = 4, seed: int = 17, key: str = "doc_id") -> DataFrame:
+    """rows (key, domain, lang, source, n_tokens) as drawn, once for each epoch; ``budget`` is an aggregate over leaves."""
     leaves = materialize(rows.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
     due = leaf_budgets(leaves, budget, weights, epochs)
     due = due.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("tokens_due") / F.col("tokens"))).otherwise(0).cast("int"))
@@ -73,22 +73,22 @@ def mix(rows: DataFrame, budget: Column, weights: dict[str, Column], epochs: int
     drawn = rows.join(due, list(TREE))
     whole = drawn.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     # The epoch that is not whole: sums by bucket tell in which one the prefix ends.
-    part = drawn.filter("more").withColumn("epoch", F.col("full")).withColumn("place", place(seed))
+    part = drawn.filter("more").withColumn("epoch", F.col("full")).withColumn("place", place(seed, F.col("epoch"), key))
     part = part.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2**32 * F.col("n_buckets")))
     sums = part.groupBy(*TREE, "bucket").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("limit"))
     upto = F.sum("held").over(W.partitionBy(*TREE).orderBy("bucket"))
     sums = sums.withColumn("before", upto - F.col("held")).filter("before <= limit")
     sums = materialize(sums.withColumn("inside", F.col("before") + F.col("held") <= F.col("limit")).drop("limit", "held"), "buckets")
     part = part.join(sums, [*TREE, "bucket"])
-    end = part.filter("not inside").withColumn("run", F.col("before") + F.sum("n_tokens").over(W.partitionBy(*TREE, "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)))
-    columns = ["doc_id", "epoch", *TREE, "n_tokens"]
+    end = part.filter("not inside").withColumn("run", F.col("before") + F.sum("n_tokens").over(W.partitionBy(*TREE, "bucket").orderBy("place", key, "n_tokens").rowsBetween(W.unboundedPreceding, 0)))
+    columns = [key, "epoch", *TREE, "n_tokens"]
     return whole.select(columns).unionByName(part.filter("inside").select(columns)).unionByName(end.filter("run <= rest").select(columns))
 
 
-def mixing_rows(docs: DataFrame, domain: Column) -> DataFrame:
-    """doc_id, the tree's names and the number of words of each document."""
-    named = docs.withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
-    rows = texts(named.withColumn("domain", domain), *TREE).select("doc_id", *TREE, F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
+def mixing_rows(docs: DataFrame, domain: Column, key: str = "doc_id") -> DataFrame:
+    """The key, the tree's names and the number of words of each document."""
+    named = docs.withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    rows = named.withColumn("domain", domain).select(key, *TREE, F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
     return materialize(rows, "mixing-rows")
 
 
@@ -118,12 +118,20 @@ def mix_documents(docs: DataFrame, share: float = 0.5, epochs: int = 4, seed: in
 
 
 def keep_drawn(docs: DataFrame, share: float, seed: int = 17) -> DataFrame:
-    """The rows of docs that one epoch draws, all columns as they are: those up to the last place drawn in their leaf.
-
-    Only the table of leaves is joined to the texts; Spark broadcasts it where its threshold allows."""
-    drawn = mix(mixing_rows(docs, domain_of_source()), F.floor(F.sum("tokens") * share), target_weights(), 1, seed)
-    last = materialize(drawn.withColumn("at", place(seed)).groupBy(*TREE).agg(F.max("at").alias("last")), "last-places")
-    keys = {"__mix_lang": F.coalesce("lang", F.lit("")), "__mix_source": F.coalesce("source", F.lit("")), "__mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "__mix_place": F.md5(F.concat_ws(":", F.lit(seed), F.lit(0), F.col("doc_id")).cast("binary"))}
-    last = last.select(*(F.col(c).alias(f"__leaf_{c}") for c in TREE), F.col("last").alias("__leaf_last"))
-    same = [F.col(f"__leaf_{c}") == F.col(f"__mix_{c}") for c in TREE]
-    return docs.withColumns(keys).join(last, [*same, F.col("__mix_place") <= F.col("__leaf_last")], "left_semi").drop(*keys)
+    """The rows of docs that one epoch draws, all columns as they are: in each leaf those before the last place drawn, and of
+    those at it as many as are drawn there.
+
+    A row's place follows from its doc_id and a hash of all its columns, so only equal rows share one; null doc_ids are no
+    exception. Only the table of leaves is joined to the texts; Spark broadcasts it where its threshold allows."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("__mix_key", key)
+    drawn = mix(mixing_rows(keyed, domain_of_source(), "__mix_key"), F.floor(F.sum("tokens") * share), target_weights(), 1, seed, "__mix_key")
+    drawn = drawn.withColumn("at", place(seed, F.col("epoch"), "__mix_key"))
+    last = materialize(drawn.groupBy(*TREE).agg(F.max("at").alias("last")), "last-places")
+    ends = drawn.join(last, list(TREE)).filter("at = last").groupBy(*TREE, "last").agg(F.count("*").alias("n"))
+    ends = materialize(ends, "last-places").select(*(F.col(c).alias(f"__leaf_{c}") for c in TREE), F.col("last").alias("__last"), F.col("n").alias("__n"))
+    own = {"__mix_lang": F.coalesce("lang", F.lit("")), "__mix_source": F.coalesce("source", F.lit("")), "__mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "__at": place(seed, F.lit(0), "__mix_key")}
+    met = keyed.withColumns(own).join(ends, [F.col(f"__leaf_{c}") == F.col(f"__mix_{c}") for c in TREE])
+    at_last = W.partitionBy(*(f"__mix_{c}" for c in TREE)).orderBy("__mix_key")
+    tied = met.filter("__at = __last").withColumn("__rank", F.row_number().over(at_last)).filter("__rank <= __n")
+    return met.filter("__at < __last").select(docs.columns).unionByName(tied.select(docs.columns))

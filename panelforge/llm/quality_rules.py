@@ -6,8 +6,9 @@ deterministic estimates and takes concentration steps; a step is one partial agg
 a group that holds a third of the rows is summed map-side like any other.
 
 Defined results: a null text counts as empty (no words, base_failed). Null lang or source form groups of their own.
-Groups with fewer than ``min_group`` passing rows are judged by the estimate of their language, and where that has as
-few, by the estimate of all passing rows. Repeated rows are judged one by one.
+A group's centre and scatter are drawn towards those of its language, and these towards those of all passing rows, with
+weight n / (n + prior) for its own, where n are its passing rows: one rule for groups of every size, none included.
+Repeated rows are judged one by one.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -69,9 +70,9 @@ def _few(groups: DataFrame) -> DataFrame:
     return materialize(groups.coalesce(8), "mcd")
 
 
-def _factor(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l_ij of the covariance c_ij, whose diagonal gets the least variances."""
-    params = params.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + LEAST_SD[i] ** 2 for i in range(DIMS)})
+def _factor(params: DataFrame, least: float = 1.0) -> DataFrame:
+    """Adds the Cholesky factor l_ij of the covariance c_ij, whose diagonal gets ``least`` times the least variances."""
+    params = params.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + least * LEAST_SD[i] ** 2 for i in range(DIMS)})
     for j in range(DIMS):
         square = reduce(lambda s, k: s - F.col(f"l{j}{k}") ** 2, range(j), F.col(f"c{j}{j}"))
         params = params.withColumn(f"l{j}{j}", F.sqrt(F.greatest(square, F.lit(1e-9))))
@@ -129,28 +130,40 @@ def minimum_covariance_determinant(rows: DataFrame, share: float = 0.75, steps:
     return best.join(edge, keys).withColumn("scale", F.greatest(F.lit(1.0), F.col("reach") / CHI2_75)).select(*keys, *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for j, i in PAIRS), "scale")
 
 
-def group_parameters(stats: DataFrame, min_group: int) -> DataFrame:
-    """The estimate by which each (g_lang, g_source) is judged: its own, or where fewer than ``min_group`` of its rows pass
-    that of its language, or where the language has as few that of all rows, however many they are."""
-    keys, level = ["g_lang", "g_source"], lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
+def group_parameters(stats: DataFrame, prior: float) -> DataFrame:
+    """Centre m_i and Cholesky factor l_ij by which each (g_lang, g_source) is judged: its own estimate drawn towards its
+    language's, and that towards the one of all passing rows."""
+    keys = ["g_lang", "g_source"]
+    rows = materialize(stats.filter(~F.col("base_failed")).select(*keys, *(f"x{i}" for i in range(DIMS))), "vectors")
+    level = lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
     own, of_lang, of_all = level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), F.lit("\1")), level(F.lit("\1"), F.lit("\1"))
-    groups = stats.groupBy(*keys).agg(F.count_if(~F.col("base_failed")).alias("n")).withColumn("of_lang", F.sum("n").over(W.partitionBy("g_lang")))
-    chosen = F.when(F.col("n") >= min_group, own).when(F.col("of_lang") >= min_group, of_lang).otherwise(of_all)
-    groups = _few(groups.select(*keys, chosen.alias("by")))
-    # A row counts in its group's own estimate and in those of its language and of all, as far as any group needs them.
-    counts_in = groups.select(*keys, F.explode(F.array(own, of_lang, of_all)).alias("by")).join(groups.select("by").distinct(), "by", "left_semi")
-    counts_in = _few(counts_in)
-    rows = stats.filter(~F.col("base_failed")).join(counts_in, keys).select("by.*", *(f"x{i}" for i in range(DIMS)))
-    params = minimum_covariance_determinant(materialize(rows, "vectors"))
-    return groups.join(params.withColumn("by", F.struct(*keys)).drop(*keys), "by").drop("by")
-
-
-def quality_rules(docs: DataFrame, cutoff: float = CHI2_9999, min_group: int = 50) -> DataFrame:
+    # A row counts in its group's estimate, in its language's and in that of all.
+    params = minimum_covariance_determinant(rows.select(F.explode(F.array(own, of_lang, of_all)).alias("by"), *(f"x{i}" for i in range(DIMS))).select("by.*", *(f"x{i}" for i in range(DIMS))))
+    spread = {f"c{i}{j}": F.col("scale") * reduce(lambda s, k: s + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(1, i + 1), F.col(f"l{i}0") * F.col(f"l{j}0")) for i, j in PAIRS}
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = _few(sizes.unionByName(sizes.groupBy("g_lang").agg(F.sum("n").alias("n")).withColumn("g_source", F.lit("\1"))))
+    values = [f"m{i}" for i in range(DIMS)] + list(spread)
+    params = _few(params.withColumns(spread).join(sizes, keys, "left").select(*keys, F.struct((F.col("n") / (F.col("n") + prior)).alias("w"), *values).alias("p")))
+    groups = stats.select(*keys).distinct()
+    groups = groups.join(params.withColumnRenamed("p", "own"), keys, "left")
+    groups = groups.join(params.filter(F.col("g_source") == "\1").select("g_lang", F.col("p").alias("lang")), "g_lang", "left")
+    everyone = params.filter((F.col("g_lang") == "\1") & (F.col("g_source") == "\1")).select(F.col("p").alias("all"))  # one row, or none
+    groups = groups.withColumn("_one", F.lit(1)).join(everyone.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+
+    def drawn(name: str, towards: Column) -> dict[str, Column]:
+        return {v: F.when(F.col(name).isNull(), towards[v]).otherwise(F.col(name)["w"] * F.col(name)[v] + (1 - F.col(name)["w"]) * towards[v]) for v in values}
+
+    of_language = F.struct(*(c.alias(v) for v, c in drawn("lang", F.col("all")).items()))
+    groups = groups.select(*keys, "own", of_language.alias("lang"))
+    return _factor(groups.select(*keys, *(c.alias(v) for v, c in drawn("own", F.col("lang")).items())), 0.0)
+
+
+def quality_rules(docs: DataFrame, cutoff: float = CHI2_9999, prior: float = 50.0) -> DataFrame:
     """Statistics, base_failed and kept of each document, with the squared robust distance d2 (null: no document passed the fixed rules)."""
     named = docs.withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
     stats = materialize(vectors(document_statistics(named, "g_lang", "g_source")).withColumn("base_failed", fixed_rules()), "statistics")
-    params = _few(group_parameters(stats, min_group))
-    judged = _distance(stats.join(params, ["g_lang", "g_source"], "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    params = _few(group_parameters(stats, prior))
+    judged = _distance(stats.join(params, ["g_lang", "g_source"], "left"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), "d2",

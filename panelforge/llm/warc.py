@@ -127,12 +127,13 @@ def candidates(blocks: DataFrame, uri: str, block_bytes: int) -> DataFrame:
     return blocks.mapInArrow(scan, "path string, offset long, successor long, leaves long")
 
 
-def reachable_entries(found: DataFrame, most_blocks: int) -> DataFrame:
-    """(path, offset) of the first reachable record that starts in each block, by pointer jumping from offset 0."""
+def reachable_entries(found: DataFrame, archives: DataFrame, most_blocks: int) -> DataFrame:
+    """(path, offset) of the first reachable record that starts in each block, by pointer jumping from offset 0. Where a chain
+    points to a place that is no candidate, that place is the last entry of its file."""
     ends = found.filter("leaves is not null").select("path", F.col("leaves").alias("offset")).distinct()
-    starts = found.filter("offset = 0").select("path", "offset")
+    starts = archives.filter("size > 0").select("path", F.lit(0).cast("long").alias("offset"))
     jump = materialize(found.join(ends.unionByName(starts).distinct(), ["path", "offset"]).select("path", "offset", "leaves"), "jumps")
-    reached = jump.filter("offset = 0").select("path", "offset")
+    reached = starts
     for k in range(max(1, math.ceil(math.log2(max(2, most_blocks))))):
         after = reached.join(jump, ["path", "offset"]).filter("leaves is not null").select("path", F.col("leaves").alias("offset"))
         reached = materialize(reached.unionByName(after).distinct(), "reached")
@@ -142,8 +143,12 @@ def reachable_entries(found: DataFrame, most_blocks: int) -> DataFrame:
     return reached
 
 
-def read_records(entries: DataFrame, uri: str, block_bytes: int) -> DataFrame:
-    """The records that start in the entries' blocks, with digests of the payloads as read."""
+def read_records(entries: DataFrame, uri: str, block_bytes: int, on_break: str = "raise") -> DataFrame:
+    """The records that start in the entries' blocks, with digests of the payloads as read.
+
+    A file must be its chain of records from first byte to last. Where no whole record stands at the place that the one before
+    points to, the read fails, or with on_break="report" gives a row of type "broken" with the place and the bytes from there
+    to the end of the file, none of which are read."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = store(uri)[0]
@@ -154,13 +159,15 @@ def read_records(entries: DataFrame, uri: str, block_bytes: int) -> DataFrame:
                     data = file.read_at(min(size - start, last - start + USUAL_HEADER), start)
                     while offset < last:
                         data, end = _header_end(file, data, start, offset - start, size)
-                        if not (parsed := _parse(data, offset - start, end)):
+                        parsed = _parse(data, offset - start, end)
+                        if parsed is None or start + parsed[1] + parsed[2] + len(GAP) > size:
+                            if on_break == "raise":
+                                raise ValueError(f"{path}: no whole record at {offset}, {size - offset} bytes unread")
+                            rows.append((None, None, size - offset, None, "broken", None, path, offset))
                             break
                         fields, block, length = parsed
                         if block + length > len(data):  # the last record of the block reaches into later ones
                             data += file.read_at(block + length - len(data), start + len(data))
-                        if start + block + length > size:
-                            break
                         head = data.find(END, block, block + length) + len(END)
                         page_id, refers_to = (re.fullmatch(r"<urn:page:(-?[0-9]+)>", fields.get(x, "")) for x in ("WARC-Record-ID", "WARC-Refers-To"))
                         payload = memoryview(data)[head : block + length]
@@ -176,13 +183,13 @@ def read_records(entries: DataFrame, uri: str, block_bytes: int) -> DataFrame:
     return entries.mapInArrow(walk, RECORDS)
 
 
-def read_archives(archives: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """All reachable records of archives (path, size)."""
+def read_archives(archives: DataFrame, block_bytes: int = 4 << 20, on_break: str = "raise") -> DataFrame:
+    """All records of archives (path, size); what to do where a chain breaks, see ``read_records``."""
     spark = archives.sparkSession
     uri, (largest,) = shared_dir(spark), archives.agg(F.max("size")).first()
     blocks = archives.filter("size > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(block_bytes))))
     tasks = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = materialize(candidates(blocks.repartition(tasks, "path", "first"), uri, block_bytes), "candidates")
-    entries = reachable_entries(found, math.ceil((largest or 0) / block_bytes))
+    entries = reachable_entries(found, archives, math.ceil((largest or 0) / block_bytes))
     entries = entries.join(archives, "path").filter("offset < size")
-    return read_records(entries.repartition(tasks, "path", "offset"), uri, block_bytes)
+    return read_records(entries.repartition(tasks, "path", "offset"), uri, block_bytes, on_break)

@@ -264,7 +264,7 @@ def test_verdicts_equal_plain_concentration_steps(spark):
     assert [got[k].kept for k, c in zip(ids, clear) if c] == (d <= quality_rules.CHI2_9999)[clear].tolist()
 
 
-def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+def test_small_groups_are_drawn_to_their_language_and_to_all(spark):
     random = np.random.default_rng(5)
     clean = lambda k: " ".join("abcdefghij"[: random.integers(3, 8)] + str(100000 + k * 100 + j) for j in range(100))
     outlier = lambda k: " ".join(f"###{k * 1000 + j}|||" for j in range(100))
@@ -273,11 +273,31 @@ def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     schema = "doc_id long, text string, lang string, source string"
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, schema)).collect()}
     assert all(r.d2 is not None and r.kept == (k < 1000) for k, r in got.items()) and len(got) == len(rows)
-    few = [r for r in rows if 100 <= r[0] < 132 or r[0] == 1000]  # fewer than 50 in all
+    few = [r for r in rows if 100 <= r[0] < 132 or r[0] == 1000]
     got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(few, schema)).collect()}
     assert all(kept == (k < 1000) for k, kept in got.items())
 
 
+def test_weights_of_a_group_grow_without_a_step(spark):
+    """Centre and scatter of a group are n / (n + prior) its own; the rest is its language's, drawn to all likewise."""
+    random = np.random.default_rng(6)
+    stats = [("en", "a", float(x), 0.2, 0.3, 0.1, False) for x in random.normal(1.0, 0.1, 49)] + [("en", "b", float(x), 0.2, 0.3, 0.1, False) for x in random.normal(2.0, 0.2, 200)]
+    stats += [("de", "c", float(x), 0.2, 0.3, 0.1, False) for x in random.normal(3.0, 0.1, 51)] + [("fr", "d", 9.0, 0.2, 0.3, 0.1, True)]
+    rows = spark.createDataFrame(stats, "g_lang string, g_source string, x0 double, x1 double, x2 double, x3 double, base_failed boolean")
+    got = {r.g_source: r for r in quality_rules.group_parameters(rows, 50.0).collect()}
+    by = lambda *keep: rows.filter("not base_failed").select(*(F.lit(k) if k else F.col(c) for k, c in zip(keep, ("g_lang", "g_source"))), "x0", "x1", "x2", "x3").toDF("g_lang", "g_source", "x0", "x1", "x2", "x3")
+    raw = lambda df: {(r.g_lang, r.g_source): r for r in quality_rules.minimum_covariance_determinant(df).collect()}
+    own, lang, every = raw(by("", "")), raw(by("", "L")), raw(by("A", "A"))["A", "A"]
+    n = {"a": 49, "b": 200, "c": 51, "en": 249, "de": 51}
+    value = lambda r: (r.m0, r.scale * r.l00**2)
+    mixed = lambda w, x, y: tuple(w * p + (1 - w) * q for p, q in zip(x, y))
+    for source, language in (("a", "en"), ("b", "en"), ("c", "de")):
+        target = mixed(n[language] / (n[language] + 50), value(lang[language, "L"]), value(every))
+        want = mixed(n[source] / (n[source] + 50), value(own[language, source]), target)
+        assert np.allclose((got[source].m0, got[source].l00**2), want)
+    assert np.allclose((got["d"].m0, got["d"].l00 ** 2), value(every))
+
+
 # 5. SimHash
 
 
@@ -363,6 +383,25 @@ def test_mixing(spark, docs, empty):
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
 
 
+def test_rows_kept_are_as_many_as_are_drawn(spark, docs, plain):
+    """Rows that share a doc_id, equal rows and null doc_ids, against the draws of a table with a key for each row."""
+    rows = [(7, "one two three", "en", "s1")] * 10
+    kept = mixing.keep_drawn(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 0.3)
+    assert kept.count() == 3
+    rows = [(None if k % 3 else 5, f"word{k % 40} " * (1 + k % 5), "en" if k % 2 else "de", f"s{k % 4}") for k in range(300)] + [r for r in plain if r[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share in (0.2, 0.5, 0.9):
+        keyed = df.selectExpr("monotonically_increasing_id() AS doc_id", "text", "lang", "source")
+        drawn = mixing.mix(mixing.mixing_rows(keyed, mixing.domain_of_source()), F.floor(F.sum("tokens") * share), mixing.target_weights(), 1)
+        due = {tuple(r[c] for c in mixing.TREE): r.n for r in drawn.groupBy(*mixing.TREE).agg(F.sum("n_tokens").alias("n")).collect()}
+        got = mixing.mixing_rows(mixing.keep_drawn(df, share), mixing.domain_of_source()).groupBy(*mixing.TREE).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m")).collect()
+        total = sum(len(words(t)) for _, t, *_ in rows)
+        assert sum(r.n for r in got) <= share * total and abs(sum(r.n for r in got) - sum(due.values())) <= 5 * len(got) + 0.02 * total
+        left = Counter(rows)
+        left.subtract(Counter(map(tuple, mixing.keep_drawn(df, share).collect())))
+        assert min(left.values()) >= 0
+
+
 # 8. Substrings
 
 

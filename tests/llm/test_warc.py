@@ -3,6 +3,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from panelforge.llm import warc
 from panelforge.llm.common import shared_dir
 
@@ -48,6 +50,34 @@ def test_long_urls_do_not_end_the_chain(spark):
         assert sorted(map(tuple, got), key=repr) == expected(rows)
 
 
+@pytest.mark.parametrize("damage", ["magic", "first", "length", "cut", "tail"])
+@pytest.mark.parametrize("block", [400, 4 << 20])
+def test_broken_chains_are_never_silent(spark, damage, block):
+    pages = spark.createDataFrame([(k, f"http://{k}", f"page {k} " * 20) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    (archive,) = warc.write_archives(warc.plan_records(pages).coalesce(1)).collect()
+    path = archive.path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    starts = [r.offset for r in warc.read_archives(spark.createDataFrame([archive]), block).orderBy("offset").collect()]
+    at = {"magic": starts[7], "first": 0, "length": starts[7], "cut": starts[19], "tail": len(data)}[damage]
+    if damage in ("magic", "first"):
+        data[at] ^= 1
+    elif damage == "length":
+        place = data.index(b"Content-Length: ", at) + 16
+        data[place : place + 1] = b"x"
+    elif damage == "cut":
+        del data[-10:]
+    else:
+        data += b"rest"
+    with open(path, "wb") as file:
+        file.write(data)
+    archives = spark.createDataFrame([(archive.path, len(data))], "path string, size long")
+    with pytest.raises(Exception, match=f"no whole record at {at}, {len(data) - at} bytes unread"):
+        warc.read_archives(archives, block).collect()
+    rows = warc.read_archives(archives, block, "report").collect()
+    assert sorted(r.offset for r in rows) == sorted([x for x in starts if x < at] + [at])
+    assert [(r.offset, r.payload_bytes) for r in rows if r.record_type == "broken"] == [(at, len(data) - at)]
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.plan_records(pages))).count() == 0
