@@ -49,12 +49,17 @@ FROM_BYTE_LEVEL = {chr(256 + k): bytes([b]) for k, b in enumerate(_HIDDEN)} | {c
 #: The tokenizer's pattern over stand-ins: a for letters, 0 for numbers, ! for other characters but spaces.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 RUN = {"a": re.compile("[a-z]*"), "!": re.compile("[^ a-z0-9]*")}
-#: The pattern that PIECE stands for, as vocabulary files write it.
+#: Words of characters whose normal form is their lower case, without the start of a special token, and their pieces.
+LATIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The pattern that both stand for, as vocabulary files write it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(rb"[\t-\r ]")
 BLOCK = 1 << 16
 #: Up to so many symbols the least rank is looked for along the list, beyond it a queue has the ranks.
 SHORT, NEVER = 64, 1 << 60
+#: Pieces of at most so many symbols are merged many at once.
+TABLE = 24
 
 
 def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int:
@@ -110,6 +115,18 @@ class Vocabulary:
         for token, k in (self.ids | self.special).items():
             self.texts[k] = token
         self.bytes = [t.encode() if t is not None else None for t in self.texts]
+        # For many pieces at once: numbers of symbols, and pairs of them in order with their ranks and what they make.
+        number = {t: k for k, t in enumerate(dict.fromkeys([*self.ids, *(x for m in merges for x in m)]))}
+        byte = [chr(TO_BYTE_LEVEL.get(b, b)) for b in range(256)]
+        for c in (*byte, *(c + self.end for c in byte)):
+            number.setdefault(c, len(number))
+        self.first, self.last = np.full(512, -1), np.full(512, -1)
+        for c in byte:
+            self.first[ord(c)], self.last[ord(c)] = number[c], number[c + self.end]
+        self.of_number = np.array([self.ids.get(t, -1) for t in number])
+        keys = np.array([number[u] << 32 | number[v] for u, v in merges], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ranks, self.made = keys[order], order, np.array([number[u + v] for u, v in merges])
         self.kinds = {chr(c): chr(c) if chr(c).isalnum() or c in (32, 39) else " " if 9 <= c <= 13 else "!" for c in range(128)}
 
     def kind(self, c: str) -> str:
@@ -121,6 +138,48 @@ class Vocabulary:
             self.kinds[c] = found
         return found
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NEVER)
+
+    def merge_many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of whole pieces in the byte-level alphabet, a row of a table each: in a round each row merges its pair of
+        least rank, the leftmost of equals, until none is left."""
+        size = np.array([len(p) for p in pieces])
+        width = int(size.max())
+        table = np.full((len(pieces), width), -1)
+        inside = np.arange(width) < size[:, None]
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        table[inside] = self.first[codes]
+        table[np.arange(len(pieces)), size - 1] = self.last[codes[np.cumsum(size) - 1]]
+        out, rows, columns = table.copy(), np.arange(len(pieces)), np.arange(width)
+        ranks = np.full((len(pieces), width), NEVER)
+        ranks[:, :-1] = self._ranks_of(table[:, :-1], table[:, 1:])
+        while len(rows):
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), at]
+            going = least < NEVER
+            if not going.all():
+                out[rows[~going]] = table[~going]
+                rows, table, ranks, at, least = rows[going], table[going], ranks[going], at[going], least[going]
+            each = np.arange(len(rows))
+            table[each, at] = self.made[least]
+            moved = np.minimum(columns + (columns > at[:, None]), width - 1)
+            table = np.take_along_axis(table, moved, 1)
+            table[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= at[:, None]), width - 1), 1)
+            ranks[:, -1] = NEVER
+            after = np.where(at + 1 < width, table[each, np.minimum(at + 1, width - 1)], -1)
+            ranks[each, at] = self._ranks_of(table[each, at], after)
+            some = at > 0
+            ranks[each[some], at[some] - 1] = self._ranks_of(table[each[some], at[some] - 1], table[each[some], at[some]])
+        ids = np.where(out >= 0, self.of_number[out], -1)
+        kept = ids >= 0
+        ends = np.cumsum(kept.sum(1)).tolist()
+        flat = ids[kept].astype("<u4").tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges by rank, the leftmost of equals first."""
         ranks, n = self.ranks, len(symbols)
@@ -236,10 +295,12 @@ class Transducer:
                     self._grow(piece[k : k + self.limit], out)
                 self._close(out)
                 return b"".join(out)
-            found = self.known[piece] = self._ids(self._symbols(piece), True)[0]
+            found = self.known[piece] = self._ids(self.symbols(piece), True)[0]
         return found
 
-    def _symbols(self, piece: str) -> str:
+    @staticmethod
+    def symbols(piece: str) -> str:
+        """The piece in the byte-level alphabet."""
         return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(TO_BYTE_LEVEL)
 
     def _ids(self, symbols: str, final: bool) -> tuple[bytes, int]:
@@ -256,7 +317,7 @@ class Transducer:
 
     def _grow(self, part: str, out: list[bytes]) -> None:
         """Adds to the piece that is going on."""
-        self.tail += self._symbols(part) if part else ""
+        self.tail += self.symbols(part) if part else ""
         while len(self.tail) > self.limit:
             head = self.tail[: 8 * self.limit]
             ids, covered = self._ids(head, False)
@@ -279,12 +340,17 @@ class Encoder:
         self.stream, self.known, self.most, self.longest = Transducer(vocabulary), {}, most_words, longest
 
     def __call__(self, text: bytes) -> Iterator[bytes]:
-        known, learn, at, n = self.known, self._word, 0, len(text)
+        at, n = 0, len(text)
         while at < n:
             end = self._cut(text, at)
             if end - at <= BLOCK:
                 words = text[at:end].split()
-                yield b"".join([known[w] if w in known else learn(w) for w in words])
+                if len(self.known) > self.most:
+                    self.known.clear()
+                known = self.known
+                new = {w for w in words if w not in known}
+                own = self._learn(new) if new else known
+                yield b"".join([known[w] if w in known else own[w] for w in words])
                 at = end
             else:
                 portions = codecs.getincrementaldecoder("utf-8")()
@@ -294,6 +360,33 @@ class Encoder:
                 self.stream.reset()
                 at = end
 
+    def many(self, texts: Iterable[bytes]) -> Iterator[Iterator[bytes]]:
+        """The portions of each text. Short texts are looked at in groups of about 16 blocks, so that new words are many at once."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            if len(text) > BLOCK:
+                yield from self._group(group)
+                yield self(text)
+                group, size = [], 0
+            else:
+                group.append(text)
+                size += len(text)
+                if size > 16 * BLOCK:
+                    yield from self._group(group)
+                    group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[bytes]) -> Iterator[Iterator[bytes]]:
+        lists = [text.split() for text in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        known = self.known
+        new = {w for words in lists for w in words if w not in known}
+        own = self._learn(new) if new else known
+        for words in lists:
+            yield iter((b"".join([known[w] if w in known else own[w] for w in words]),))
+
     @staticmethod
     def _cut(text: bytes, at: int) -> int:
         """The end of the block that starts at a place: behind its last space, or at the end of a word that is longer."""
@@ -305,18 +398,28 @@ class Encoder:
         found = SPACE.search(text, at + BLOCK)
         return found.end() if found else len(text)
 
-    def _word(self, word: bytes) -> bytes:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if word.isascii() and b"<" not in word:  # nothing to normalise but case
-            ids = b"".join([self.stream.piece(p) for p in PIECE.findall(word.decode().lower())])
-        else:
-            self.stream.reset()
-            ids = self.stream.feed(word.decode(), True)
-            self.stream.reset()
-        if len(word) <= self.longest:
-            self.known[word] = ids
-        return ids
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words: plain ones by their pieces, many at once, others through the transducer."""
+        stream, latin, cut = self.stream, LATIN.fullmatch, LATIN_PIECE.findall
+        if len(stream.known) > stream.most_pieces:
+            stream.known.clear()
+        pieces, out = {}, {}
+        for word in words:
+            text = word.decode()
+            if latin(text):
+                pieces[word] = cut(text.lower())
+            else:
+                stream.reset()
+                out[word] = stream.feed(text, True)
+        stream.reset()
+        found = stream.known
+        new = {p: stream.symbols(p) for p in {p for parts in pieces.values() for p in parts if p not in found}}
+        many = [p for p, symbols in new.items() if len(symbols) <= TABLE]
+        found.update(zip(many, stream.v.merge_many([new[p] for p in many])) if many else ())
+        for word, parts in pieces.items():
+            out[word] = b"".join([found[p] if p in found else stream.piece(p) for p in parts])
+        self.known.update((w, ids) for w, ids in out.items() if len(w) <= self.longest)
+        return out
 
 
 class Decoder:
@@ -359,8 +462,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(path))
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                for k, ids in enumerate(encoder(text.as_buffer().to_pybytes()) if len(text.as_buffer()) else [b""]):
+            for doc_id, portions in zip(batch["doc_id"], encoder.many(x.as_buffer().to_pybytes() for x in batch["text"])):
+                for k, ids in enumerate(portions):
                     values = pa.array(np.frombuffer(ids, "<u4").astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.ListArray.from_arrays([0, len(values)], values)], ["doc_id", "portion", "ids"])
 
@@ -377,9 +480,9 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encoder = Encoder(v)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for portions in encoder.many(x.as_buffer().to_pybytes() for x in batch["text"]):
                 n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(v)
-                for ids in encoder(text.as_buffer().to_pybytes()):
+                for ids in portions:
                     n += len(ids) // 4
                     of_ids.update(ids)
                     of_text.update(decoder.feed(ids))

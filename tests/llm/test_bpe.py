@@ -98,7 +98,7 @@ def test_lookahead_is_sufficient_on_small_merge_lists():
     assert needed > 3
 
 
-def test_both_ways_to_merge_are_one(vocabulary, monkeypatch):
+def test_short_and_long_pieces_are_merged_alike(vocabulary, monkeypatch):
     rng = random.Random(8)
     for _ in range(300):
         symbols = [rng.choice("theinrsao") for _ in range(rng.randrange(1, 60))]
@@ -108,6 +108,13 @@ def test_both_ways_to_merge_are_one(vocabulary, monkeypatch):
         monkeypatch.undo()
 
 
+def test_many_pieces_at_once_are_merged_like_one(vocabulary):
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("theinrsao'!0Ã©") for _ in range(rng.randrange(1, 25))) for _ in range(3000)] + ["a", "aaaaaaaa", "é"]
+    want = [b"".join(vocabulary.ids[t].to_bytes(4, "little") for t in vocabulary.merge([*p[:-1], p[-1] + "</w>"])) for p in pieces]
+    assert vocabulary.merge_many(pieces) == want
+
+
 def test_decoder_in_any_portions(vocabulary, library):
     text = "Café 日本 don't <|endoftext|> \U0001f44d " * 40
     found = library.encode(text, add_special_tokens=False).ids
