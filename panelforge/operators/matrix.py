@@ -5,6 +5,8 @@ number of groups. Signs are fixed so that the loading of greatest magnitude is p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,13 +21,32 @@ def fixed_signs(rows: np.ndarray) -> np.ndarray:
     return rows * np.where(sign == 0, 1, sign)[:, None]
 
 
-def window_expand(rows: DataFrame, n: int, inclusive: bool = True, order: str = "week") -> DataFrame:
-    """rows once for each window that holds them: adds ``end``. A window is the n weeks up to (or before) its end."""
-    weeks = rows.select(order).distinct().withColumn("_k", F.row_number().over(W.orderBy(order)))
-    reach = F.sequence(F.lit(0), F.lit(n - 1)) if inclusive else F.sequence(F.lit(1), F.lit(n))
-    ends = weeks.select("_k", F.col(order).alias("end"))
-    pairs = weeks.select(order, F.explode(F.transform(reach, lambda d: F.col("_k") + d)).alias("_k")).join(ends, "_k").drop("_k")
-    return rows.join(pairs, order)
+def sliding(rows: DataFrame, n: int, run: Callable[[pd.DataFrame, object], pd.DataFrame | None], schema: str, after: int = 0) -> DataFrame:
+    """What ``run`` gives for each window of rows (week, symbol, ret): it takes the returns of n weeks as a table of weeks by
+    symbols, the last week's date being the second argument, and gives rows of the schema or None. With ``after``, so many
+    weeks follow in the table behind the n, and windows end at the last of them.
+
+    Neighbouring windows share a group: those that end in the same stretch of about half a window's weeks. A row is thus in
+    about three groups whatever n is, not in one for every window. Weeks are those of the table; a window that lacks earlier
+    weeks has fewer rows."""
+    reach = n + after
+    stretch = max(4, reach // 2)
+    known = rows.filter("ret is not null").select("week", "symbol", "ret")
+    weeks = known.select("week").distinct().withColumn("_k", F.row_number().over(W.orderBy("week")) - 1)
+    groups = F.sequence(F.floor(F.col("_k") / stretch), F.floor((F.col("_k") + reach - 1) / stretch))
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="_k", columns="symbol", values="ret").sort_index(axis=1)
+        dates, group, out = pdf.drop_duplicates("_k").set_index("_k")["week"], int(pdf["_g"].iloc[0]), []
+        for k in range(group * stretch, (group + 1) * stretch):
+            if k in wide.index:
+                found = run(wide.loc[k - reach + 1 : k].dropna(axis=1, how="all"), dates[k])
+                if found is not None and len(found):
+                    out.append(found[columns])
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns}, dtype=object)
+
+    return known.join(weeks, "week").withColumn("_g", F.explode(groups)).groupBy("_g").applyInPandas(slide, schema)
 
 
 def fama_macbeth(rows: DataFrame, y: str, xs: list[str], least: int = 8) -> DataFrame:
@@ -74,12 +95,6 @@ def series_betas(rows: DataFrame, y: str, xs: list[str], least: int = 8) -> Data
     return rows.select("symbol", y, *xs).groupBy("symbol").applyInPandas(betas, f"symbol {kind}, term string, beta double, n long")
 
 
-def _matrix(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Weeks by symbols of a window; symbols with enough returns."""
-    wide = pdf.pivot_table(index="week", columns="symbol", values="ret")
-    return wide.loc[:, wide.notna().sum() >= least]
-
-
 def window_pca(wide: pd.DataFrame, latest: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, pd.Series] | None:
     """Scores of symbols (columns of wide, unknown returns as zero) on k components over the weeks, the shares of variance,
     and what ``latest`` returns have beside an intercept and the scores."""
@@ -103,27 +118,26 @@ def rolling_pca(rows: DataFrame, n: int = 26, least: int = 16, k: int = 3, least
     returns, the components' shares of variance, and what the window's last return has beside an intercept and the scores
     (null where it is unknown)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _matrix(pdf, least)
-        if wide.shape[1] < least_names or pdf["week"].nunique() < n:
-            return pd.DataFrame({"end": [], "symbol": [], "loadings": [], "explained": [], "residual": []}, dtype=object)
-        last = pdf[pdf["week"] == pdf["week"].max()].set_index("symbol")["ret"]
-        scores, share, resid = window_pca(wide, last, k)
-        return pd.DataFrame({"end": pdf["end"].iloc[0], "symbol": wide.columns, "loadings": list(scores), "explained": [share] * len(scores), "residual": resid.to_numpy()})
+    def run(wide: pd.DataFrame, end) -> pd.DataFrame | None:
+        prior = wide.iloc[:-1]
+        prior = prior.loc[:, prior.notna().sum() >= least]
+        if prior.shape[1] < least_names or len(prior) < n:
+            return None
+        scores, share, resid = window_pca(prior, prior.iloc[-1], k)
+        return pd.DataFrame({"end": end, "symbol": prior.columns, "loadings": list(scores), "explained": [share] * len(scores), "residual": resid.to_numpy()})
 
     kind = dict(rows.dtypes)["symbol"]
-    windows = window_expand(rows.select("week", "symbol", "ret").filter("ret is not null"), n, inclusive=False)
-    return windows.groupBy("end").applyInPandas(run, f"end date, symbol {kind}, loadings array<double>, explained array<double>, residual double")
+    return sliding(rows, n, run, f"end date, symbol {kind}, loadings array<double>, explained array<double>, residual double", after=1)
 
 
 def svd_kmeans(rows: DataFrame, n: int = 26, least: int = 16, dims: int = 8, clusters: int = 5) -> DataFrame:
     """(end, symbol, cluster): k-means of the leading singular vectors of each window's correlation matrix; clusters are
     numbered by their smallest symbol."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _matrix(pdf, least)
+    def run(wide: pd.DataFrame, end) -> pd.DataFrame | None:
+        wide = wide.loc[:, wide.notna().sum() >= least]
         if wide.shape[1] < clusters:
-            return pd.DataFrame({"end": [], "symbol": [], "cluster": []}, dtype=object)
+            return None
         u, s, _ = np.linalg.svd(wide.corr().fillna(0.0).to_numpy())
         x = u[:, :dims] * s[:dims]
         random = np.random.default_rng(0)
@@ -135,47 +149,99 @@ def svd_kmeans(rows: DataFrame, n: int = 26, least: int = 16, dims: int = 8, clu
             label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
             centres = np.array([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(clusters)])
         order = {c: i for i, c in enumerate(dict.fromkeys(label.tolist()))}
-        return pd.DataFrame({"end": pdf["end"].iloc[0], "symbol": wide.columns, "cluster": [order[c] for c in label.tolist()]})
+        return pd.DataFrame({"end": end, "symbol": wide.columns, "cluster": [order[c] for c in label.tolist()]})
 
-    kind = dict(rows.dtypes)["symbol"]
-    windows = window_expand(rows.select("week", "symbol", "ret").filter("ret is not null"), n)
-    return windows.groupBy("end").applyInPandas(run, f"end date, symbol {kind}, cluster int")
+    return sliding(rows, n, run, f"end date, symbol {dict(rows.dtypes)['symbol']}, cluster int")
 
 
-def sparse_components(x: np.ndarray, k: int, alpha: float, ridge: float, rounds: int = 60) -> np.ndarray:
-    """k sparse loadings of standardised columns: scores by least squares and loadings by soft thresholds, in turn."""
-    load = np.linalg.svd(x, full_matrices=False)[2][:k]
+def lasso_codes(x: np.ndarray, atoms: np.ndarray, alpha: float, start: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Each column's loadings on the atoms (rows) that make least half the squared rest plus alpha times their magnitudes, by
+    coordinate descent over all columns at once."""
+    gram, product, u = atoms @ atoms.T, (atoms @ x).T, start.copy()
     for _ in range(rounds):
-        u, _, v = np.linalg.svd(x @ load.T, full_matrices=False)
-        corr = x.T @ (u @ v)
-        new = (np.sign(corr) * np.maximum(np.abs(corr) - alpha, 0) / (1 + ridge)).T
-        if np.abs(new - load).max() < 1e-7:
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(gram) > 1e-12):
+            rest = product[:, j] - u @ gram[:, j] + u[:, j] * gram[j, j]
+            new = np.sign(rest) * np.maximum(np.abs(rest) - alpha, 0.0) / gram[j, j]
+            moved = max(moved, float(np.abs(new - u[:, j]).max(initial=0.0)))
+            u[:, j] = new
+        if moved < 1e-10:
             break
-        load = new
-    norm = np.linalg.norm(load, axis=1, keepdims=True)
-    return fixed_signs(load / np.where(norm > 0, norm, 1))
+    return u
 
 
-def rolling_sparse_pca(rows: DataFrame, n: int = 104, k: int = 4, alpha: float = 1.2, ridge: float = 0.01, least: int = 10) -> DataFrame:
-    """(end, component, ret, n_loaded, explained): returns of sparse components at ``end``, loadings from the prior weeks
-    of symbols that have them all; explained is adjusted for correlated scores."""
+def sparse_components(x: np.ndarray, k: int, alpha: float, rounds: int = 300, tolerance: float = 1e-8) -> np.ndarray:
+    """k sparse unit loadings of standardised columns: x is a product of series (atoms of at most unit length, that need not be
+    orthogonal) and sparse loadings, each in turn the best for the other, until the objective moves no more."""
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    k = min(k, len(s))
+    atoms, codes, last = (u[:, :k] * s[:k]).T, v[:k].T, np.inf
+    for _ in range(rounds):
+        codes = lasso_codes(x, atoms, alpha, codes)
+        squares, product = codes.T @ codes, codes.T @ x.T
+        for j in range(k):
+            if squares[j, j] > 1e-6:
+                atoms[j] += (product[j] - squares[j] @ atoms) / squares[j, j]
+            else:  # an atom that nothing loads on starts again from the column that fits worst
+                atoms[j], codes[:, j] = x[:, ((x - (codes @ atoms).T) ** 2).sum(0).argmax()], 0.0
+            atoms[j] /= max(np.linalg.norm(atoms[j]), 1.0)
+        value = 0.5 * ((x - (codes @ atoms).T) ** 2).sum() + alpha * np.abs(codes).sum()
+        if last - value < tolerance * value:
+            break
+        last = value
+    norm = np.linalg.norm(codes, axis=0)
+    return fixed_signs((codes / np.where(norm > 0, norm, 1.0)).T)
+
+
+def explained_by(x: np.ndarray, loadings: np.ndarray) -> np.ndarray:
+    """The share of x that the scores of the first, the first two, ... components explain by least squares."""
+    out = []
+    for k in range(1, len(loadings) + 1):
+        scores = x @ loadings[:k].T
+        out.append(1 - ((x - scores @ np.linalg.lstsq(scores, x, rcond=None)[0]) ** 2).sum() / max((x**2).sum(), 1e-300))
+    return np.array(out)
+
+
+def standardised(wide: pd.DataFrame) -> pd.DataFrame:
+    """Columns known throughout and not flat, of mean zero and unit deviation."""
+    return ((wide - wide.mean()) / wide.std(ddof=0).replace(0, np.nan)).dropna(axis=1)
+
+
+def rolling_sparse_pca(rows: DataFrame, n: int = 104, k: int = 4, alpha: float = 1.2, least: int = 10) -> DataFrame:
+    """(end, component, ret, n_loaded, n_symbols, explained): loadings are fitted to the n weeks before ``end`` of all symbols
+    that have them all; only then do the symbols with a return at ``end`` make the components' returns, from what they have
+    over their mean. explained is the share of the first components up to this one."""
+
+    def run(wide: pd.DataFrame, end) -> pd.DataFrame | None:
+        prior, now = wide.iloc[:-1], wide.iloc[-1]
+        fitted = prior.columns[prior.notna().all()]
+        if len(prior) < n or len(fitted) < least:
+            return None
+        x = standardised(prior[fitted])
+        known = now[x.columns].notna().to_numpy()
+        if not x.shape[1] or known.sum() < least:
+            return None
+        load = sparse_components(x.to_numpy(), k, alpha)
+        y = now[x.columns].to_numpy()[known]
+        return pd.DataFrame({"end": end, "component": range(len(load)), "ret": load[:, known] @ (y - y.mean()), "n_loaded": (load != 0).sum(1), "n_symbols": len(fitted), "explained": explained_by(x.to_numpy(), load)})
+
+    return sliding(rows, n, run, "end date, component int, ret double, n_loaded int, n_symbols int, explained double", after=1)
+
+
+def sparse_pca(rows: DataFrame, k: int = 4, alpha: float = 1.2) -> DataFrame:
+    """(component, symbol, loading, explained) of the symbols that have all weeks of rows: one fit over the whole sample, of
+    which the group holds these symbols' series."""
+    known = rows.filter("ret is not null").select("week", "symbol", "ret")
+    weeks = known.select("week").distinct().count()
+    whole = known.groupBy("symbol").agg(F.count("*").alias("_n")).filter(F.col("_n") == weeks).select("symbol")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = pdf["end"].iloc[0]
-        prior, now = pdf[pdf["week"] < end], pdf[pdf["week"] == end].set_index("symbol")["ret"]
-        wide = prior.pivot_table(index="week", columns="symbol", values="ret").dropna(axis=1)
-        wide = wide[[c for c in wide.columns if c in now.index]]
-        if len(wide) < n or wide.shape[1] < least or not len(now):
-            return pd.DataFrame({"end": [], "component": [], "ret": [], "n_loaded": [], "explained": []}, dtype=object)
-        x = wide.to_numpy()
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        load = sparse_components(x, k, alpha, ridge)
-        r = np.linalg.qr(x @ load.T)[1]
-        y = now[wide.columns].to_numpy()
-        return pd.DataFrame({"end": end, "component": range(k), "ret": load @ (y - y.mean()), "n_loaded": (load != 0).sum(1), "explained": np.diag(r) ** 2 / (x**2).sum()})
-
-    windows = window_expand(rows.select("week", "symbol", "ret").filter("ret is not null"), n + 1)
-    return windows.groupBy("end").applyInPandas(run, "end date, component int, ret double, n_loaded int, explained double")
+        x = standardised(pdf.pivot(index="week", columns="symbol", values="ret").sort_index(axis=1))
+        load = sparse_components(x.to_numpy(), k, alpha) if x.shape[1] else np.zeros((0, 0))
+        share = explained_by(x.to_numpy(), load)
+        return pd.DataFrame([(j, c, v, share[j]) for j, row in enumerate(load) for c, v in zip(x.columns, row)], columns=["component", "symbol", "loading", "explained"])
+
+    return known.join(whole, "symbol", "left_semi").groupBy().applyInPandas(run, f"component int, symbol {dict(rows.dtypes)['symbol']}, loading double, explained double")
 
 
 def canonical_correlations(left: DataFrame, right: DataFrame) -> DataFrame:

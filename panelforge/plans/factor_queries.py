@@ -372,6 +372,14 @@ def sparse_pca(spark, d):
     return matrix.rolling_sparse_pca(panel.with_returns(weekly(spark, d), "pad"))
 
 
+@query()
+def sparse_pca_loadings(spark, d):
+    """Loadings over the whole sample, of the weeks since most symbols are there and the symbols that have them all."""
+    a = panel.with_returns(weekly(spark, d), "pad").filter("ret is not null")
+    start = a.groupBy("symbol").agg(F.min("week").alias("start")).agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY unix_date(start))").alias("start"))  # one row
+    return matrix.sparse_pca(a.join(F.broadcast(start), F.unix_date("week") >= F.col("start")))
+
+
 @query()
 def cca(spark, d):
     z = zoo_of(spark, d).groupBy("week").pivot("factor", list(SPECS)).agg(F.first("ret"))

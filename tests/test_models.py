@@ -98,15 +98,58 @@ def test_window_components(spark):
     assert all(abs(got[week(27), names[i]].residual - (r[26, names[i]] - b[0] - score[i] @ b[1:])) < 1e-9 for i in known)
 
 
-def test_sparse_components_keep_blocks_apart():
-    random = np.random.default_rng(4)
-    f = random.normal(size=(200, 2)) * [3, 2]
-    x = np.hstack([f[:, [0]] + 0.1 * random.normal(size=(200, 5)), f[:, [1]] + 0.1 * random.normal(size=(200, 5))])
+def test_sparse_components_are_best_for_their_atoms():
+    """Each loading meets the conditions of the lasso's optimum; no atom is longer than one; a rank-one table gives its column."""
+    random = np.random.default_rng(2)
+    series = random.normal(size=(104, 3))
+    x = np.hstack([series[:, [j]] * random.uniform(0.5, 2, 8) + random.normal(0, 0.3, (104, 8)) for j in range(3)])
     x = (x - x.mean(0)) / x.std(0)
-    load = matrix.sparse_components(x, 2, 5.0, 0.01)
-    assert sorted([tuple(np.flatnonzero(np.abs(v) > 1e-3)) for v in load]) == [tuple(range(5)), tuple(range(5, 10))] and np.allclose(np.linalg.norm(load, axis=1), 1)
-    plain = np.linalg.svd(x, full_matrices=False)[2][:2]
-    assert np.allclose(np.abs(matrix.sparse_components(x, 2, 0.0, 0.0) @ plain.T).max(1), 1, atol=1e-3)
+    for alpha in (0.0, 1.2, 4.0):
+        atoms = random.normal(size=(3, 104)) / 12
+        u = matrix.lasso_codes(x, atoms, alpha, np.zeros((24, 3)))
+        slope = atoms @ (x - (u @ atoms).T)  # of half the squared rest
+        assert np.allclose(slope.T[u != 0], alpha * np.sign(u[u != 0]), atol=1e-6) and (np.abs(slope) <= alpha + 1e-6).all()
+    load = matrix.sparse_components(x, 3, 4.0)
+    assert np.allclose(np.linalg.norm(load, axis=1), 1) and (load == 0).mean() > 0.4
+    assert sorted(int(np.abs(v.reshape(3, 8)).sum(1).argmax()) for v in load) == [0, 1, 2]  # a component a block
+    share = matrix.explained_by(x, load)
+    for k in range(1, 4):
+        z = x @ load[:k].T
+        fit = z @ np.linalg.solve(z.T @ z, z.T @ x)
+        assert abs(share[k - 1] - (1 - ((x - fit) ** 2).sum() / (x**2).sum())) < 1e-9
+    plain = np.linalg.svd(x, full_matrices=False)[2][:3]
+    dense = matrix.sparse_components(x, 3, 1e-9)
+    assert np.allclose(np.linalg.svd(plain @ np.linalg.qr(dense.T)[0])[1], 1, atol=1e-3)  # without a penalty the span is that of principal components
+
+
+def test_loadings_do_not_look_ahead(spark):
+    """A symbol that stops before ``end`` is fitted all the same and only makes no return."""
+    random = np.random.default_rng(5)
+    r = random.normal(size=(32, 14)) + random.normal(size=(32, 1))
+    rows = lambda gone: spark.createDataFrame([(week(k), j, float(r[k, j])) for k in range(31) for j in range(14) if not (gone and k == 30 and j in (2, 3))], "week date, symbol long, ret double")
+    all_there, two_gone = ({x.component: x for x in matrix.rolling_sparse_pca(rows(gone), n=30, k=2).filter(F.col("end") == week(30)).collect()} for gone in (False, True))
+    assert len(all_there) == 2 and all((x.n_loaded, x.n_symbols, x.explained) == (two_gone[k].n_loaded, 14, two_gone[k].explained) for k, x in all_there.items())
+    x = matrix.standardised(pd.DataFrame(r[:30]))
+    load = matrix.sparse_components(x.to_numpy(), 2, 1.2)
+    here = [j for j in range(14) if j not in (2, 3)]
+    for names, got in ((list(range(14)), all_there), (here, two_gone)):
+        y = r[30, names] - r[30, names].mean()
+        assert np.allclose([got[k].ret for k in range(2)], load[:, names] @ y)
+    whole = matrix.sparse_pca(rows(True), k=2).toPandas()
+    assert sorted(whole["symbol"].unique()) == here and np.allclose(whole.groupby("component")["loading"].apply(lambda v: (v**2).sum()), 1)
+
+
+def test_neighbouring_windows_share_groups(spark):
+    """Rows in front of the groups are about three times the panel's, however many weeks a window has."""
+    rows = spark.createDataFrame([(week(k), j, float(k + j)) for k in range(120) for j in range(3)], "week date, symbol long, ret double")
+    for n, after in ((12, 0), (26, 1), (60, 0)):
+        seen = matrix.sliding(rows, n, lambda wide, end: pd.DataFrame({"end": [end], "rows": [len(wide)], "last": [wide.iloc[-1, 0]]}), "end date, rows int, last double", after)
+        got = {x.end: x for x in seen.collect()}
+        assert len(got) == 120 and all(got[week(k)].rows == min(k + 1, n + after) and got[week(k)].last == k for k in range(120))
+        generated = [p for p in str(seen._jdf.queryExecution().executedPlan()).split("\n") if "Generate" in p]
+        stretch = max(4, (n + after) // 2)
+        copies = sum(1 for k in range(120) for g in range(k // stretch, (k + n + after - 1) // stretch + 1))
+        assert generated and copies <= 3.2 * 120
 
 
 def test_canonical_correlations_solve_the_eigenproblem(spark):
