@@ -49,17 +49,18 @@ FROM_BYTE_LEVEL = {chr(256 + k): bytes([b]) for k, b in enumerate(_HIDDEN)} | {c
 #: The tokenizer's pattern over stand-ins: a for letters, 0 for numbers, ! for other characters but spaces.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 RUN = {"a": re.compile("[a-z]*"), "!": re.compile("[^ a-z0-9]*")}
-#: Words of characters whose normal form is their lower case, without the start of a special token, and their pieces.
+#: Words of characters whose normal form is their lower case, without the start of a special token, and their pieces and the
+#: breaks between words.
 LATIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
-LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
 #: The pattern that both stand for, as vocabulary files write it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile(rb"[\t-\r ]")
 BLOCK = 1 << 16
 #: Up to so many symbols the least rank is looked for along the list, beyond it a queue has the ranks.
-SHORT, NEVER = 64, 1 << 60
-#: Pieces of at most so many symbols are merged many at once.
-TABLE = 24
+SHORT, NEVER = 64, (1 << 31) - 1
+#: Pieces of at most so many symbols are merged many at once, in tables of so many rows.
+TABLE, ROWS = 24, 2048
 
 
 def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int:
@@ -126,7 +127,7 @@ class Vocabulary:
         self.of_number = np.array([self.ids.get(t, -1) for t in number])
         keys = np.array([number[u] << 32 | number[v] for u, v in merges], np.int64)
         order = np.argsort(keys)
-        self.pairs, self.pair_ranks, self.made = keys[order], order, np.array([number[u + v] for u, v in merges])
+        self.pairs, self.pair_ranks, self.made = keys[order], order.astype(np.int32), np.array([number[u + v] for u, v in merges], np.int32)
         self.kinds = {chr(c): chr(c) if chr(c).isalnum() or c in (32, 39) else " " if 9 <= c <= 13 else "!" for c in range(128)}
 
     def kind(self, c: str) -> str:
@@ -139,22 +140,29 @@ class Vocabulary:
         return found
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        keys = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 32 | right)
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.pair_ranks[at], NEVER)
 
     def merge_many(self, pieces: list[str]) -> list[bytes]:
         """The ids of whole pieces in the byte-level alphabet, a row of a table each: in a round each row merges its pair of
         least rank, the leftmost of equals, until none is left."""
+        if len(pieces) > ROWS:  # tables of like widths, each small enough to stay in a core's cache
+            order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+            found: list[bytes] = [b""] * len(pieces)
+            for k in range(0, len(order), ROWS):
+                for row, ids in zip(order[k : k + ROWS], self.merge_many([pieces[row] for row in order[k : k + ROWS]])):
+                    found[row] = ids
+            return found
         size = np.array([len(p) for p in pieces])
         width = int(size.max())
-        table = np.full((len(pieces), width), -1)
+        table = np.full((len(pieces), width), -1, np.int32)
         inside = np.arange(width) < size[:, None]
         codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
         table[inside] = self.first[codes]
         table[np.arange(len(pieces)), size - 1] = self.last[codes[np.cumsum(size) - 1]]
         out, rows, columns = table.copy(), np.arange(len(pieces)), np.arange(width)
-        ranks = np.full((len(pieces), width), NEVER)
+        ranks = np.full((len(pieces), width), NEVER, np.int32)
         ranks[:, :-1] = self._ranks_of(table[:, :-1], table[:, 1:])
         while len(rows):
             at = ranks.argmin(1)
@@ -399,26 +407,35 @@ class Encoder:
         return found.end() if found else len(text)
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words: plain ones by their pieces, many at once, others through the transducer."""
-        stream, latin, cut = self.stream, LATIN.fullmatch, LATIN_PIECE.findall
+        """The ids of new words: plain ones by their pieces, all in one text of a word a line, others through the transducer."""
+        stream, latin = self.stream, LATIN.fullmatch
         if len(stream.known) > stream.most_pieces:
             stream.known.clear()
-        pieces, out = {}, {}
-        for word in words:
-            text = word.decode()
+        plain, out = [], {}
+        listed = list(words)
+        for word, text in zip(listed, b"\n".join(listed).decode().split("\n")):
             if latin(text):
-                pieces[word] = cut(text.lower())
+                plain.append(word)
             else:
                 stream.reset()
                 out[word] = stream.feed(text, True)
         stream.reset()
         found = stream.known
-        new = {p: stream.symbols(p) for p in {p for parts in pieces.values() for p in parts if p not in found}}
-        many = [p for p, symbols in new.items() if len(symbols) <= TABLE]
-        found.update(zip(many, stream.v.merge_many([new[p] for p in many])) if many else ())
-        for word, parts in pieces.items():
-            out[word] = b"".join([found[p] if p in found else stream.piece(p) for p in parts])
-        self.known.update((w, ids) for w, ids in out.items() if len(w) <= self.longest)
+        lines = LATIN_PIECE.findall(b"\n".join([*plain, b""]).decode().lower())
+        new = [p for p in dict.fromkeys(lines) if p not in found and p != "\n"]
+        symbols = stream.symbols("\n".join(new)).split(chr(TO_BYTE_LEVEL[10]))
+        short = [(p, x) for p, x in zip(new, symbols) if len(x) <= TABLE]
+        if short:
+            found.update(zip([p for p, _ in short], stream.v.merge_many([x for _, x in short])))
+        parts, k = [], 0
+        for p in lines:
+            if p == "\n":
+                out[plain[k]] = parts[0] if len(parts) == 1 else b"".join(parts)
+                parts, k = [], k + 1
+            else:
+                parts.append(found[p] if p in found else stream.piece(p))
+        longest = self.longest
+        self.known.update(out if longest >= max(map(len, out)) else {w: ids for w, ids in out.items() if len(w) <= longest})
         return out
 
 
