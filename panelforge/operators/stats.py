@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import normal_cdf, normal_quantile, ratio
+from panelforge.session import materialize
+
+from . import order
 
 
 def newey_west(series: DataFrame, keys: list[str], value: str, lags: int = 4, order: str = "week") -> DataFrame:
@@ -94,10 +97,11 @@ def stochastic_dominance(pairs: DataFrame, keys: list[str], x: str, y: str, poin
 
 def corrections(tests: DataFrame, t: str, keys: list[str]) -> DataFrame:
     """Adds the two-sided normal p, whether it passes Bonferroni at 5 %, and the Benjamini-Hochberg q."""
-    a = tests.withColumn("p", 2 * (1 - normal_cdf(F.abs(t)))).withColumn("_m", F.count("*").over(W.partitionBy()))
-    a = a.withColumn("_r", F.row_number().over(W.orderBy("p", *keys))).withColumn("_q", F.col("p") * F.col("_m") / F.col("_r"))
-    q = F.least(F.lit(1.0), F.min("_q").over(W.orderBy("p", *keys).rowsBetween(0, W.unboundedFollowing)))
-    return a.withColumns({"bonferroni": F.col("p") * F.col("_m") <= 0.05, "q": q}).drop("_m", "_r", "_q")
+    a = materialize(tests.withColumn("p", 2 * (1 - normal_cdf(F.abs(t)))), "tests")
+    m, by_p = a.count(), [F.col("p"), *map(F.col, keys)]
+    a = order.positions(a, by_p, "_r")
+    a = order.least_from_here(a, by_p, F.col("p") * m / F.col("_r"), "_q")
+    return a.withColumns({"bonferroni": F.col("p") * m <= 0.05, "q": F.least(F.lit(1.0), "_q")}).drop("_r", "_q")
 
 
 #: Grades of evidence from strong to none, and the bars of t they are cut at. Fixed values.

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from panelforge.functions import ratio
 
+from . import order
+
 
 def zscore(rows: DataFrame, x: str, out: str, flat_to_zero: bool = True, by: tuple[str, ...] = ("week",)) -> DataFrame:
     """Adds (x - mean) / sd. Where sd is null or zero: zero ("flat_to_zero") or null."""
@@ -66,16 +68,27 @@ def medians_scaled(rows: DataFrame, measures: dict[str, str], by: tuple[str, ...
 
 def clip_above(rows: DataFrame, x: str, out: str, q: float = 0.99) -> DataFrame:
     """Adds x clipped to its quantile over all rows."""
-    top = rows.agg(F.percentile(x, q).alias("_q"))
-    return rows.crossJoin(F.broadcast(top)).withColumn(out, F.when(F.col(x).isNotNull(), F.least(x, "_q"))).drop("_q")  # top is one row
+    (top,) = order.quantiles(rows, x, [q])
+    return rows.withColumn(out, F.when(F.col(x).isNotNull(), F.least(x, F.lit(top).cast("double"))))
 
 
 def quantile_bins(rows: DataFrame, x: str, out: str, cuts: list[float], by: tuple[str, ...] = ("week",)) -> DataFrame:
     """Adds the bin (from 0) of x between its quantiles at ``cuts``; bins are closed on the right and equal edges merge."""
-    edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile(x, cuts)).alias("_e"))
+    return _between(rows.join(rows.groupBy(*by).agg(F.array_distinct(F.percentile(x, cuts)).alias("_e")), list(by), "left"), x, out)
+
+
+def quantile_bins_of_few(rows: DataFrame, x: str, out: str, cuts: list[float], by: str) -> DataFrame:
+    """As ``quantile_bins`` for few large groups (windows, halves): each one's quantiles are counted, not gathered."""
+    groups = [r[0] for r in rows.select(by).distinct().collect()]
+    found = [(g, sorted(set(order.quantiles(rows.filter(F.col(by).eqNullSafe(F.lit(g))), x, cuts)))) for g in groups]
+    edges = rows.sparkSession.createDataFrame(found, f"{by} {dict(rows.dtypes)[by]}, _e array<double>")
+    return _between(rows.join(edges, by, "left"), x, out)
+
+
+def _between(rows: DataFrame, x: str, out: str) -> DataFrame:
     below = F.size(F.filter(F.slice(F.col("_e"), 1, F.size("_e")), lambda e: e < F.col(x)))
     label = F.when(F.col(x).isNotNull() & (F.size("_e") > 1), F.greatest(below - 1, F.lit(0)))
-    return rows.join(edges, list(by), "left").withColumn(out, label.cast("int")).drop("_e")
+    return rows.withColumn(out, label.cast("int")).drop("_e")
 
 
 def legs(rows: DataFrame, x: str, frac: float = 0.3, floor: int = 3, min_names: int = 10, by: tuple[str, ...] = ("week",), tie: str = "symbol") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import has_category, ratio, stable_hash, ticker, truthy
-from panelforge.operators import factors, panel, xsec
+from panelforge.operators import factors, order, panel, xsec
 from panelforge.sources import payloads, table
 
 from .common import PANEL, rd, returns, rounded, weekly
@@ -224,7 +224,7 @@ SELECT symbol, n, row_number() OVER (ORDER BY depth DESC NULLS LAST, n DESC NULL
 def sorted_coverage(spark, d):
     """Symbols in order of depth, unknown ones last; then by count and name."""
     a = weekly(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.when(F.count("*") > 200, F.avg("fees")).alias("depth"))
-    return a.select("symbol", "n", F.row_number().over(W.orderBy(F.col("depth").desc_nulls_last(), F.col("n").desc_nulls_last(), "symbol")).alias("place"))
+    return order.positions(a, [F.col("depth").desc_nulls_last(), F.col("n").desc_nulls_last(), F.col("symbol")], "place").select("symbol", "n", "place")
 
 
 @query(f"""

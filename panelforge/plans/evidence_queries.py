@@ -207,8 +207,8 @@ SELECT "window", bin, count(*) AS n, round(avg(x) + 1e-8, 4) AS x, round(avg(fwd
 def reversal_bins(spark, d):
     """Mean next return in twenty bins of the rank of the greatest return, in and out of sample."""
     a = sorted_panel(spark, d).filter("max4 is not null and fwd is not null").select("week", "symbol", "fwd", xsec.percent_rank(F.col("max4")).alias("x"))
-    a = panel.in_windows(a, windows_of(spark, d).filter("window <> 'Full'"))
-    binned = xsec.quantile_bins(a, "x", "bin", [i / 20 for i in range(21)], by=("window",))
+    a = materialize(panel.in_windows(a, windows_of(spark, d).filter("window <> 'Full'")), "windows")
+    binned = xsec.quantile_bins_of_few(a, "x", "bin", [i / 20 for i in range(21)], "window")
     return rounded(binned.groupBy("window", "bin").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("fwd").alias("y")), 4)
 
 
