@@ -2,10 +2,10 @@
 
 A variable stands for a filling of a sequence (how many pieces of each length), and every length must be covered. The
 program is solved by multiplicative weights: lengths have prices, a knapsack dynamic program finds the dearest fillings,
-their variables grow, and the prices of what they cover shrink exponentially. Prices over the dearest filling are a
-solution of the dual program, so the best of them bounds every packing from below. Variables are then rounded down;
-of what that leaves, fillings are taken once more in order of their fractions as far as their pieces are there, or not,
-whichever needs fewer sequences, and the last pieces are packed best-fit decreasing. All sizes of input go the same way."""
+their variables grow, and the weights in the prices of what they cover shrink exponentially. Bounds from below come from
+dual solutions. Variables are rounded down; of what that leaves, fillings are taken once more in order of their fractions
+as far as their pieces are there, or not, whichever needs fewer sequences, and the last pieces are packed best-fit
+decreasing. All sizes of input go the same way."""
 
 from __future__ import annotations
 
@@ -46,37 +46,45 @@ class Knapsack:
         return found
 
 
-def solve(counts: np.ndarray, capacity: int, step: float = 0.5, rate: float = 2.0, rounds: int = 300) -> tuple[dict[Filling, float], float]:
-    """How often each filling is used, in fractions, and the lower bound of the dual solution.
+def solve(counts: np.ndarray, capacity: int, step: float, rate: float) -> dict[Filling, float]:
+    """How often each filling is used, in fractions that cover all counts.
 
-    In a round every length that isn't covered yet offers itself with the dearest filling of the rest. A variable grows
-    until it has covered the share ``step`` of one of its lengths, or one is covered whole. What ``rounds`` leave
-    uncovered, if anything, has no variable."""
-    lengths = np.arange(len(counts))
-    need, price = counts.astype(float), lengths / capacity * (1 + 0.02 * lengths / capacity)
+    The price of a length is its size, times an exponential weight in how much of it is still to be covered beside the rest.
+    In a round the lengths that lag offer themselves, each with the dearest filling of what it leaves of a sequence; that
+    filling's variable grows until it has covered the share ``step`` of one of its lengths, or one is covered whole. Rounds
+    go on until all is covered; each covers a share of some length, so there are at most lengths / step of them."""
+    need, size = counts.astype(float), np.arange(len(counts)) / capacity
     used: dict[Filling, float] = defaultdict(float)
-    bound = float(counts @ lengths) / capacity
-    for _ in range(rounds):
-        open_ = need > 1e-9
-        if not open_.any():
-            break
-        dear = Knapsack(price, np.where(open_, counts, 0), capacity)
-        bound = max(bound, float(np.where(open_, counts, 0) @ price) / max(dear.value[capacity], 1e-300))
-        before = need.copy()
-        for s in np.flatnonzero(open_)[::-1].tolist():
+    while (open_ := need > 1e-9).any():
+        share = need / np.maximum(counts, 1)
+        mean = float(need.sum() / counts.sum())
+        dear = Knapsack(size * np.exp(rate * (share - mean)), np.where(open_, np.ceil(need), 0).astype(np.int64), capacity)
+        lagging = np.flatnonzero(open_ & (share >= mean - step))
+        for s in lagging[np.argsort(-share[lagging], kind="stable")].tolist():
             if need[s] <= 1e-9:
                 continue
             filling = dear.filling(capacity - s)
             filling[s] += 1
-            if filling[s] > counts[s]:
-                continue
             grow = min(min(step * counts[t], need[t]) / a for t, a in filling.items())
             if grow > 1e-12:
                 used[tuple(sorted(filling.items()))] += grow
                 for t, a in filling.items():
-                    need[t] = max(0.0, need[t] - a * grow)
-        price = price * np.exp(-rate * (before - need) / np.maximum(1, counts))
-    return used, bound
+                    need[t] -= a * grow
+        need[need <= 1e-9] = 0.0
+    return used
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> float:
+    """A number of sequences that no packing goes below: the greatest of dual solutions. Prices are the sizes, and steps of
+    them, floor((k + 1) size) / k, each over its dearest filling."""
+    size = np.arange(len(counts))
+    there = counts > 0
+    found = 0.0
+    for price in (size / capacity, *(((k + 1) * size // capacity) / k for k in range(1, 8))):
+        dearest = Knapsack(price, np.where(there, capacity, 0), capacity).value[capacity]
+        if dearest > 0:
+            found = max(found, float(counts @ price) / dearest)
+    return found
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -132,9 +140,20 @@ def rounded(used: dict[Filling, float], counts: np.ndarray, capacity: int, again
     return out + best_fit(left, capacity)
 
 
-def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """(filling, how many sequences) that hold exactly the counts of pieces by length, of two ways to round the one with
-    fewer sequences, and the lower bound on sequences."""
-    used, bound = solve(counts, capacity)
-    plans = [rounded(used, counts, capacity, again) for again in (True, False)]
-    return min(plans, key=lambda plan: sum(m for _, m in plan)), bound
+#: Steps and rates of the weights, from coarse to fine.
+PACES = ((0.5, 2.0), (0.06, 2.0), (0.015, 6.0))
+
+
+def configurations(counts: np.ndarray, capacity: int, gap: float = 0.005) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """(filling, how many sequences) that hold exactly the counts of pieces by length, and the lower bound on sequences.
+
+    The program is solved at finer and finer paces until a plan is within ``gap`` of the bound or the finest is done; of all
+    plans, each solution rounded in two ways and best-fit decreasing by itself, the one of fewest sequences is taken."""
+    total = lambda plan: sum(m for _, m in plan)
+    bound, plan = lower_bound(counts, capacity), None
+    for step, rate in PACES if counts.any() else ():
+        used = solve(counts, capacity, step, rate)
+        plan = min([rounded(used, counts, capacity, True), rounded(used, counts, capacity, False), *([plan] if plan else [])], key=total)
+        if total(plan) <= np.ceil(bound - 1e-6) * (1 + gap):
+            break
+    return min([best_fit(counts, capacity), *([plan] if plan else [])], key=lambda x: (total(x), plan is not None and x is not plan)), bound

@@ -520,12 +520,23 @@ def test_plans_cover_every_length_and_waste_little(n):
     random = np.random.default_rng(6)
     for lengths in (random.integers(1, 2049, n), np.clip(random.lognormal(6, 1, n), 1, 2048).astype(int)):
         counts = np.bincount(lengths, minlength=2049)
-        used, bound = linear_program.solve(counts, 2048)
-        assert used and bound >= counts @ np.arange(2049) / 2048
+        covered = np.zeros(2049)
+        for filling, x in linear_program.solve(counts, 2048, 0.5, 2.0).items():
+            for s, a in filling:
+                covered[s] += a * x
+        assert (covered >= counts - 1e-6).all() and linear_program.lower_bound(counts, 2048) >= counts @ np.arange(2049) / 2048 - 1e-6
         found, bound = sequences(counts, 2048)
         assert bound <= found <= 1.02 * bound + 2
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(400, 699, 1372), (700, 999, 2500), (683, 1364, 10**9)])
+def test_lengths_that_fill_badly(low, high, most):
+    """5,000 lengths: best-fit alone needs 1,449 of the first kind; the second's bound is 2,500, as no three go together."""
+    counts = np.bincount(np.random.default_rng(0).integers(low, high + 1, 5000), minlength=2049)
+    found, bound = sequences(counts, 2048)
+    assert found <= min(most, sum(m for _, m in linear_program.best_fit(counts, 2048))) and (low != 700 or bound == found == 2500)
+
+
 def test_plans_of_small_histograms_are_best():
     def least(lengths, capacity):
         """By trying every place for each piece."""
