@@ -6,6 +6,7 @@ number of groups. Signs are fixed so that the loading of greatest magnitude is p
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -244,70 +245,6 @@ def sparse_pca(rows: DataFrame, k: int = 4, alpha: float = 1.2) -> DataFrame:
     return known.join(whole, "symbol", "left_semi").groupBy().applyInPandas(run, f"component int, symbol {dict(rows.dtypes)['symbol']}, loading double, explained double")
 
 
-def canonical_correlations(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(pair, rho, left_driver, right_driver) of two wide frames with a row a week: correlations and the column of
-    greatest weight on either side."""
-    a, b = [c for c in left.columns if c != "week"], [c for c in right.columns if c != "week"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna()
-        if len(pdf) < len(a) + len(b) + 2:
-            return pd.DataFrame({"pair": [], "rho": [], "left_driver": [], "right_driver": []}, dtype=object)
-
-        def whiten(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            m = (m - m.mean(0)) / np.where(m.std(0) > 0, m.std(0), 1)
-            u, s, v = np.linalg.svd(m, full_matrices=False)
-            return u, v.T / np.where(s > 1e-9, s, np.inf)
-
-        ua, wa = whiten(pdf[a].to_numpy(float))
-        ub, wb = whiten(pdf[b].to_numpy(float))
-        p, rho, q = np.linalg.svd(ua.T @ ub)
-        k = min(len(a), len(b))
-        return pd.DataFrame({"pair": range(k), "rho": np.clip(rho[:k], 0, 1), "left_driver": [a[i] for i in np.abs(wa @ p[:, :k]).argmax(0)], "right_driver": [b[i] for i in np.abs(wb @ q[:k].T).argmax(0)]})
-
-    return left.join(right, "week").groupBy().applyInPandas(run, "pair int, rho double, left_driver string, right_driver string")
-
-
-def canonical_weights(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit weights of the columns of x (standardised) in its k canonical variates with y, and the correlations."""
-    ux, sx, vx = np.linalg.svd(x, full_matrices=False)
-    uy, sy, _ = np.linalg.svd(y, full_matrices=False)
-    ux, vx, sx, uy = ux[:, sx > 1e-9], vx[sx > 1e-9], sx[sx > 1e-9], uy[:, sy > 1e-9]
-    p, rho, _ = np.linalg.svd(ux.T @ uy, full_matrices=False)
-    w = fixed_signs(((vx.T / sx) @ p[:, :k]).T)
-    return w / np.linalg.norm(w, axis=1, keepdims=True), np.clip(rho[:k], 0, 1)
-
-
-def forward_canonical(returns: DataFrame, market: DataFrame, fit_weeks: DataFrame, k: int = 3, most: int = 200) -> DataFrame:
-    """(week, component, rho, value): canonical variates of the symbols that have a return in all weeks of ``fit_weeks``,
-    with the market series, fitted on these weeks, scaled by their moments, and applied to every week (an unknown return is
-    zero). The fit is one small group: at most ``most`` symbols, those with the most weeks in all, a documented bound."""
-    known = returns.filter("ret is not null").select("week", "symbol", "ret")
-    weeks = fit_weeks.agg(F.count("*").alias("_all"))  # one row
-    inside = known.join(fit_weeks, "week", "left_semi").groupBy("symbol").agg(F.count("*").alias("_n"))
-    whole = inside.crossJoin(F.broadcast(weeks)).filter("_n = _all").select("symbol").join(known.groupBy("symbol").agg(F.count("*").alias("_total")), "symbol")
-    whole = whole.orderBy(F.col("_total").desc(), "symbol").limit(most).select("symbol")
-    series = [c for c, t in market.dtypes if t == "double"]
-    rows = known.join(whole, "symbol").join(fit_weeks, "week", "left_semi").join(market, "week")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index="week", columns="symbol", values="ret").dropna(axis=1)
-        y = pdf.groupby("week")[series].first().dropna(axis=1)
-        if not len(x) or not x.shape[1] or not y.shape[1]:
-            return pd.DataFrame({"symbol": [], "component": [], "rho": [], "mean": [], "sd": [], "weight": []}, dtype=object)
-        scale = lambda m: (m - m.mean()) / m.std(ddof=0).replace(0, np.nan)
-        w, rho = canonical_weights(scale(x).fillna(0).to_numpy(), scale(y).fillna(0).to_numpy(), k)
-        sd = x.std(ddof=0).replace(0, 1.0)
-        return pd.concat([pd.DataFrame({"symbol": x.columns, "component": i + 1, "rho": rho[i], "mean": x.mean().to_numpy(), "sd": sd.to_numpy(), "weight": w[i]}) for i in range(len(w))], ignore_index=True)
-
-    kind = dict(returns.dtypes)["symbol"]
-    weights = rows.groupBy().applyInPandas(fit, f"symbol {kind}, component int, rho double, mean double, sd double, weight double")
-    every = returns.select("week").distinct().crossJoin(F.broadcast(weights))  # at most k rows for each of ``most`` symbols
-    held = every.join(known, ["week", "symbol"], "left")
-    value = F.sum((F.coalesce("ret", F.lit(0.0)) - F.col("mean")) / F.col("sd") * F.col("weight"))
-    return held.groupBy("week", "component").agg(F.max("rho").alias("rho"), value.alias("value"))
-
-
 def series_r2(rows: DataFrame, y: str, xs: list[str], least: int = 10) -> DataFrame:
     """(symbol, r2, n) of each symbol's regression on a basket of series."""
 
@@ -323,22 +260,42 @@ def series_r2(rows: DataFrame, y: str, xs: list[str], least: int = 10) -> DataFr
     return rows.select("symbol", y, *xs).groupBy("symbol").applyInPandas(run, f"symbol {kind}, r2 double, n long")
 
 
-def unit_root(series: DataFrame, keys: list[str], value: str, most: int = 4) -> DataFrame:
-    """(keys, statistic, lags, n): the augmented Dickey-Fuller statistic with a constant, lags chosen by Akaike's criterion."""
+#: MacKinnon's response surface for the statistic with a constant: bounds, the polynomial below and above the turning point. Fixed values.
+ADF_LEAST, ADF_TURN, ADF_MOST = -18.83, -1.61, 2.74
+ADF_BELOW, ADF_ABOVE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p(t: float) -> float:
+    """The approximate p of an augmented Dickey-Fuller statistic with a constant."""
+    if np.isnan(t):
+        return np.nan
+    if not ADF_LEAST <= t <= ADF_MOST:
+        return float(t > ADF_MOST)
+    return NormalDist().cdf(sum(c * t**k for k, c in enumerate(ADF_BELOW if t <= ADF_TURN else ADF_ABOVE)))
+
+
+def unit_root(series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, statistic, p, lags, n): the augmented Dickey-Fuller test with a constant. Lags, at most 12 (n / 100)**(1/4) of
+    them, are chosen by Akaike's criterion over the weeks that the most lags leave; the statistic is that of all weeks."""
+
+    def regression(x: np.ndarray, lags: int, skipped: int) -> tuple[float, float]:
+        """Akaike's criterion and the t of the level, over the differences behind the first ``skipped``."""
+        d = np.diff(x)
+        y = d[skipped:]
+        a = np.column_stack([np.ones(len(y)), x[skipped:-1], *(d[skipped - j : len(d) - j] for j in range(1, lags + 1))])
+        b = np.linalg.lstsq(a, y, rcond=None)[0]
+        e = y - a @ b
+        se = np.sqrt(e @ e / (len(y) - a.shape[1]) * np.linalg.pinv(a.T @ a)[1, 1])
+        return len(y) * np.log(max(e @ e, 1e-300) / len(y)) + 2 * a.shape[1], b[1] / se if se else np.nan
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("week")[value].dropna().to_numpy(float)
-        best = (np.inf, np.nan, 0)
-        d = np.diff(x)
-        for k in range(most + 1 if len(d) > most + 10 else 0):
-            y = d[most:]
-            a = np.column_stack([np.ones(len(y)), x[most:-1], *(d[most - j : len(d) - j] for j in range(1, k + 1))])
-            b = np.linalg.lstsq(a, y, rcond=None)[0]
-            e = y - a @ b
-            s2 = e @ e / (len(y) - a.shape[1])
-            se = np.sqrt(s2 * np.linalg.pinv(a.T @ a)[1, 1])
-            best = min(best, (len(y) * np.log(max(e @ e, 1e-300) / len(y)) + 2 * a.shape[1], b[1] / se if se else np.nan, k), key=lambda z: z[0])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "statistic": [best[1]], "lags": [best[2]], "n": [len(x)]})
+        most = min(int(np.ceil(12 * (len(x) / 100) ** 0.25)), len(x) // 2 - 2)
+        t, lags = np.nan, 0
+        if most >= 0 and len(x) > most + 10 and np.ptp(x) > 0:
+            lags = min(range(most + 1), key=lambda k: regression(x, k, most)[0])
+            t = regression(x, lags, lags)[1]
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "statistic": [t], "p": [unit_root_p(t)], "lags": [lags], "n": [len(x)]})
 
     kinds = dict(series.dtypes)
-    return series.select(*keys, "week", value).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keys), "statistic double, lags int, n long"]))
+    return series.select(*keys, "week", value).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keys), "statistic double, p double, lags int, n long"]))

@@ -12,8 +12,9 @@ from panelforge.session import materialize
 from . import order
 
 
-def newey_west(series: DataFrame, keys: list[str], value: str, lags: int = 4, order: str = "week") -> DataFrame:
-    """n, mean, Newey-West standard error and t of each series; the autocovariance at lag l is the mean of its n - l products."""
+def newey_west(series: DataFrame, keys: list[str], value: str, lags: int = 4, order: str = "week", least: int = 5) -> DataFrame:
+    """n, mean, Newey-West standard error and t of each series; the autocovariance at lag l is the mean of its n - l products.
+    A series of fewer than ``least`` values has no t."""
     known = series.filter(F.col(value).isNotNull())
     over = W.partitionBy(*keys)
     e = known.withColumn("_e", F.col(value) - F.avg(value).over(over))
@@ -22,7 +23,12 @@ def newey_west(series: DataFrame, keys: list[str], value: str, lags: int = 4, or
     a = e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *gammas)
     long_run = sum((2 * (1 - k / (lags + 1)) * F.coalesce(f"_g{k}", F.lit(0.0)) for k in range(1, lags + 1)), F.col("_g0"))
     a = a.withColumn("se", F.sqrt(F.when(long_run > 0, long_run) / F.col("n")))
-    return a.select(*keys, "n", "mean", "se", ratio(F.col("mean"), F.col("se")).alias("t"))
+    return a.select(*keys, "n", "mean", "se", F.when(F.col("n") >= least, ratio(F.col("mean"), F.col("se"))).alias("t"))
+
+
+def plain_t(x: str) -> Column:
+    """The mean over its error, of values taken as independent."""
+    return ratio(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x)))
 
 
 def adjusted_skew(x: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelforge.operators import factors, graph, matrix, panel, rolling, search, stats, xsec
+from panelforge.operators import canonical, factors, graph, matrix, panel, rolling, search, stats, xsec
 from panelforge.session import materialize
 
 from .common import PANEL, r6, rd, returns, rounded, sorted_panel, weekly
@@ -137,12 +137,12 @@ def evidence_grades(spark, d):
 WITH {CHARS}, {ICS}, k AS (SELECT factor, week, ic, row_number() OVER (PARTITION BY factor ORDER BY week) AS i FROM ic WHERE ic IS NOT NULL),
 j AS (SELECT k.factor, k.week, o.i, o.ic - avg(o.ic) OVER w AS e, avg(o.ic) OVER w AS m FROM k JOIN k AS o ON o.factor = k.factor AND o.i BETWEEN k.i - 26 AND k.i - 1 WHERE k.i > 26 WINDOW w AS (PARTITION BY k.factor, k.week)),
 l AS (SELECT *, e * lag(e, 1) OVER w AS e1, e * lag(e, 2) OVER w AS e2, e * lag(e, 3) OVER w AS e3, e * lag(e, 4) OVER w AS e4 FROM j WINDOW w AS (PARTITION BY factor, week ORDER BY i)),
-t AS (SELECT factor, week, any_value(m) AS mean, any_value(m) / sqrt((avg(e * e) + 2 * (0.8 * avg(e1) + 0.6 * avg(e2) + 0.4 * avg(e3) + 0.2 * avg(e4))) / 26) AS t FROM l GROUP BY 1, 2 HAVING avg(e * e) + 2 * (0.8 * avg(e1) + 0.6 * avg(e2) + 0.4 * avg(e3) + 0.2 * avg(e4)) > 1e-6)
+t AS (SELECT factor, week, any_value(m) AS mean, any_value(m) / sqrt(CASE WHEN avg(e * e) + 2 * (0.8 * avg(e1) + 0.6 * avg(e2) + 0.4 * avg(e3) + 0.2 * avg(e4)) > 1e-6 THEN avg(e * e) + 2 * (0.8 * avg(e1) + 0.6 * avg(e2) + 0.4 * avg(e3) + 0.2 * avg(e4)) END / 26) AS t FROM l GROUP BY 1, 2)
 SELECT factor, week, round(mean + 1e-8, 5) AS mean, round(t + 1e-8, 3) AS t FROM t""")
 def rolling_ic(spark, d):
-    """Mean and Newey-West t of the 26 correlations before each week."""
-    a = stats.rolling_newey_west(ics_of(spark, d), ["factor"], "ic").filter("mean is not null and t is not null and pow(mean / t, 2) * 26 > 1e-6")
-    return a.select("factor", "week", rd("mean", 5).alias("mean"), rd("t", 3).alias("t"))
+    """Mean and Newey-West t of the 26 correlations before each week; t is null where they have next to no variance."""
+    a = stats.rolling_newey_west(ics_of(spark, d), ["factor"], "ic").filter("mean is not null")
+    return a.select("factor", "week", rd("mean", 5).alias("mean"), rd(F.when(F.pow(F.try_divide("mean", "t"), 2) * 26 > 1e-6, F.col("t")), 3).alias("t"))
 
 
 # Terciles
@@ -315,7 +315,7 @@ def cca_forward(spark, d):
     """Canonical factors of returns against market series, fitted in sample and applied to all weeks. Prices are carried over
     gaps, as next to no symbol has all weeks."""
     split = panel.chronological_split(weekly(spark, d))
-    return matrix.forward_canonical(panel.with_returns(weekly(spark, d), "pad"), factors.market_state(returns(spark, d), 1), split.filter("window = 'IS'").select("week"))
+    return canonical.forward_canonical(panel.with_returns(weekly(spark, d), "pad"), factors.market_state(returns(spark, d), 1), split.filter("window = 'IS'").select("week"))
 
 
 @query()

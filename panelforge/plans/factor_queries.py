@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import leg_count
-from panelforge.operators import factors, graph, matrix, panel, portfolio, pricing, rolling, stats, xsec
+from panelforge.operators import canonical, factors, graph, matrix, panel, portfolio, pricing, rolling, stats, xsec
 from panelforge.session import materialize
 from panelforge.sources import table
 
-from .common import PANEL, r6, rd, returns, rounded, sorted_panel, weekly
+from .common import PANEL, ols_sql, r6, rd, returns, rounded, sorted_panel, weekly
 
 QUERIES, SQL = {}, {}
 
@@ -334,26 +334,48 @@ def rolling_ic_mean(spark, d):
     return rounded(zoo_of(spark, d).select("factor", "week", rolling.mean(F.col("ret"), 26, skip=1, by=("factor",)).alias("mean26")))
 
 
-# Below: regressions, decompositions, graphs, folds and models, which SQL does not express.
+FM = ["vol4", "mom4", "log_mcap"]
 
 
-@query()
+@query(f"""
+WITH {CHARS}, fk AS (SELECT week, fwd, {', '.join(f'coalesce({x}, 0) AS {x}' for x in FM)} FROM c WHERE fwd IS NOT NULL QUALIFY count(*) OVER (PARTITION BY week) >= 8), {ols_sql('fk', 'week', 'fwd', FM, 'fm')},
+l AS (SELECT week, unnest(['intercept', {', '.join(f"'{x}'" for x in FM)}]) AS term, unnest([intercept, beta1, beta2, beta3]) AS slope FROM fm)
+SELECT term, count(*) AS n, round(avg(slope) + 1e-8, 6) AS mean, round(avg(slope) / (stddev_samp(slope) / sqrt(count(*))) + 1e-8, 4) AS t FROM l GROUP BY term""")
 def fama_macbeth(spark, d):
-    slopes = matrix.fama_macbeth(sorted_panel(spark, d), "fwd", ["vol4", "mom4", "log_mcap"])
-    return stats.newey_west(slopes, ["term"], "slope")
+    """Mean weekly slopes and their plain t."""
+    slopes = matrix.fama_macbeth(sorted_panel(spark, d), "fwd", FM)
+    a = slopes.groupBy("term").agg(F.count("slope").alias("n"), F.avg("slope").alias("mean"), stats.plain_t("slope").alias("t"))
+    return a.select("term", "n", rd("mean", 6).alias("mean"), rd("t", 4).alias("t"))
 
 
-@query()
+@query(f"""
+WITH {CHARS}, pk AS (SELECT 1 AS one, fwd, coalesce(vol4, 0) AS vol4, coalesce(mom4, 0) AS mom4, coalesce(fee_yield, 0) AS fee_yield FROM c WHERE fwd IS NOT NULL), {ols_sql('pk', 'one', 'fwd', ['vol4', 'mom4', 'fee_yield'], 'po')}
+SELECT week, symbol, round(CASE WHEN coalesce(vol4, mom4, fee_yield) IS NOT NULL THEN intercept + beta1 * coalesce(vol4, 0) + beta2 * coalesce(mom4, 0) + beta3 * coalesce(fee_yield, 0) END + 1e-8, 6) AS prediction FROM c, po""")
 def pooled_ols_predictions(spark, d):
     a = sorted_panel(spark, d)
-    return matrix.predict(a, matrix.pooled_ols(a, "fwd", ["vol4", "mom4", "fee_yield"])).select("week", "symbol", "prediction")
+    return rounded(matrix.predict(a, matrix.pooled_ols(a, "fwd", ["vol4", "mom4", "fee_yield"])).select("week", "symbol", "prediction"))
 
 
-@query()
+@query(f"""
+WITH {SERIES}, mk AS (SELECT week, avg(ret) AS market FROM r GROUP BY week),
+tk AS (SELECT symbol, r.ret, market, z.ret AS lowvol FROM r JOIN mk USING (week) JOIN z ON z.week = r.week AND factor = 'LOWVOL' WHERE r.ret IS NOT NULL AND market IS NOT NULL AND z.ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY symbol) >= 8), {ols_sql('tk', 'symbol', 'ret', ['market', 'lowvol'], 'ts')}
+SELECT symbol, unnest(['intercept', 'market', 'lowvol']) AS term, round(unnest([intercept, beta1, beta2]) + 1e-8, 6) AS beta, n FROM ts""")
 def ts_betas(spark, d):
     market = factors.equal_weight_market(returns(spark, d))
     a = returns(spark, d).join(market, "week").join(zoo_of(spark, d).filter("factor = 'LOWVOL'").select("week", F.col("ret").alias("lowvol")), "week")
-    return matrix.series_betas(a, "ret", ["market", "lowvol"])
+    return rounded(matrix.series_betas(a, "ret", ["market", "lowvol"]))
+
+
+@query(f"""
+WITH {PANEL}, e AS (SELECT week, avg(ret) AS mean_ret, stddev_samp(ret) AS dispersion FROM r GROUP BY week),
+bk AS (SELECT symbol, ret, mean_ret, dispersion FROM r JOIN e USING (week) WHERE ret IS NOT NULL AND mean_ret IS NOT NULL AND dispersion IS NOT NULL QUALIFY count(*) OVER (PARTITION BY symbol) >= 10), {ols_sql('bk', 'symbol', 'ret', ['mean_ret', 'dispersion'], 'br')}
+SELECT symbol, round(r2 + 1e-8, 6) AS r2, n FROM br""")
+def basket_r2(spark, d):
+    a = returns(spark, d)
+    return rounded(matrix.series_r2(a.join(factors.market_state(a, 1), "week"), "ret", ["mean_ret", "dispersion"]))
+
+
+# Below: decompositions, graphs, folds and models, which SQL does not express.
 
 
 @query()
@@ -382,14 +404,9 @@ def sparse_pca_loadings(spark, d):
 
 @query()
 def cca(spark, d):
-    z = zoo_of(spark, d).groupBy("week").pivot("factor", list(SPECS)).agg(F.first("ret"))
-    return matrix.canonical_correlations(z, factors.market_state(returns(spark, d), 1))
-
-
-@query()
-def basket_r2(spark, d):
-    a = returns(spark, d)
-    return matrix.series_r2(a.join(factors.market_state(a, 1), "week"), "ret", ["mean_ret", "dispersion"])
+    # Factors with a return in nine of ten weeks.
+    z = canonical.widened(materialize(zoo_of(spark, d), "zoo"), "factor", "ret", 0.9)
+    return canonical.canonical_correlations(z, factors.market_state(returns(spark, d), 1))
 
 
 @query()

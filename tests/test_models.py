@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import graph, matrix, pricing, regime, search, stats, xsec
+from panelforge.operators import canonical, graph, matrix, pricing, regime, search, stats, xsec
 from panelforge.plans import ORACLE_SQL, QUERIES
 from panelforge.sources import write_manifest, write_twins
 
@@ -157,15 +157,45 @@ def test_canonical_correlations_solve_the_eigenproblem(spark):
     x = random.normal(size=(90, 3))
     y = np.column_stack([x[:, 0] + 0.5 * random.normal(size=90), random.normal(size=90)])
     frame = lambda m, names: spark.createDataFrame([(week(k), *map(float, r)) for k, r in enumerate(m)], "week date, " + ", ".join(f"{n} double" for n in names))
-    got = [r.rho for r in matrix.canonical_correlations(frame(x, "abc"), frame(y, "uv")).orderBy("pair").collect()]
+    got = [r.rho for r in (rows := canonical.canonical_correlations(frame(x, "abc"), frame(y, "uv")).orderBy("pair").collect())]
     a, b = x - x.mean(0), y - y.mean(0)
     want = np.sort(np.linalg.eigvals(np.linalg.solve(a.T @ a, a.T @ b) @ np.linalg.solve(b.T @ b, b.T @ a)).real)[::-1][:2]
     assert np.allclose(np.square(got), want)
+    assert rows[0].left_drivers.startswith("a+, ") and rows[0].right_drivers.startswith("u+, ") and rows[0].n == 90  # y's first column is x's first and noise
     long = spark.createDataFrame([(week(k), j, float(x[k, j])) for k in range(90) for j in range(3)], "week date, symbol long, ret double")
     fit = spark.createDataFrame([(week(k),) for k in range(60)], "week date")
-    values = matrix.forward_canonical(long, frame(y, "uv"), fit, 2).toPandas().pivot(index="week", columns="component", values="value").to_numpy()
-    w, rho = matrix.canonical_weights((x[:60] - x[:60].mean(0)) / x[:60].std(0), (y[:60] - y[:60].mean(0)) / y[:60].std(0), 2)
-    assert np.allclose(values, (x - x[:60].mean(0)) / x[:60].std(0) @ w.T)  # later weeks by the moments of the first
+    values = canonical.forward_canonical(long, frame(y, "uv"), fit, 2).toPandas().pivot(index="week", columns="component", values="value").to_numpy()
+    assert np.allclose(values, plain_variates(x, y, 60, 2))  # later weeks by the moments of the first
+
+
+def plain_variates(x, y, n, k):
+    """Canonical variates by singular vectors of the whole table."""
+    z, v = (x - x[:n].mean(0)) / x[:n].std(0), (y[:n] - y[:n].mean(0)) / y[:n].std(0)
+    u, s, r = np.linalg.svd(z[:n], full_matrices=False)
+    keep = s > 1e-6
+    p, _, _ = np.linalg.svd(u[:, keep].T @ np.linalg.svd(v, full_matrices=False)[0], full_matrices=False)
+    w = ((r[keep].T / s[keep]) @ p[:, :k]).T
+    w = w / np.linalg.norm(w, axis=1, keepdims=True)
+    w = w * np.sign(w[np.arange(k), np.abs(w).argmax(1)])[:, None]
+    return np.nan_to_num(z, nan=0.0) @ w.T
+
+
+@pytest.mark.parametrize("part", [4000, 50])
+def test_canonical_variates_of_more_symbols_than_weeks(spark, monkeypatch, part):
+    monkeypatch.setattr(canonical, "PART", part)
+    random = np.random.default_rng(16)
+    x = random.normal(size=(50, 240)) + np.outer(random.normal(size=50), random.normal(size=240))
+    y = np.column_stack([x[:, :40].mean(1) + 0.1 * random.normal(size=50), random.normal(size=50)])
+    rows = [(week(k), j, float(x[k, j])) for k in range(50) for j in range(240)] + [(week(k), 999, 0.5) for k in range(20)]  # 999 has not all weeks
+    market = spark.createDataFrame([(week(k), float(y[k, 0]), float(y[k, 1])) for k in range(50)], "week date, u double, v double")
+    fit = spark.createDataFrame([(week(k),) for k in range(30)], "week date")
+    got = canonical.forward_canonical(spark.createDataFrame(rows, "week date, symbol long, ret double"), market, fit, 2).toPandas().pivot(index="week", columns="component", values="value").to_numpy()
+    assert np.allclose(got, plain_variates(x, y, 30, 2), atol=1e-6)
+
+
+def test_only_whole_series_are_widened(spark):
+    series = spark.createDataFrame([(week(k), n, float(k)) for k in range(10) for n in ("a", "b", "c") if n == "a" or n == "b" and k or n == "c" and k > 4], "week date, name string, x double")
+    assert canonical.widened(series, "name", "x").columns == ["week", "a"] and canonical.widened(series, "name", "x", 0.9).columns == ["week", "a", "b"]
 
 
 def test_networks(spark):
@@ -215,13 +245,16 @@ def test_unit_root_statistic(spark):
     rows = [("walk", week(k), float(x)) for k, x in enumerate(np.cumsum(e))] + [("noise", week(k), float(x)) for k, x in enumerate(e)]
     got = {r.name: r for r in matrix.unit_root(spark.createDataFrame(rows, "name string, week date, v double"), ["name"], "v").collect()}
     assert got["walk"].statistic > -2.9 > -7 > got["noise"].statistic
-    x = e  # with the chosen lags, by normal equations
-    k, d = got["noise"].lags, np.diff(x)
-    y = d[4:]
-    a = np.column_stack([np.ones(len(y)), x[4:-1], *(d[4 - j : len(d) - j] for j in range(1, k + 1))])
+    k, d = got["noise"].lags, np.diff(e)  # with the chosen lags over all weeks, by normal equations
+    y = d[k:]
+    a = np.column_stack([np.ones(len(y)), e[k:-1], *(d[k - j : len(d) - j] for j in range(1, k + 1))])
     b = np.linalg.solve(a.T @ a, a.T @ y)
     s2 = ((y - a @ b) ** 2).sum() / (len(y) - a.shape[1])
-    assert abs(got["noise"].statistic - b[1] / np.sqrt(s2 * np.linalg.inv(a.T @ a)[1, 1])) < 1e-6
+    assert abs(got["noise"].statistic - b[1] / np.sqrt(s2 * np.linalg.inv(a.T @ a)[1, 1])) < 1e-6 and got["noise"].p < 1e-4 and got["walk"].p == matrix.unit_root_p(got["walk"].statistic) > 0.05
+    # The published critical values of a test with a constant, and the ends of the response surface.
+    assert all(abs(matrix.unit_root_p(t) - p) < 0.002 for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10))) and matrix.unit_root_p(-20) == 0 and matrix.unit_root_p(3) == 1
+    ends = [matrix.unit_root_p(t) for t in np.linspace(-6, 2.7, 200)]
+    assert all(b - a > -1e-3 for a, b in zip(ends, ends[1:]))
 
 
 def test_quantile_points_and_rolling_errors(spark):
