@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 
 from panelforge.functions import has_category, ratio, stable_hash, ticker, truthy
 from panelforge.operators import factors, order, panel, xsec
-from panelforge.sources import payloads, table
+from panelforge.session import shared_path
+from panelforge.sources import chunks, payloads, table
 
 from .common import PANEL, rd, returns, rounded, weekly
 
@@ -100,6 +101,22 @@ def raises_match(spark, d):
     return payloads.match_by_slug_or_name(rows, protocols, "p_partkey").select("p_partkey", "matched")
 
 
+@query("""
+SELECT event_type AS name, epoch_us(ts) // 1000 AS ts_ms, round(arg_max(value, event_id) + 1e-8, 4) AS price, round(CASE WHEN epoch_us(ts) // 1000 % 2 = 0 THEN arg_max(value, event_id) * 2 END + 1e-8, 4) AS mcap FROM events GROUP BY 1, 2""")
+def chunk_replay(spark, d):
+    """Events as cached chart payloads, a chunk a week and type, written and replayed through the data source."""
+    ms = F.expr("unix_millis(cast(ts AS timestamp))")
+    e = table(spark, d, "events").select("event_id", "event_type", ms.alias("ms"), "value", F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd").alias("label"))
+    points = F.array_sort(F.collect_list(F.struct("event_id", F.array(F.col("ms").cast("double"), "value").alias("p"), F.when(F.col("ms") % 2 == 0, F.array(F.col("ms").cast("double"), F.col("value") * 2)).alias("m"))))
+    files = e.groupBy(F.concat_ws("_", "event_type", "label").alias("file")).agg(points.alias("x"))
+    payload = F.to_json(F.struct(F.col("x.p").alias("prices"), F.filter("x.m", lambda m: m.isNotNull()).alias("market_caps")))
+    folder = shared_path(spark, "chunks")
+    chunks.write(files.select("file", payload.alias("payload")), folder)
+    labels = [r["label"] for r in e.select("label").distinct().collect()]  # a row a week
+    a = chunks.chunks(spark, folder, labels)
+    return a.select("name", F.unix_millis("ts").alias("ts_ms"), rd("price", 4).alias("price"), rd("mcap", 4).alias("mcap"))
+
+
 @query("""SELECT event_id, CAST(ts AS DATE) AS day, round(value + coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) + 1e-8, 4) AS supply FROM events""")
 def stable_points(spark, d):
     """Points whose date is Unix seconds or ISO text by type of event, and whose supply is the sum of a map."""
