@@ -20,20 +20,19 @@ class Knapsack:
     """The fillings of greatest price for every capacity up to ``capacity``, with at most counts[s] pieces of length s."""
 
     def __init__(self, price: np.ndarray, counts: np.ndarray, capacity: int):
-        value, self.takes, chosen = np.zeros(capacity + 1), [], []
+        self.takes = []
         for s in np.flatnonzero(counts[: capacity + 1]).tolist():
             most, k = min(int(counts[s]), capacity // s), 1
             while most > 0:  # doubling parts make up every number of pieces
                 k = min(k, most)
-                size = s * k
-                better = value[: capacity + 1 - size] + price[s] * k
-                take = np.zeros(capacity + 1, bool)
-                np.greater(better, value[size:] + 1e-12, out=take[size:])
-                value[size:] = np.maximum(value[size:], better)
                 self.takes.append((s, k))
-                chosen.append(take)
                 most, k = most - k, 2 * k
-        self.value, self.chosen = value, np.array(chosen).reshape(len(chosen), capacity + 1).T.copy()
+        self.value, self.chosen = np.zeros(capacity + 1), np.zeros((capacity + 1, len(self.takes)), bool)
+        for row, (s, k) in enumerate(self.takes):
+            size = s * k
+            better = self.value[: capacity + 1 - size] + price[s] * k
+            self.chosen[size:, row] = better > self.value[size:] + 1e-12
+            self.value[size:] = np.maximum(self.value[size:], better)
 
     def filling(self, capacity: int) -> dict[int, int]:
         found: dict[int, int] = defaultdict(int)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, words
+from .common import discard, materialize, words
 
 TREE = ("domain", "lang", "source")
 
@@ -126,10 +126,12 @@ def keep_drawn(docs: DataFrame, share: float, seed: int = 17) -> DataFrame:
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*docs.columns))
     keyed = docs.withColumn("__mix_key", key)
     drawn = mix(mixing_rows(keyed, domain_of_source(), "__mix_key"), F.floor(F.sum("tokens") * share), target_weights(), 1, seed, "__mix_key")
-    drawn = drawn.withColumn("at", place(seed, F.col("epoch"), "__mix_key"))
+    drawn = materialize(drawn.select(*TREE, place(seed, F.col("epoch"), "__mix_key").alias("at")), "drawn")
     last = materialize(drawn.groupBy(*TREE).agg(F.max("at").alias("last")), "last-places")
     ends = drawn.join(last, list(TREE)).filter("at = last").groupBy(*TREE, "last").agg(F.count("*").alias("n"))
-    ends = materialize(ends, "last-places").select(*(F.col(c).alias(f"__leaf_{c}") for c in TREE), F.col("last").alias("__last"), F.col("n").alias("__n"))
+    ends = materialize(ends, "last-places")
+    discard(drawn, last)
+    ends = ends.select(*(F.col(c).alias(f"__leaf_{c}") for c in TREE), F.col("last").alias("__last"), F.col("n").alias("__n"))
     own = {"__mix_lang": F.coalesce("lang", F.lit("")), "__mix_source": F.coalesce("source", F.lit("")), "__mix_domain": domain_of_source(F.coalesce("source", F.lit(""))), "__at": place(seed, F.lit(0), "__mix_key")}
     met = keyed.withColumns(own).join(ends, [F.col(f"__leaf_{c}") == F.col(f"__mix_{c}") for c in TREE])
     at_last = W.partitionBy(*(f"__mix_{c}" for c in TREE)).orderBy("__mix_key")

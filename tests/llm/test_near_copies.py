@@ -59,6 +59,12 @@ def test_rows_with_null_or_repeated_ids_and_different_texts_stay(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_rows_whose_keys_collide_are_not_lost(spark):
+    docs = spark.createDataFrame([(1, "x", 5, 1), (2, "y", 5, 2), (3, "y", 6, 3)], "doc_id long, text string, __row_key long, __row_check long")
+    found = spark.createDataFrame([(5, 5), (5, 6), (6, 6)], "row_key long, component long")
+    assert sorted(map(tuple, near_copies.one_of_each(docs, found).collect())) == [(1, "x"), (2, "y")]
+
+
 def test_candidates_miss_next_to_nothing_at_the_threshold():
     rng = np.random.default_rng(6)
     missed = 0
