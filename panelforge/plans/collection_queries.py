@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from panelforge.functions import has_category, ratio, stable_hash, ticker, truthy
 from panelforge.operators import factors, order, panel, xsec
 from panelforge.session import shared_path
-from panelforge.sources import chunks, payloads, table
+from panelforge.sources import chunks, markdown_universe, payloads, table, write_manifest, write_twins
 
 from .common import PANEL, rd, returns, rounded, weekly
 
@@ -25,6 +25,40 @@ def query(sql: str | None = None):
     return add
 
 
+# Files
+
+
+@query("""
+WITH l AS (SELECT s_suppkey, s_name, s_nationkey, n_name, 'T' || (s_suppkey % 60) AS symbol FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT n_name AS cohort, CAST(s_suppkey AS INT) AS rank, s_name AS coin, symbol FROM l QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY s_nationkey, s_suppkey) = 1""")
+def markdown_cohorts(spark, d):
+    """Suppliers as a Markdown universe, a heading a nation, written and parsed; the first row of a symbol stays."""
+    a = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", "s_suppkey", "s_name", F.concat(F.lit("t"), F.col("s_suppkey") % 60)), F.lit(" |"))
+    head = a.select("s_nationkey", F.lit(-1).cast("long").alias("s_suppkey"), F.concat(F.lit("## "), "n_name").alias("value")).distinct()
+    lines = head.unionByName(a.select("s_nationkey", "s_suppkey", cells.alias("value"))).orderBy("s_nationkey", "s_suppkey")
+    path = shared_path(spark, "universe")
+    lines.select("value").coalesce(1).write.text(path)
+    return markdown_universe(spark, path)
+
+
+@query(f"""
+WITH {PANEL}, t AS (SELECT count(*) AS n, count(DISTINCT symbol) AS symbols, min(week) AS first_week, max(week) AS last_week, round(sum(price) + 1e-8, 3) AS price FROM p)
+SELECT kind, n, symbols, first_week, last_week, price FROM t, (VALUES ('csv'), ('manifest'), ('parquet')) AS k(kind)""")
+def twins_and_manifest(spark, d):
+    """The weekly panel as Parquet and CSV twins and the measures of that write as a manifest: each read back and summed up."""
+    path = shared_path(spark, "twins")
+    symbols = F.size(F.collect_set("symbol")).alias("symbols")
+    made = write_twins(weekly(spark, d), path, symbols=F.size(F.collect_set("symbol")), first_week=F.min("week"), last_week=F.max("week"), price=F.sum("price"))
+    write_manifest(spark.createDataFrame([(made["rows"], made["symbols"], str(made["first_week"]), str(made["last_week"]), made["price"])], "n long, symbols long, first_week string, last_week string, price double"), f"{path}.json")
+    told = spark.read.schema("n long, symbols long, first_week date, last_week date, price double").json(f"{path}.json").select(F.lit("manifest").alias("kind"), "n", "symbols", "first_week", "last_week", "price")
+    schema = weekly(spark, d).schema
+    read = {"parquet": spark.read.schema(schema).parquet(f"{path}.parquet"), "csv": spark.read.schema(schema).option("header", True).csv(f"{path}.csv")}
+    sums = [a.agg(F.count("*").alias("n"), symbols.cast("long"), F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.sum("price").alias("price")).select(F.lit(kind).alias("kind"), "*") for kind, a in read.items()]
+    found = told.unionByName(sums[0]).unionByName(sums[1])
+    return found.withColumn("price", rd("price", 3))
+
+
 # Payloads
 
 

@@ -49,3 +49,29 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace_folders(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
+    """Renames each new folder to its place, after all of them are written. What stood there is set aside first and put back
+    if a rename fails, so that a reader finds the old ones or the new ones, but for the moment between two renames."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf, moved = spark._jsc.hadoopConfiguration(), []
+    try:
+        for new, place in pairs:
+            fs = path(place).getFileSystem(conf)
+            aside = f"{place}.{uuid.uuid4().hex}"
+            old = fs.exists(path(place))
+            if old and not fs.rename(path(place), path(aside)):
+                raise OSError(f"cannot set {place} aside")
+            moved.append((fs, place, aside if old else None))
+            if not fs.rename(path(new), path(place)):
+                raise OSError(f"cannot put {new} in its place")
+    except Exception:
+        for fs, place, aside in reversed(moved):
+            if aside is not None:
+                fs.delete(path(place), True)
+                fs.rename(path(aside), path(place))
+        raise
+    for fs, _, aside in moved:
+        if aside is not None:
+            fs.delete(path(aside), True)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelforge.session import replace_folders
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -37,10 +40,17 @@ def replay(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_twins(df: DataFrame, path: str) -> None:
-    """A table as Parquet and as CSV."""
-    df.write.mode("overwrite").parquet(f"{path}.parquet")
-    df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+def write_twins(df: DataFrame, path: str, **measures: Column) -> dict[str, object]:
+    """A table as Parquet and as CSV, and the measures (aggregates, the count as ``rows``) that the write itself took.
+
+    The table is computed once: the CSV is made from the Parquet. Both are written under other names and renamed together, so
+    that a failed write leaves the old pair."""
+    seen = Observation()
+    new = f"{path}.{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in measures.items())).write.parquet(f"{new}.parquet")
+    df.sparkSession.read.schema(df.schema).parquet(f"{new}.parquet").write.option("header", True).csv(f"{new}.csv")
+    replace_folders(df.sparkSession, [(f"{new}.{kind}", f"{path}.{kind}") for kind in ("parquet", "csv")])
+    return seen.get
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

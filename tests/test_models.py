@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import canonical, graph, matrix, pricing, regime, search, stats, xsec
 from panelforge.plans import ORACLE_SQL, QUERIES
+from panelforge.session import replace_folders
 from panelforge.sources import write_manifest, write_twins
 
 MONDAY = dt.date(2024, 1, 1)
@@ -157,7 +158,8 @@ def test_canonical_correlations_solve_the_eigenproblem(spark):
     x = random.normal(size=(90, 3))
     y = np.column_stack([x[:, 0] + 0.5 * random.normal(size=90), random.normal(size=90)])
     frame = lambda m, names: spark.createDataFrame([(week(k), *map(float, r)) for k, r in enumerate(m)], "week date, " + ", ".join(f"{n} double" for n in names))
-    got = [r.rho for r in (rows := canonical.canonical_correlations(frame(x, "abc"), frame(y, "uv")).orderBy("pair").collect())]
+    rows = canonical.canonical_correlations(frame(x, "abc"), frame(y, "uv")).orderBy("pair").collect()
+    got = [r.rho for r in rows]
     a, b = x - x.mean(0), y - y.mean(0)
     want = np.sort(np.linalg.eigvals(np.linalg.solve(a.T @ a, a.T @ b) @ np.linalg.solve(b.T @ b, b.T @ a)).real)[::-1][:2]
     assert np.allclose(np.square(got), want)
@@ -446,8 +448,15 @@ def test_plans_scan_the_table_few_times(spark, sf, name, most):
 
 def test_twins_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, s string")
-    write_twins(df, str(tmp_path / "t"))
+    assert write_twins(df, str(tmp_path / "t"), top=F.max("k")) == {"rows": 1, "top": 1}
     assert spark.read.parquet(str(tmp_path / "t.parquet")).collect() == df.collect() and spark.read.option("header", True).csv(str(tmp_path / "t.csv")).first().s == "a"
+    with pytest.raises(Exception, match="broken"):
+        write_twins(df.select("k", F.when(F.col("k") == 1, F.raise_error(F.lit("broken"))).cast("string").alias("s")), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t.parquet")).collect() == df.collect() and spark.read.option("header", True).csv(str(tmp_path / "t.csv")).first().s == "a"
+    assert write_twins(df.union(df), str(tmp_path / "t"))["rows"] == 2 and spark.read.option("header", True).csv(str(tmp_path / "t.csv")).count() == spark.read.parquet(str(tmp_path / "t.parquet")).count() == 2
+    with pytest.raises(OSError):  # the second folder is missing: the first is put back
+        replace_folders(spark, [(str(tmp_path / "t.csv"), str(tmp_path / "u.csv")), (str(tmp_path / "none"), str(tmp_path / "t.parquet"))])
+    assert spark.read.parquet(str(tmp_path / "t.parquet")).count() == 2
     write_manifest(df, str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).first()[0] == '{"k": 1, "s": "a"}'
     with pytest.raises(ValueError):
