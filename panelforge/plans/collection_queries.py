@@ -245,18 +245,22 @@ def chain_fallback(spark, d):
     return rounded(panel.chain_totals(e, ["supply", "inflow"]), 4)
 
 
-@query(f"""
-WITH {PANEL}, a AS (SELECT week, symbol, fees FROM p WHERE fees > 1000), b AS (SELECT week, symbol, tvl FROM p WHERE tvl > 900)
+@query("""
+WITH l AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_suppkey AS symbol, * FROM lineitem),
+a AS (SELECT week, symbol, sum(l_extendedprice * l_discount) AS fees FROM l WHERE l_returnflag = 'R' GROUP BY ALL), b AS (SELECT week, symbol, sum(l_extendedprice * l_tax) AS tvl FROM l WHERE l_returnflag <> 'R' GROUP BY ALL)
 SELECT week, symbol, round(fees + 1e-8, 4) AS fees, round(tvl + 1e-8, 4) AS tvl FROM a FULL OUTER JOIN b USING (week, symbol)""")
 def outer_measures(spark, d):
-    p = weekly(spark, d)
-    return rounded(p.filter("fees > 1000").select("week", "symbol", "fees").join(p.filter("tvl > 900").select("week", "symbol", "tvl"), ["week", "symbol"], "full_outer"), 4)
+    """Fees of returned lines beside the value of the others: weeks and symbols that either has."""
+    a = table(spark, d, "lineitem")
+    weekly_sum = lambda rows, x, name: rows.groupBy(panel.week_of("l_shipdate").alias("week"), F.col("l_suppkey").alias("symbol")).agg(F.sum(F.col("l_extendedprice") * F.col(x)).alias(name))
+    fees, tvl = weekly_sum(a.filter("l_returnflag = 'R'"), "l_discount", "fees"), weekly_sum(a.filter("l_returnflag <> 'R'"), "l_tax", "tvl")
+    return rounded(fees.join(tvl, ["week", "symbol"], "full_outer"), 4)
 
 
-@query("SELECT p_brand AS base, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY p_size) AS quotes, len(list(p_size)) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size < 20) GROUP BY 1")
+@query("SELECT p_brand AS base, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY p_size) AS quotes, len(list(p_size)) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY 1")
 def quote_lists(spark, d):
     """The tradable quotes of each base."""
-    a = table(spark, d, "part").filter("p_size < 20").groupBy(F.col("p_brand").alias("base")).agg(F.sort_array(F.collect_set("p_size")).alias("q"))
+    a = table(spark, d, "part").groupBy(F.col("p_brand").alias("base")).agg(F.sort_array(F.collect_set("p_size")).alias("q"))
     return a.select("base", F.array_join(F.col("q").cast("array<string>"), ",").alias("quotes"), F.size("q").cast("long").alias("n"))
 
 
