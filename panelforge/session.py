@@ -63,15 +63,16 @@ def replace_folders(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
             old = fs.exists(path(place))
             if old and not fs.rename(path(place), path(aside)):
                 raise OSError(f"cannot set {place} aside")
-            moved.append((fs, place, aside if old else None))
+            moved.append((fs, new, place, aside if old else None))
             if not fs.rename(path(new), path(place)):
                 raise OSError(f"cannot put {new} in its place")
     except Exception:
-        for fs, place, aside in reversed(moved):
+        for fs, new, place, aside in reversed(moved):
+            if fs.exists(path(place)):
+                fs.rename(path(place), path(new))
             if aside is not None:
-                fs.delete(path(place), True)
                 fs.rename(path(aside), path(place))
         raise
-    for fs, _, aside in moved:
+    for fs, _, _, aside in moved:
         if aside is not None:
             fs.delete(path(aside), True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import evidence_tier, has_category, normal_cdf, number, truthy
-from panelforge.operators import graph, matrix, panel, portfolio, stats, xsec
+from panelforge.operators import graph, panel, portfolio, pricing, stats, xsec
 from panelforge.sources import markdown_universe, pending_chunks
 from panelforge.sources import payloads as pay
 
@@ -52,7 +52,7 @@ def test_newey_west_by_hand(spark):
     x = np.random.default_rng(1).normal(size=60)
     a = spark.createDataFrame([("f", week(k), float(v)) for k, v in enumerate(x)], "name string, week date, v double")
     r = stats.newey_west(a, ["name"], "v").first()
-    assert r.n == 60 and abs(r.se - matrix.newey_west_se(x)) < 1e-12 and abs(r.t - x.mean() / r.se) < 1e-9
+    assert r.n == 60 and abs(r.se - pricing.newey_west_se(x)) < 1e-12 and abs(r.t - x.mean() / r.se) < 1e-9
 
 
 def test_allocation_is_causal(spark):
@@ -185,9 +185,9 @@ def test_spanning_tree_and_communities():
 def test_one_factor_is_found():
     random = np.random.default_rng(2)
     x = np.outer(random.normal(size=80), random.normal(size=30)) + 0.05 * random.normal(size=(80, 30))
-    assert matrix.factor_count(x - x.mean(0)) == 1
-    f = matrix.latent_factors(x - x.mean(0), 1)
-    assert abs(f.std(ddof=1) - 1) < 1e-9
+    x = x - x.mean(0)
+    f = pricing.hidden_factors(x @ x.T, 30, 7)
+    assert f.shape == (80, 1) and abs(f.std(ddof=1) - 1) < 1e-9
 
 
 def test_normal_cdf_and_corrections(spark):
