@@ -104,11 +104,13 @@ def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, c
     others by score, or evenly where their scores are all zero. A target that all caps together don't reach is cut to them.
 
     In order of score the first rows are capped, and the rest share what is left in proportion; the first row whose share
-    stays under the cap ends the capped ones. So one window with sums from the end replaces repeated passes."""
+    stays under the cap ends the capped ones. So one window with sums from the end replaces repeated passes. It runs from the
+    least score up, as Spark adds up a frame that ends with its group anew for each row."""
     over, cap = W.partitionBy(*by), cap if isinstance(cap, Column) else F.lit(cap)
-    best = over.orderBy(F.col("_s").desc(), tie)
+    worst = over.orderBy("_s", F.col(tie).desc()).rowsBetween(W.unboundedPreceding, 0)
     a = rows.withColumn("_s", F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
-    a = a.withColumns({"_n": F.count(F.lit(1)).over(over), "_before": F.row_number().over(best) - 1, "_rest": F.sum("_s").over(best.rowsBetween(0, W.unboundedFollowing))})
+    a = a.withColumns({"_n": F.count(F.lit(1)).over(over), "_k": F.row_number().over(worst), "_rest": F.sum("_s").over(worst)})
+    a = a.withColumn("_before", F.col("_n") - F.col("_k"))
     left = F.greatest(F.least(F.col(target), cap * F.col("_n")) - cap * F.col("_before"), F.lit(0.0))
     part = F.when(F.col("_rest") > 0, left * F.col("_s") / F.col("_rest")).otherwise(left / (F.col("_n") - F.col("_before")))
     a = a.withColumns({"_left": left, "_part": part})
@@ -116,7 +118,7 @@ def capped_allocation(rows: DataFrame, by: list[str], score: str, target: str, c
     a = a.withColumn("_free", F.min(free).over(over))  # the first row that is not capped
     own = F.when(F.col("_free._rest") > 0, F.col("_free._left") * F.col("_s") / F.col("_free._rest")).otherwise(F.col("_free._left") / (F.col("_n") - F.col("_free._before")))
     value = F.when(F.col("_free").isNull() | (F.col("_before") < F.col("_free._before")), F.least(cap, F.col(target))).otherwise(own)
-    return a.withColumn(out, F.when(F.col(target) > 0, value).otherwise(0.0)).drop("_s", "_n", "_before", "_rest", "_left", "_part", "_free")
+    return a.withColumn(out, F.when(F.col(target) > 0, value).otherwise(0.0)).drop("_s", "_n", "_k", "_before", "_rest", "_left", "_part", "_free")
 
 
 @dataclass(frozen=True)

@@ -119,6 +119,14 @@ def test_capped_allocation_equals_repeated_passes(spark):
     assert np.allclose([r.w for r in portfolio.capped_allocation(one, ["g"], "s", "t", 0.5, "w").orderBy("symbol").collect()], [0.5, 0.25, 0.25])
 
 
+def test_capped_allocation_runs_up_from_the_least_score(spark, capsys):
+    """A frame from the current row to the group's end costs the square of a leg's names."""
+    rows = spark.createDataFrame([(0, 1, 1.0, 1.0)], "g int, symbol int, s double, t double")
+    portfolio.capped_allocation(rows, ["g"], "s", "t", 0.5, "w").explain(True)
+    plan = capsys.readouterr().out
+    assert "currentrow$(), unboundedfollowing" not in plan and "unboundedpreceding$(), currentrow" in plan
+
+
 def plain_weights(signals, exposure, rules):
     """Week by week with dictionaries: legs, raw weights, caps, and the move from the weights held before."""
     held, out = None, []
