@@ -181,6 +181,25 @@ def test_exposures_by_regime(spark):
     assert abs(got["mispricing"].gross - (0.5 * 0.90 + 0.3 * 0.72 + 0.2 * 0.52)) < 1e-12 and abs(got["core_rank"].long_share - (0.5 * 0.90 + 0.3 * 0.75 + 0.2 * 0.70)) < 1e-12
 
 
+def test_tree_of_equal_series_is_that_of_the_whole_matrix():
+    """Copies of a series, ties and gaps: a row of distances for each different series gives the tree of the matrix."""
+    random = np.random.default_rng(8)
+    for recipe in graph.RECIPES.values():
+        x = random.integers(0, 4, (13, 12)).astype(float)
+        x[random.random(x.shape) < 0.1] = np.nan
+        x = x[:, random.integers(0, 12, 50)]
+        wide = pd.DataFrame(x, columns=range(50))
+        names, tree, rho, d = graph._graph(wide, recipe)
+        used = wide.iloc[: len(wide) - (not recipe.inclusive)][names]
+        ranks = (used.fillna(0.0) if recipe.nulls_to_zero else used).rank()
+        whole = ranks.corr(min_periods=3).clip(-recipe.clip, recipe.clip).to_numpy().round(9)
+        far = np.sqrt(np.maximum(recipe.factor * (1 - whole), 0.0))
+        same = np.array([[ranks.iloc[:, i].equals(ranks.iloc[:, j]) for j in range(len(names))] for i in range(len(names))])
+        assert np.allclose(rho, whole[tree[:, 0], tree[:, 1]], atol=1e-8)
+        want = graph.spanning_tree(np.where(same & (recipe.clip == 1), 0.0, far))
+        assert np.isclose(sum(far[a, b] for a, b in want), d.sum(), atol=1e-6) and len(want) == len(tree), recipe
+
+
 def test_spanning_tree_and_communities():
     d = np.full((6, 6), 2.0)
     for a, b in ((0, 1), (1, 2), (3, 4), (4, 5)):
