@@ -1,5 +1,6 @@
 """Queries against their SQL in DuckDB over the smallest tables."""
 
+import datetime as dt
 import glob
 import math
 
@@ -33,6 +34,16 @@ def duck(sf):
     return con
 
 
+def test_a_factor_without_drawdown_divides_as_sql(spark, duck, sf, monkeypatch):
+    """Returns that are never negative: the ratio to the drawdown is that of the query's SQL, minus infinity."""
+    from panelforge.plans import factor_queries
+
+    series = spark.createDataFrame([(f, dt.date(2024, 1, 1) + dt.timedelta(7 * k), s * (1.0 + k % 3), 10) for f, s in (("UP", 0.1), ("FLAT", 0.0)) for k in range(8)], "factor string, week date, ret double, n long")
+    monkeypatch.setattr(factor_queries, "zoo_of", lambda *_: series)
+    got = {r.factor: r.calmar for r in factor_queries.perf_metrics(spark, sf).collect()}
+    assert got == {"UP": -math.inf, "FLAT": None}  # and zero by zero is no number
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf, duck, name):
     got = QUERIES[name](spark, sf)
