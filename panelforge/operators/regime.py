@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import finite
+from panelforge.session import materialize
 
 from . import rolling
 
@@ -43,6 +44,7 @@ def labels(observed: DataFrame) -> DataFrame:
     dominance, of the same week, cut at its terciles over all weeks; at 0.35 either side with fewer than 12 scores. Weeks
     without a score are neutral."""
     a = observed.select("week", (_z("mom", 0) - 0.5 * _z("dispersion", 0) - 0.25 * _z("d_dominance", 0)).alias("score"))
+    a = materialize(a, "scores")  # a row a week; added up anew in another order, a score at a tercile would miss it
     edges = a.agg(F.percentile("score", [1 / 3, 2 / 3]).alias("_q"), F.count("score").alias("_n"))
     a = a.crossJoin(F.broadcast(edges))  # edges is one row
     low, high = (F.when(F.col("_n") >= LEAST, F.col("_q")[i]).otherwise(d) for i, d in ((0, -0.35), (1, 0.35)))
