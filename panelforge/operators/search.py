@@ -39,7 +39,7 @@ def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1,
     rows = rows.withColumns({f"_e{n}": r - F.col(f"beta_{n}w") * m for n in risk_windows})
     rows = rows.withColumns({f"idvol_{n}w": rolling.sd(F.col(f"_e{n}"), n) for n in risk_windows}).drop(*(f"_e{n}" for n in risk_windows))
     # Attention is the mean absolute return over its median among the week's symbols.
-    rows = xsec.medians_scaled(rows, {f"absret_{n}w": f"attention_{n}w" for n in attention})
+    rows = rows.withColumns({f"attention_{n}w": ratio(F.col(f"absret_{n}w"), F.percentile(f"absret_{n}w", 0.5).over(W.partitionBy("week"))) for n in attention})
     return rows, [*found, *(f"idvol_{n}w" for n in risk_windows), *(f"attention_{n}w" for n in attention)]
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import evidence_tier, has_category, normal_cdf, number, truthy
-from panelforge.operators import graph, panel, portfolio, pricing, stats, xsec
+from panelforge.operators import factors, graph, panel, portfolio, pricing, stats, xsec
 from panelforge.sources import markdown_universe, pending_chunks
 from panelforge.sources import payloads as pay
 
@@ -181,6 +181,24 @@ def test_exposures_by_regime(spark):
     assert abs(got["mispricing"].gross - (0.5 * 0.90 + 0.3 * 0.72 + 0.2 * 0.52)) < 1e-12 and abs(got["core_rank"].long_share - (0.5 * 0.90 + 0.3 * 0.75 + 0.2 * 0.70)) < 1e-12
 
 
+def test_measures_side_by_side_equal_one_at_a_time(spark, monkeypatch):
+    """Legs and rank correlations of many measures in one pass, with ties, unknown values and weeks of few names."""
+    monkeypatch.setattr(xsec, "SIDE_BY_SIDE", 2)
+    random = np.random.default_rng(5)
+    rows = [(week(k), s, None if random.random() < 0.1 else float(random.normal()), *(None if random.random() < 0.2 else float(random.integers(0, 6)) for _ in "abc")) for k in range(6) for s in range(8 + 3 * k)]
+    df = spark.createDataFrame(rows, "week date, symbol long, fwd double, a double, b double, c double")
+    got = {(r.week, r.factor): r for r in factors.zoo(df, {"A": ("a", False), "B": ("b", True), "C": ("c", False)}).collect()}
+    ics = {(r.week, r.factor): r for r in xsec.information_coefficients(df, {"A": "a", "B": "b", "C": "c"}, "fwd").collect()}
+    seen = 0
+    for f, x, low in (("A", "a", False), ("B", "b", True), ("C", "c", False)):
+        for r in factors.long_short(df, x, long_low=low).collect():
+            assert np.isclose(got[r.week, f].ret, r.ret) and got[r.week, f].n == r.n
+            seen += 1
+        for r in xsec.information_coefficient(df, x, "fwd").collect():
+            assert np.isclose(ics[r.week, f].ic, r.ic) and ics[r.week, f].n == r.n
+    assert seen == len(got) == len(ics)
+
+
 def test_tree_of_equal_series_is_that_of_the_whole_matrix():
     """Copies of a series, ties and gaps: a row of distances for each different series gives the tree of the matrix."""
     random = np.random.default_rng(8)
