@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from panelforge.functions import ratio
 from panelforge.session import materialize
 
-from . import factors, pricing, rolling, stats, xsec
+from . import factors, pricing, rolling, stats
 from .panel import by_symbol
 
 #: The name of a candidate among the factors of its model.
