@@ -135,18 +135,27 @@ def raises_match(spark, d):
     return payloads.match_by_slug_or_name(rows, protocols, "p_partkey").select("p_partkey", "matched")
 
 
+#: Points of a chunk that is written, about, at most, unless an hour has more.
+CHUNK_POINTS = 50_000
+
+
 @query("""
 SELECT event_type AS name, epoch_us(ts) // 1000 AS ts_ms, round(arg_max(value, event_id) + 1e-8, 4) AS price, round(CASE WHEN epoch_us(ts) // 1000 % 2 = 0 THEN arg_max(value, event_id) * 2 END + 1e-8, 4) AS mcap FROM events GROUP BY 1, 2""")
 def chunk_replay(spark, d):
-    """Events as cached chart payloads, a chunk a week and type, written and replayed through the data source."""
+    """Events as cached chart payloads, a chunk a day and type or, where a day has more than ``CHUNK_POINTS``, some hours of it,
+    written and replayed through the data source: a task reads a chunk whole."""
     ms = F.expr("unix_millis(cast(ts AS timestamp))")
-    e = table(spark, d, "events").select("event_id", "event_type", ms.alias("ms"), "value", F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd").alias("label"))
+    e = table(spark, d, "events")
+    busiest = e.groupBy("event_type", F.to_date("ts").alias("day")).count().agg(F.max("count")).first()[0] or 1
+    hours = min(24, max(1, 24 * CHUNK_POINTS // busiest))
+    label = F.concat(F.date_format("ts", "yyyyMMdd"), F.lpad((F.hour("ts") - F.hour("ts") % hours).cast("string"), 2, "0"))
+    e = e.select("event_id", "event_type", ms.alias("ms"), "value", label.alias("label"))
     points = F.array_sort(F.collect_list(F.struct("event_id", F.array(F.col("ms").cast("double"), "value").alias("p"), F.when(F.col("ms") % 2 == 0, F.array(F.col("ms").cast("double"), F.col("value") * 2)).alias("m"))))
     files = e.groupBy(F.concat_ws("_", "event_type", "label").alias("file")).agg(points.alias("x"))
     payload = F.to_json(F.struct(F.col("x.p").alias("prices"), F.filter("x.m", lambda m: m.isNotNull()).alias("market_caps")))
     folder = shared_path(spark, "chunks")
     chunks.write(files.select("file", payload.alias("payload")), folder)
-    labels = [r["label"] for r in e.select("label").distinct().collect()]  # a row a week
+    labels = [r["label"] for r in e.select("label").distinct().collect()]  # a row a day or some hours
     a = chunks.chunks(spark, folder, labels)
     return a.select("name", F.unix_millis("ts").alias("ts_ms"), rd("price", 4).alias("price"), rd("mcap", 4).alias("mcap"))
 

@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -111,18 +111,16 @@ def listed(uri: str) -> list[str]:
 
 
 def write(payloads: DataFrame, uri: str) -> None:
-    """Writes payloads (file, payload) as the folder's JSON files, each by its task."""
+    """Writes payloads (file, payload) as the folder's JSON files, each by its task, which holds few at a time."""
 
-    def put(batches):
+    def put(rows: Iterator[Row]) -> None:
         store, base = _store(uri)
         store.create_dir(base, recursive=True)
-        for pdf in batches:
-            for file, payload in zip(pdf["file"], pdf["payload"]):
-                with store.open_output_stream(f"{base}/{file}.json") as out:
-                    out.write(payload.encode())
-            yield pdf[["file"]]
+        for row in rows:
+            with store.open_output_stream(f"{base}/{row['file']}.json") as out:
+                out.write(row["payload"].encode())
 
-    payloads.select("file", "payload").mapInPandas(put, "file string").write.format("noop").mode("overwrite").save()
+    payloads.select("file", "payload").foreachPartition(put)
 
 
 def load(uri: str, file: str) -> dict | None:

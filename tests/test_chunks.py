@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.plans import collection_queries
 from panelforge.sources import chunks as ch
 
 LABELS = ["20230101", "20240101", "20250101"]
@@ -54,3 +55,14 @@ def test_filters_choose_partitions(spark, folder):
 
 def test_empty_folder(spark, tmp_path):
     assert ch.chunks(spark, str(tmp_path), LABELS).count() == 0 and ch.due(spark, str(tmp_path), LABELS, ["x"]).count() == 3
+
+
+@pytest.mark.parametrize("points, most", [(50_000, 24), (1, 1)])
+def test_busy_days_are_cut_into_hours(spark, sf, monkeypatch, tmp_path, points, most):
+    """No chunk spans more hours than its points allow; what is replayed does not depend on it."""
+    whole = {tuple(r) for r in collection_queries.chunk_replay(spark, sf).collect()}
+    monkeypatch.setattr(collection_queries, "CHUNK_POINTS", points)
+    monkeypatch.setattr(collection_queries, "shared_path", lambda *_: str(tmp_path / "chunks"))
+    assert {tuple(r) for r in collection_queries.chunk_replay(spark, sf).collect()} == whole
+    times = [[p[0] // 3_600_000 for p in json.loads(f.read_text())["prices"]] for f in (tmp_path / "chunks").glob("*.json")]
+    assert times and all(max(t) - min(t) < most for t in times)
