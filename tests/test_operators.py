@@ -300,3 +300,18 @@ def test_weekly_stream(spark, sf, tmp_path):
     got = {(r.week, r.event_type): r.n for r in run_once(stream, "weekly", str(tmp_path / "c")).collect()}
     want = {(r.week, r.event_type): r.n for r in source.groupBy(panel.week_of("ts").alias("week"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_weekly_evidence_is_one_pass_of_three(spark):
+    """Returns, correlations and the market of a week, of rows that meet once, are those of their own passes."""
+    random = np.random.default_rng(3)
+    rows = [(MONDAY + dt.timedelta(7 * k), j, *(None if random.random() < 0.1 else float(v) for v in random.normal(size=3))) for k in range(3) for j in range(15)]
+    a = spark.createDataFrame(rows, "week date, symbol long, fwd double, p double, q double")
+    specs = {"P": ("p", True), "Q": ("q", False)}
+    found = factors.weekly_evidence(a, specs, 9)
+    assert str(found._jdf.queryExecution().executedPlan()).count("FlatMapGroupsInArrow") == 1
+    got = {(r.week, r.what, r.factor): (r.value, r.n) for r in found.collect()}
+    want = {(r.week, "ret", r.factor): (r.ret, r.n) for r in factors.zoo(a, specs).collect()}
+    want |= {(r.week, "ic", r.factor): (r.ic, r.n) for r in xsec.information_coefficients(a, {"P": "p", "Q": "q"}, "fwd").collect()}
+    want |= {(r.week, "market", None): (r.m, r.n) for r in a.filter("fwd is not null").groupBy("week").agg(F.avg("fwd").alias("m"), F.count("*").alias("n")).collect()}
+    assert got.keys() == want.keys() and len(got) > 9 and all(abs(got[k][0] - want[k][0]) < 1e-8 and got[k][1] == want[k][1] for k in want)
