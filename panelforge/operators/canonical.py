@@ -89,7 +89,9 @@ def forward_canonical(returns: DataFrame, market: DataFrame, fit_weeks: DataFram
     the market series, fitted on these weeks, scaled by their moments, and applied to every week (an unknown return is zero).
     Weights have unit length, and the greatest is positive."""
     spark, empty = returns.sparkSession, "week date, component int, rho double, value double"
-    fit = fit_weeks.select("week").distinct().join(market.select("week").distinct(), "week", "left_semi")
+    # Each is read several times; returns are written as they come, the others are a row a week.
+    returns, market, fit_weeks = materialize(returns.select("week", "symbol", "ret"), "returns"), materialize(market, "market"), materialize(fit_weeks.select("week"), "fit-weeks")
+    fit = fit_weeks.distinct().join(market.select("week").distinct(), "week", "left_semi")
     series = [c for c, t in market.dtypes if t == "double"]
     y = market.join(fit, "week", "left_semi").orderBy("week").select(*series).toPandas().dropna(axis=1).to_numpy(float)  # weeks by series
     mean = _dot(F.col("values"), [1.0 / max(len(y), 1)] * len(y))

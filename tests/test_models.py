@@ -490,3 +490,25 @@ def test_twins_and_manifest(spark, tmp_path):
 def test_query_without_sql_runs(spark, sf, name):
     got = QUERIES[name](spark, sf)
     assert len(set(got.columns)) == len(got.columns) and got.limit(5).collect() is not None
+
+
+@pytest.mark.parametrize("step", ["canonical", "premia"])
+def test_the_panel_is_read_once(spark, step):
+    """However many passes follow, the panel that is given is made once."""
+    random = np.random.default_rng(4)
+    r = random.normal(size=(40, 30))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(week(k), j, float(r[k, j])) for k in range(40) for j in range(30)], "week date, symbol long, ret double").mapInPandas(count, "week date, symbol long, ret double")
+    if step == "canonical":
+        market = spark.createDataFrame([(week(k), float(r[k, :9].mean())) for k in range(40)], "week date, u double")
+        assert canonical.forward_canonical(rows, market, market.select("week").filter(F.col("week") < week(35)), 1).count() == 40
+    else:
+        series = spark.createDataFrame([(week(k), "A", float(r[k, :9].mean())) for k in range(40)], "week date, factor string, ret double")
+        assert pricing.premia(rows, series).count() == 1
+    assert seen.value == 1200
