@@ -93,16 +93,16 @@ def third_sums(model: Model, y: np.ndarray, known: np.ndarray, least: int):
     yield "errors", 0, products(b, (mean - b @ model.full) ** 2)
 
 
-def over_symbols(symbols: DataFrame, models: list[Model], n_weeks: int, sums, least: int) -> DataFrame:
-    """(model, what, i, held): the models' sums, added up over all parts."""
+def over_symbols(symbols: DataFrame, models: list[Model], days: np.ndarray, sums, least: int) -> DataFrame:
+    """(model, what, i, held): the models' sums, added up over all parts; days are all weeks, as symbols have them."""
     spark = symbols.sparkSession
     parts = max(1, -(-symbols.count() // PART))
     deals = max(1, min(len(models), spark.sparkContext.defaultParallelism // parts))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.full((len(pdf), n_weeks), np.nan)
-        for row, weeks, returns in zip(y, pdf["weeks"], pdf["returns"]):
-            row[weeks] = returns
+        y = np.full((len(pdf), len(days)), np.nan)
+        for row, held, returns in zip(y, pdf["weeks"], pdf["returns"]):
+            row[np.searchsorted(days, held)] = returns
         known, out = ~np.isnan(y), []
         for k in range(int(pdf["deal"].iloc[0]), len(models), deals):
             at = models[k].weeks
@@ -163,14 +163,15 @@ def premia(returns: DataFrame, factors: DataFrame, keys: list[str] = (), shared:
     factor, ret); windows of (name, first, last), which add a column ``window``. Rows of a week and symbol are one."""
     spark, keys, windows = returns.sparkSession, list(keys), list(windows) or [("", None, None)]
     known = returns.filter("ret is not null").select("week", "symbol", "ret")
-    weeks = pd.DatetimeIndex(sorted(pd.to_datetime([r["week"] for r in known.select("week").distinct().collect()])))
+    # The panel is read once, and written as a row a symbol.
+    series = known.groupBy("symbol").agg(F.collect_list(F.struct(F.unix_date("week").alias("day"), "ret")).alias("x"))
+    symbols = materialize(series.select("symbol", F.col("x.day").alias("weeks"), F.col("x.ret").alias("returns")), "symbols")
+    days = np.array(sorted(r["day"] for r in symbols.select(F.explode("weeks").alias("day")).distinct().collect()), np.int64)
+    weeks = pd.DatetimeIndex(days.astype("datetime64[D]"))
     windows = [(w, *(x if x is None else pd.Timestamp(x) for x in ends)) for w, *ends in windows]
     models = [m for m in models_of(factors, keys, shared, windows, weeks, fill) if len(m.weeks) >= least_weeks]
     kinds = dict(factors.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(["window string"] if windows[0][1] is not None else []), PREMIA])
-    places = spark.createDataFrame([(w.date(), k) for k, w in enumerate(weeks)], "week date, place int")
-    series = known.join(places, "week").groupBy("symbol").agg(F.collect_list(F.struct("place", "ret")).alias("x"))
-    symbols = materialize(series.select("symbol", F.col("x.place").alias("weeks"), F.col("x.ret").alias("returns")), "symbols")
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         model = models[pdf["model"].iloc[0]]
@@ -186,7 +187,7 @@ def premia(returns: DataFrame, factors: DataFrame, keys: list[str] = (), shared:
         return pd.DataFrame({"model": [pdf["model"].iloc[0]], "n_hidden": [hidden.shape[1]], "hidden": [hidden.ravel()], "alone": [alone], "inverse": [inverse.ravel()], "mean": [mean], "t": [over(mean, se)]})
 
     def summed(chosen: list[Model], sums) -> DataFrame:
-        return over_symbols(symbols, chosen, len(weeks), sums, least)
+        return over_symbols(symbols, chosen, days, sums, least)
 
     rows = []
     begun = summed(models, first_sums).groupBy("model").applyInPandas(begin, BEGUN).orderBy("model").collect() if models else []
