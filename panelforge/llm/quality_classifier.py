@@ -5,8 +5,8 @@ to 2**18 weights; a document's score is the logistic function of the sparse dot
 square root of their number, with the weights. Only the text is an input.
 
 The model is fitted on the labelled documents that come first by a hash of doc_id, at most ``sample`` of them and at most
-``most_features`` indices of weights in all, two documented bounds; tasks count the features, so no text reaches the
-driver. Every document is scored. Defined results: null and empty texts score by the intercept alone; without any labels
+``most_features`` indices of weights in all, two documented bounds; tasks count the features, and one learns the weights of
+this bounded sample, so that only its megabyte of weights reaches the driver. Every document is scored. Defined results: null and empty texts score by the intercept alone; without any labels
 scores are 0.5. Of rows that share a labelled doc_id the least text is learnt. Repeated rows get equal scores, repeated
 labels count again, labels without a quality are ignored. A null doc_id is not held out. Extra columns are ignored; an
 empty table gives an empty result.
@@ -90,8 +90,8 @@ def counted(text: bytes, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), n.astype(np.int32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, most_features: int) -> list[Example]:
-    """The first labelled rows by a hash, none of the held-out fold, as counts of features; the labels joined are as few."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int, most_features: int) -> np.ndarray:
+    """Weights from the first labelled rows by a hash, none of the held-out fold, as counts of features; the labels joined are as few."""
     chosen = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id", "y").limit(sample)
     found = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -106,8 +106,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, most_features
     made = materialize(found.mapInArrow(count, "doc_id long, size long, at binary, n binary"), "features")
     rows = made.join(F.broadcast(chosen), "doc_id")  # both sides have at most ``sample`` rows
     upto = F.sum("size").over(W.orderBy("place", "doc_id", "y").rowsBetween(W.unboundedPreceding, 0))
-    taken = made.join(rows.withColumn("upto", upto).filter(F.col("upto") <= most_features).select("doc_id", "y"), "doc_id").orderBy("doc_id", "y").toArrow()
-    return [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32), y.as_py()) for a, n, y in zip(taken["at"], taken["n"], taken["y"])]
+    taken = made.join(rows.withColumn("upto", upto).filter(F.col("upto") <= most_features).select("doc_id", "y"), "doc_id").select("doc_id", "at", "n", "y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32), y) for batch in batches for a, n, y in zip(batch["at"], batch["n"], batch["y"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(examples).tobytes()], pa.binary())], ["weights"])
+
+    found = taken.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "weights binary").first()
+    return np.frombuffer(found["weights"], np.float32) if found else fit([])
 
 
 def probabilities(column: pa.StringArray, weights: np.ndarray, hasher: SpanHash) -> np.ndarray:
@@ -135,12 +141,12 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataF
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_features: int = 6_000_000) -> DataFrame:
-    return score(docs, fit(training_rows(docs, labels, sample, most_features)))
+    return score(docs, fitted(docs, labels, sample, most_features))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000, most_features: int = 6_000_000) -> DataFrame:
     """The rows of docs whose text scores at least the threshold, all columns as they are."""
-    weights = fit(training_rows(docs, labels, sample, most_features))
+    weights = fitted(docs, labels, sample, most_features)
     small_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

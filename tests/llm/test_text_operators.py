@@ -120,6 +120,26 @@ def test_personal_data(spark, docs, empty, plain):
 # 2. Quality classifier
 
 
+def test_classifier_learns_in_a_task(spark, sf, monkeypatch):
+    """No example reaches the driver, and the weights are those of the examples in order of their ids."""
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = quality_classifier.fit
+
+    def in_task(examples):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None
+        return own(examples)
+
+    monkeypatch.setattr(quality_classifier, "fit", in_task)
+    got = quality_classifier.fitted(documents, labels, 50, 6_000_000)
+    chosen = sorted((r for r in labels.filter("quality is not null").selectExpr("doc_id", "cast(quality as int) y", "xxhash64(doc_id) p", "crc32(cast(doc_id as string)) % 5 c").collect() if r.c), key=lambda r: (r.p, r.doc_id, r.y))[:50]
+    text = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    hasher = quality_classifier.SpanHash()
+    want = own([(*quality_classifier.counted(text[r.doc_id], hasher), r.y) for r in sorted(chosen, key=lambda r: (r.doc_id, r.y)) if r.doc_id in text])
+    assert len(got) == len(want) and np.array_equal(got, want) and (got != 0).any()
+
+
 def test_classifier_scores(spark, docs, empty, sf):
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality_classifier.quality_scores(documents, labels).join(labels, "doc_id").collect()
