@@ -53,3 +53,11 @@ def test_bins_of_few_groups_equal_bins_by_group(spark):
     cuts = [0.0, 0.3, 0.7, 1.0]
     rows = lambda f: sorted(map(tuple, f.collect()), key=repr)
     assert rows(xsec.quantile_bins_of_few(df, "x", "bin", cuts, "g")) == rows(xsec.quantile_bins(df, "x", "bin", cuts, ("g",)))
+
+
+def test_bins_of_few_groups_leave_rows_where_they_are(spark):
+    df = spark.range(0, 4000, 1, 8).select((F.col("id") % 2).alias("g"), F.rand(3).alias("x"))
+    binned = xsec.quantile_bins_of_few(df, "x", "bin", [0.0, 0.5, 1.0], "g")
+    held = [r["count"] for r in binned.groupBy(F.spark_partition_id()).count().collect()]
+    assert held == [500] * 8  # dealt by group, one task would hold 2,000 at least
+    assert sorted(map(tuple, binned.groupBy("g", "bin").count().collect())) == [(0, 0, 1000), (0, 1, 1000), (1, 0, 1000), (1, 1, 1000)]
