@@ -218,6 +218,42 @@ def test_tree_of_equal_series_is_that_of_the_whole_matrix():
         assert np.isclose(sum(far[a, b] for a, b in want), d.sum(), atol=1e-6) and len(want) == len(tree), recipe
 
 
+def test_tree_comes_by_levels_and_tiles_as_from_all_pairs(monkeypatch):
+    """Edges are those that all pairs give in order of closeness, of equals the smallest names first, whatever the tiles and however
+    few pairs are held; and no pair is looked at once for each name that the tree takes, as a tree that grows by a row does."""
+    random = np.random.default_rng(3)
+    for tile, held in (((256, 2048), 4_000_000), ((7, 11), 50)):
+        monkeypatch.setattr(graph, "TILE", tile)
+        monkeypatch.setattr(graph, "HELD", held)
+        for recipe in graph.RECIPES.values():
+            x = np.where(random.random((13, 90)) < 0.3, random.integers(0, 3, (13, 90)), random.normal(size=(13, 90)))
+            x[random.random(x.shape) < 0.15] = np.nan
+            wide = pd.DataFrame(x[:, random.integers(0, 90, 140)], columns=range(140))
+            names, tree, rho, d = graph._graph(wide, recipe)
+            used = wide.iloc[: len(wide) - (not recipe.inclusive)][names]
+            ranks = (used.fillna(0.0) if recipe.nulls_to_zero else used).rank()
+            whole = ranks.corr(min_periods=3).clip(-recipe.clip, recipe.clip).to_numpy().round(9)
+            far = np.sqrt(np.maximum(recipe.factor * (1 - whole), 0.0))
+            label, want = list(range(len(names))), []
+            for _, i, j in sorted((far[i, j], i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if far[i, j] > 0):
+                if label[i] != label[j]:
+                    want.append((i, j))
+                    label = [label[i] if c == label[j] else c for c in label]
+            assert len(names) > 40 and sorted(map(tuple, tree.tolist())) == sorted(want), recipe
+            assert np.allclose(d, [far[i, j] for i, j in tree]) and np.allclose(rho, [whole[i, j] for i, j in tree])
+    monkeypatch.setattr(graph, "TILE", (256, 2048))
+    z = random.normal(size=(3000, 11))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    seen = []
+
+    def near(i, j):
+        seen.append((len(i), len(j)))
+        return z[i] @ z[j].T
+
+    a, _, _ = graph.spanning_forest(3000, near, lambda i, j: (z[i] * z[j]).sum(1))
+    assert len(a) == 2999 and len(seen) < 1500 and sum(i * j for i, j in seen) < 1.5 * 3000 * 3000 and max(i * j for i, j in seen) <= 256 * 2048
+
+
 def test_spanning_tree_and_communities():
     d = np.full((6, 6), 2.0)
     for a, b in ((0, 1), (1, 2), (3, 4), (4, 5)):
