@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from panelforge.functions import leg_count, ratio
 
@@ -174,43 +176,61 @@ def target_weights(signals: DataFrame, exposure: DataFrame, rules: Rules = Rules
     return a.select("book", "week", "symbol", "signal", "side", (F.col("_w") * F.col("side")).alias("w"))
 
 
+#: Names of a row that goes to the fold: few enough that a batch of rows is some tens of megabytes.
+SIDE_BY_SIDE = 256
+
+
 def limit_turnover(targets: DataFrame, most: float = 0.45) -> DataFrame:
     """(book, week, symbol, w) of target weights, each week moved from the last one's weights only as far as turnover stays
     within ``most``; names without a target that week are dropped.
 
-    Weeks depend on one another, books don't. A book's rows are sorted by week and read in that order, so that a task
-    holds one week and the weights held before, never the history. Names that no leg ever takes are left out before."""
+    Weeks depend on one another, books don't. A week's names are put in order and side by side in its own group, all weeks at once;
+    what a book's task sorts and reads is a row for ``SIDE_BY_SIDE`` of them. It holds one week and the weights held before, never
+    the history, and meets them by position, as both are in order."""
     kind = dict(targets.dtypes)["symbol"]
-    ever = targets.groupBy("book", "symbol").agg(F.max(F.abs("w")).alias("_m")).filter("_m > 0").select("book", "symbol")
-    rows = targets.join(ever, ["book", "symbol"]).select("book", "week", "symbol", "w")
-
-    def step(week: pd.DataFrame, held: pd.Series | None) -> pd.Series:
-        new = pd.Series(week["w"].to_numpy(), week["symbol"].to_numpy())
+    schema = f"book string, week date, part int, symbol array<{kind}>, w array<double>"
+    packed, made = to_arrow_schema(StructType.fromDDL(schema)), to_arrow_schema(StructType.fromDDL(f"book string, week date, symbol {kind}, w double"))
+
+    def pack(week: pa.Table) -> pa.Table:
+        week = week.sort_by("symbol").combine_chunks()
+        n = len(week)
+        at = pa.array([*range(0, n, SIDE_BY_SIDE), n], pa.int32())
+        arrays = [pa.ListArray.from_arrays(at, week[c].combine_chunks()) for c in ("symbol", "w")]
+        rows = len(arrays[0])
+        return pa.Table.from_arrays([week["book"].slice(0, 1).take(pa.array([0] * rows)), week["week"].take(pa.array([0] * rows)), pa.array(range(rows), pa.int32()), *arrays], names=packed.names).cast(packed)
+
+    def step(names: np.ndarray, new: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         if held is not None:
-            past = held.reindex(new.index, fill_value=0.0).to_numpy()
-            gone = np.abs(held.to_numpy()).sum() - np.abs(past).sum()  # of names without a target
-            moved = 0.5 * (np.abs(new.to_numpy() - past).sum() + gone)
+            past = np.zeros(len(names))
+            if len(held[0]):
+                at = np.minimum(np.searchsorted(held[0], names), len(held[0]) - 1)
+                past = np.where(held[0][at] == names, held[1][at], 0.0)
+            gone = np.abs(held[1]).sum() - np.abs(past).sum()  # of names without a target
+            moved = 0.5 * (np.abs(new - past).sum() + gone)
             if moved > most:
-                new = pd.Series(past + most / moved * (new.to_numpy() - past), new.index)
-        return new[new != 0]
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, held, waiting = None, None, None
-        for part in parts:
-            part = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
-            groups = list(part.groupby(["book", "week"], sort=True))
-            waiting = groups[-1][1] if groups else None  # its week may go on in the next batch
-            out = []
-            for (name, week), rows in groups[:-1]:
-                held = step(rows, held if name == book else None)
-                book = name
-                out.append(pd.DataFrame({"book": name, "week": week, "symbol": held.index, "w": held.to_numpy()}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if waiting is not None and len(waiting):
-            name, week = waiting["book"].iloc[0], waiting["week"].iloc[0]
-            held = step(waiting, held if name == book else None)
-            yield pd.DataFrame({"book": name, "week": week, "symbol": held.index, "w": held.to_numpy()})
-
-    ordered = rows.repartition("book").sortWithinPartitions("book", "week", "symbol")
-    return ordered.mapInPandas(fold, f"book string, week date, symbol {kind}, w double").filter("w <> 0")
+                new = past + most / moved * (new - past)
+        return names[new != 0], new[new != 0]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def weeks() -> Iterator[tuple]:
+            at, parts = None, []
+            for batch in batches:
+                for k, key in enumerate(zip(batch["book"].to_pylist(), batch["week"].to_pylist())):
+                    if key != at and parts:
+                        yield at, parts
+                        parts = []
+                    at = key
+                    parts.append((batch["symbol"][k].values, batch["w"][k].values))
+            if parts:
+                yield at, parts
+
+        book, held = None, None
+        for (name, week), parts in weeks():
+            names, new = (pa.concat_arrays(x).to_numpy(zero_copy_only=False) for x in zip(*parts))
+            held = step(names, new, held if name == book else None)
+            book, n = name, len(held[0])
+            yield from pa.Table.from_arrays([pa.array([name] * n, pa.string()), pa.array([week] * n, pa.date32()), pa.array(held[0], made.field("symbol").type), pa.array(held[1])], schema=made).to_batches(max_chunksize=100_000)
+
+    rows = targets.select("book", "week", "symbol", "w").groupBy("book", "week").applyInArrow(pack, schema)
+    ordered = rows.repartition("book").sortWithinPartitions("book", "week", "part")
+    return ordered.mapInArrow(fold, f"book string, week date, symbol {kind}, w double")

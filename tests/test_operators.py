@@ -175,6 +175,27 @@ def test_weights_equal_plain_construction(spark):
     assert max(r.turnover for r in portfolio.turnover(w, ["book"]).collect()[1:]) < 1
 
 
+def test_a_book_sorts_rows_of_many_names(spark, monkeypatch):
+    """What a book's task sorts and reads is a row for many names of a week, and targets are read once."""
+    monkeypatch.setattr(portfolio, "SIDE_BY_SIDE", 3)
+    random = np.random.default_rng(1)
+    rows = [(b, week(k), j, float(random.normal()) / 8) for b in "ab" for k in range(6) for j in range(8) if random.random() < 0.8]
+    found = portfolio.limit_turnover(spark.createDataFrame(rows, "book string, week date, symbol long, w double"))
+    plan = str(found._jdf.queryExecution().optimizedPlan())
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression") < plan.index("FlatMapGroupsInArrow")
+    want = {}
+    for b in "ab":
+        held = {}
+        for k in range(6):
+            goal = {j: w for c, t, j, w in rows if c == b and t == week(k)}
+            moved = sum(abs(goal.get(j, 0) - held.get(j, 0)) for j in goal.keys() | held.keys()) / 2
+            share = min(1.0, 0.45 / moved) if k else 1.0
+            held = {j: held.get(j, 0) + share * (w - held.get(j, 0)) for j, w in goal.items()}
+            want |= {(b, week(k), j): w for j, w in held.items() if w}
+    got = {(r.book, r.week, r.symbol): r.w for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_exposures_by_regime(spark):
     p = spark.createDataFrame([(week(0), 0.2, 0.3, 0.5)], "week date, p_RiskOff double, p_Neutral double, p_RiskOn double")
     got = {r.book: r for r in portfolio.exposures(p).collect()}
