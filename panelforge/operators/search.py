@@ -4,43 +4,140 @@ Candidates are a key of one long table, so each step is one job over all of them
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelforge.functions import ratio
 from panelforge.session import materialize
 
-from . import factors, pricing, rolling, stats
-from .panel import by_symbol
+from . import factors, pricing, stats
 
 #: The name of a candidate among the factors of its model.
 CANDIDATE = "(candidate)"
 
 
-def grid(rows: DataFrame, market: str = "market", windows: tuple[int, ...] = (1, 2, 3, 4, 8, 12, 26, 52), risk_windows: tuple[int, ...] = (8, 12, 26, 52), attention: tuple[int, ...] = (1, 2, 4, 8)) -> tuple[DataFrame, list[str]]:
+#: Rows of the frames of each measure. Fixed values.
+WINDOWS, RISK_WINDOWS, ATTENTION = (1, 2, 3, 4, 8, 12, 26, 52), (8, 12, 26, 52), (1, 2, 4, 8)
+NAMES = [
+    *(f"{m}_{n}w" for n in WINDOWS for m in ("ret", "vol", "maxret", "minret", "skew", "absret", "up", "tohigh", "tolow", "dmcap")),
+    *(f"{m}_{n}w" for n in RISK_WINDOWS for m in ("beta", "corr_mkt", "upvol", "downvol", "volratio")), "age", "log_mcap", *(f"idvol_{n}w" for n in RISK_WINDOWS), *(f"attention_{n}w" for n in ATTENTION),
+]
+#: Symbols whose weeks are worked through side by side.
+PART = 200
+
+
+class Frames:
+    """Measures of symbols side by side (symbols by rows, unknown values and rows that are not there NaN), over frames of the last n
+    rows that must be known throughout: a frame is added up row by row, for all symbols and their rows at once."""
+
+    def __init__(self, ret: np.ndarray, price: np.ndarray, mcap: np.ndarray, market: np.ndarray, days: np.ndarray):
+        self.ret, self.price, self.mcap, self.market, self.days = ret, price, mcap, market, days
+
+    @staticmethod
+    def back(x: np.ndarray, k: int) -> np.ndarray:
+        """x of k rows before."""
+        return np.hstack([np.full((len(x), min(k, x.shape[1])), np.nan), x[:, : max(x.shape[1] - k, 0)]])
+
+    def total(self, x: np.ndarray, n: int) -> np.ndarray:
+        return sum((self.back(x, k) for k in range(1, n)), x.copy())
+
+    def moment(self, x: np.ndarray, n: int, power: int) -> np.ndarray:
+        """Sum of powers of what is over the mean."""
+        middle = self.total(x, n) / n
+        return sum(((self.back(x, k) - middle) ** power for k in range(n)), 0.0)
+
+    def sd(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.sqrt(self.moment(x, n, 2) / (n - 1)) if n > 1 else np.full(x.shape, np.nan)
+
+    def extreme(self, x: np.ndarray, n: int, which: Callable) -> np.ndarray:
+        return reduce(which, (self.back(x, k) for k in range(n)))
+
+    @staticmethod
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.full(a.shape, np.nan), where=(b != 0))
+
+    def skew(self, n: int) -> np.ndarray:
+        """Bias-corrected; zero where all values are equal."""
+        if n < 3:
+            return np.full(self.ret.shape, np.nan)
+        g = self.over(np.sqrt(n) * self.moment(self.ret, n, 3), self.moment(self.ret, n, 2) ** 1.5)
+        top, least = (self.extreme(self.ret, n, f) for f in (np.maximum, np.minimum))
+        return np.where(top == least, 0.0, np.sqrt(n * (n - 1)) / (n - 2) * g)
+
+    def beta(self, n: int) -> np.ndarray:
+        """Population covariance over sample variance."""
+        r, m = self.ret, np.where(np.isnan(self.ret), np.nan, self.market)
+        cov = self.total(r * m, n) / n - self.total(r, n) / n * (self.total(m, n) / n)
+        return self.over(cov, self.moment(m, n, 2) / (n - 1))
+
+    def correlation(self, n: int) -> np.ndarray:
+        r, m = self.ret, np.where(np.isnan(self.ret), np.nan, self.market)
+        rm, mm = self.total(r, n) / n, self.total(m, n) / n
+        both = sum(((self.back(r, k) - rm) * (self.back(m, k) - mm) for k in range(n)), 0.0)
+        return self.over(both, np.sqrt(self.moment(r, n, 2) * self.moment(m, n, 2)))
+
+    def measure(self, name: str) -> np.ndarray:
+        r, p = self.ret, self.price
+        if name == "age":
+            return (self.days - self.days[:, :1]) / 7
+        if name == "log_mcap":
+            return np.log(self.mcap, out=np.full(p.shape, np.nan), where=self.mcap > 0)
+        kind, n = name[:-1].rsplit("_", 1)
+        n = int(n)
+        if kind in ("upvol", "downvol", "volratio"):
+            up, down = np.where(r > 0, r, np.nan), np.where(r < 0, r, np.nan)
+            return self.sd(up, n) if kind == "upvol" else self.sd(down, n) if kind == "downvol" else self.over(self.sd(down, n), self.sd(up, n))
+        return {
+            "ret": lambda: self.over(p, self.back(p, n)) - 1, "vol": lambda: self.sd(r, n), "maxret": lambda: self.extreme(r, n, np.maximum), "minret": lambda: self.extreme(r, n, np.minimum), "skew": lambda: self.skew(n),
+            "absret": lambda: self.total(np.abs(r), n) / n, "up": lambda: self.total(np.where(r > 0, 1.0, 0.0), n) / n, "tohigh": lambda: self.over(p, self.extreme(p, n, np.maximum)) - 1,
+            "tolow": lambda: self.over(p, self.extreme(p, n, np.minimum)) - 1, "dmcap": lambda: self.over(self.mcap, self.back(self.mcap, n)) - 1, "beta": lambda: self.beta(n), "corr_mkt": lambda: self.correlation(n),
+            "idvol": lambda: self.sd(r - self.beta(n) * self.market, n),
+        }[kind]()
+
+
+def measured(rows: DataFrame, names: list[str], market: str = "market") -> DataFrame:
+    """rows with a column for each of the named measures of ``NAMES``. Symbols are dealt into groups of about ``PART``; window functions
+    would add up each frame of each row anew, value by value.
+
+    Attention is the mean absolute return over its median among the week's symbols. Only these measures go to their week for it; the
+    medians, a row a week, are written, and come to the rows."""
+    attention = {x: f"absret_{x[10:]}" for x in names if x.startswith("attention_")}
+    made = list(dict.fromkeys([*(x for x in names if x not in attention), *attention.values()]))
+    parts = max(1, -(-rows.select("symbol").distinct().count() // PART))
+    schema = StructType([*rows.schema.fields, *(StructField(x, DoubleType()) for x in made)])
+    out_schema = to_arrow_schema(schema)
+
+    def of_symbols(table: pa.Table) -> pa.Table:
+        table = table.drop_columns("_g").sort_by([("symbol", "ascending"), ("week", "ascending")]).combine_chunks()
+        symbol = table["symbol"].to_pandas().to_numpy()
+        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(symbol))))
+        at = np.arange(len(symbol)) - first[own]
+        side = lambda x: (lambda held: (held.__setitem__((own, at), x), held)[1])(np.full((len(first), at.max() + 1), np.nan))
+        values = [side(table[c].to_numpy()) for c in ("ret", "price", "mcap", market)]
+        frames = Frames(*values, side(table["week"].cast(pa.int32()).to_numpy()))
+        with np.errstate(invalid="ignore", over="ignore"):
+            found = [pa.array(frames.measure(x)[own, at], pa.float64(), from_pandas=True) for x in made]
+        return pa.Table.from_arrays([*table.columns, *found], schema=out_schema)
+
+    found = rows.withColumn("_g", F.pmod(F.xxhash64("symbol"), F.lit(parts))).groupBy("_g").applyInArrow(of_symbols, schema)
+    if attention:
+        middle = measured(rows.select("week", "symbol", "ret", "price", "mcap", market), list(attention.values()), market).repartition("week").groupBy("week")
+        middle = materialize(middle.agg(*(F.percentile(x, 0.5).alias(f"_{x}") for x in attention.values())), "medians", free=True)
+        found = found.join(middle, "week", "left").withColumns({x: ratio(F.col(a), F.col(f"_{a}")) for x, a in attention.items()})
+    return found.select(*rows.columns, *names)
+
+
+def grid(rows: DataFrame, market: str = "market") -> tuple[DataFrame, list[str]]:
     """rows with a column for each measure and window, and the columns' names."""
-    r, p, m = F.col("ret"), F.col("price"), F.col(market)
-    found = {}
-    for n in windows:
-        found |= {
-            f"ret_{n}w": ratio(p, F.lag("price", n).over(by_symbol())) - 1, f"vol_{n}w": rolling.sd(r, n), f"maxret_{n}w": rolling.highest(r, n), f"minret_{n}w": rolling.lowest(r, n),
-            f"skew_{n}w": rolling.skew_adjusted(r, n, max(n, 3)), f"absret_{n}w": rolling.mean(F.abs(r), n), f"up_{n}w": rolling.up_frequency(r, n), f"tohigh_{n}w": ratio(p, rolling.highest(p, n)) - 1,
-            f"tolow_{n}w": ratio(p, rolling.lowest(p, n)) - 1, f"dmcap_{n}w": ratio(F.col("mcap"), F.lag("mcap", n).over(by_symbol())) - 1,
-        }
-    for n in risk_windows:
-        up, down = F.when(r > 0, r), F.when(r < 0, r)
-        found |= {f"beta_{n}w": rolling.beta_mixed(r, m, n), f"corr_mkt_{n}w": rolling.correlation(r, m, n), f"upvol_{n}w": rolling.sd(up, n), f"downvol_{n}w": rolling.sd(down, n), f"volratio_{n}w": ratio(rolling.sd(down, n), rolling.sd(up, n))}
-    found |= {"age": F.datediff("week", F.min("week").over(W.partitionBy("symbol"))) / 7, "log_mcap": F.log(F.when(F.col("mcap") > 0, F.col("mcap")))}
-    rows = rows.withColumns(found)
-    # The deviation of what the market does not explain needs the rolling beta first.
-    rows = rows.withColumns({f"_e{n}": r - F.col(f"beta_{n}w") * m for n in risk_windows})
-    rows = rows.withColumns({f"idvol_{n}w": rolling.sd(F.col(f"_e{n}"), n) for n in risk_windows}).drop(*(f"_e{n}" for n in risk_windows))
-    # Attention is the mean absolute return over its median among the week's symbols.
-    rows = rows.withColumns({f"attention_{n}w": ratio(F.col(f"absret_{n}w"), F.percentile(f"absret_{n}w", 0.5).over(W.partitionBy("week"))) for n in attention})
-    return rows, [*found, *(f"idvol_{n}w" for n in risk_windows), *(f"attention_{n}w" for n in attention)]
+    return measured(rows, NAMES, market), NAMES
 
 
 def candidates(rows: DataFrame, names: list[str], **how) -> DataFrame:
@@ -50,6 +147,17 @@ def candidates(rows: DataFrame, names: list[str], **how) -> DataFrame:
     return high.select("week", "factor", "ret", "n", both.alias("x")).select("week", F.concat("factor", "x.d").alias("factor"), (F.col("ret") * F.col("x.s")).alias("ret"), "n")
 
 
+#: Characteristics whose values are on their way to their weeks at once.
+AT_ONCE = 16
+
+
+def all_candidates(rows: DataFrame) -> DataFrame:
+    """As ``candidates`` of all measures of rows, which are written. Their values would be the panel many times over: they are made and go
+    to their weeks ``AT_ONCE`` at a time, and what the disk held for these is freed before the next."""
+    parts = [NAMES[k : k + AT_ONCE] for k in range(0, len(NAMES), AT_ONCE)]
+    return reduce(DataFrame.unionByName, (materialize(candidates(measured(rows, part).select("week", "symbol", "fwd", *part), part), "legs", free=True) for part in parts))
+
+
 def screened(series: DataFrame, least: int = 30) -> DataFrame:
     """Newey-West t of each candidate with its corrected p-values."""
     tests = stats.newey_west(series, ["factor"], "ret").filter((F.col("n") >= least) & F.col("t").isNotNull())

@@ -6,9 +6,10 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import canonical, graph, matrix, pricing, regime, search, stats, xsec
+from panelforge.operators import canonical, graph, matrix, pricing, regime, rolling, search, stats, xsec
 from panelforge.plans import ORACLE_SQL, QUERIES
 from panelforge.session import replace_folders
 from panelforge.sources import write_manifest, write_twins
@@ -344,6 +345,49 @@ def test_grid_and_tests_of_candidates(candidates):
     assert np.allclose([got[f].q for f in order], np.minimum(q, 1), atol=1e-5)
 
 
+def test_measures_side_by_side_equal_windows(spark, monkeypatch):
+    """Measures of groups of symbols are those of window functions, with unknown returns, flat series and symbols of few rows; no measure
+    is a window's, whose frames are added up anew for each row, and all of them never leave for their weeks at once."""
+    monkeypatch.setattr(search, "PART", 4)
+    random = np.random.default_rng(21)
+    rows = []
+    for j in range(14):
+        price = 50.0
+        for k in range(0, 70 if j else 3):
+            if k and random.random() < 0.1:
+                continue
+            r = None if k == 0 or random.random() < 0.03 else 0.0 if j == 1 else float(random.normal(0, 0.1)) if j > 2 else abs(float(random.normal(0, 0.1)))
+            price *= 1 + (r or 0.0)
+            rows.append((week(k), j, r, 0.0 if random.random() < 0.02 else price, float(random.uniform(1, 9)), float(random.normal()), None if k == 0 else float(np.sin(k))))
+    df = spark.createDataFrame(rows, "week date, symbol long, ret double, price double, mcap double, fwd double, market double")
+    made, names = search.grid(df)
+    assert "Window" not in str(made._jdf.queryExecution().optimizedPlan())
+    r, p, m = F.col("ret"), F.col("price"), F.col("market")
+    by = Window.partitionBy("symbol").orderBy("week")
+    want = {"age": F.datediff("week", F.min("week").over(Window.partitionBy("symbol"))) / 7, "log_mcap": F.log("mcap")}
+    for n in (1, 3, 8, 12):
+        want |= {f"ret_{n}w": F.try_divide(p, F.lag("price", n).over(by)) - 1, f"vol_{n}w": rolling.sd(r, n), f"maxret_{n}w": rolling.highest(r, n), f"minret_{n}w": rolling.lowest(r, n), f"skew_{n}w": rolling.skew_adjusted(r, n, max(n, 3)), f"absret_{n}w": rolling.mean(F.abs(r), n)}
+        want |= {f"up_{n}w": rolling.up_frequency(r, n), f"tohigh_{n}w": F.try_divide(p, rolling.highest(p, n)) - 1, f"tolow_{n}w": F.try_divide(p, rolling.lowest(p, n)) - 1, f"dmcap_{n}w": F.try_divide(F.col("mcap"), F.lag("mcap", n).over(by)) - 1}
+    for n in (8, 12):
+        want |= {f"beta_{n}w": rolling.beta_mixed(r, m, n), f"upvol_{n}w": rolling.sd(F.when(r > 0, r), n), f"downvol_{n}w": rolling.sd(F.when(r < 0, r), n)}
+    want = {x: c for x, c in want.items() if x in names}
+    plain = df.withColumns({f"{x}_": c for x, c in want.items()}).withColumn("e", r - F.col("beta_8w_") * m)
+    plain = plain.withColumns({"idvol_8w_": rolling.sd(F.col("e"), 8), "attention_8w_": F.try_divide("absret_8w_", F.percentile("absret_8w_", 0.5).over(Window.partitionBy("week")))})
+    both = made.join(plain.select("week", "symbol", *(c for c in plain.columns if c.endswith("_"))), ["week", "symbol"]).toPandas()
+    assert len(both) == len(rows)
+    for x in [*want, "idvol_8w", "attention_8w"]:
+        a, b = both[x].to_numpy(float), both[f"{x}_"].to_numpy(float)
+        assert (np.isnan(a) == np.isnan(b)).all() and np.allclose(a, b, equal_nan=True, atol=1e-9), x
+    monkeypatch.setattr(search, "AT_ONCE", 40)
+    monkeypatch.setattr(search, "NAMES", [x for x in names if x.endswith("_4w") or x == "age"])
+    asked = []
+    zoo = search.factors.zoo
+    monkeypatch.setattr(search.factors, "zoo", lambda rows, specs, **how: asked.append(len(specs)) or zoo(rows, specs, **how))
+    monkeypatch.setattr(search, "AT_ONCE", 5)
+    every = {(x.week, x.factor): x.ret for x in search.all_candidates(df).collect()}
+    assert max(asked) <= 5 and every == {(x.week, x.factor): x.ret for x in search.candidates(made, search.NAMES).collect()} and len(every) > 500
+
+
 def test_prices_of_candidates(spark, candidates):
     r, rows = candidates
     made, _ = search.grid(rows)
