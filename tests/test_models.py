@@ -265,6 +265,24 @@ def test_kmeans_parts_blocks(spark):
     assert [got[j] for j in range(15)] == [j // 3 for j in range(15)]
 
 
+@pytest.mark.parametrize("dense", [8000, 100])
+def test_axes_take_few_rounds(monkeypatch, dense):
+    """Noise with gaps, whose leading values lie close together: the axes are those of the whole matrix, after few products with it."""
+    random = np.random.default_rng(4)
+    values = np.where(random.random((26, 500)) < 0.2, np.nan, random.normal(size=(26, 500)))
+    weight = random.integers(1, 4, 500).astype(float)
+    monkeypatch.setattr(matrix, "COLUMNS", 60)
+    rounds = []
+    qr = np.linalg.qr
+    monkeypatch.setattr(np.linalg, "qr", lambda x: rounds.append(x.shape) or qr(x))
+    got = matrix.leading_axes(values, weight, 8, dense)
+    whole = pd.DataFrame(values).corr(min_periods=2).to_numpy()
+    s, u = np.linalg.eigh(np.sqrt(weight)[:, None] * whole * np.sqrt(weight))
+    top = np.argsort(-np.abs(s))[:8]
+    want = u[:, top] * np.abs(s[top]) / np.sqrt(weight)[:, None]
+    assert 1 < len(rounds) < 40 and np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
 def test_unit_root_statistic(spark):
     random = np.random.default_rng(5)
     e = random.normal(size=300)
