@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from panelforge.functions import leg_count, ratio
+from panelforge.session import materialize
 
 
 def turnover(weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,6 +35,33 @@ def backtest(weights: DataFrame, returns: DataFrame, keys: list[str], cost_bps:
     return a.join(turnover(weights, keys), [*keys, "week"]).select(*keys, "week", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "long", "short", "names")
 
 
+def combined_backtest(weights: DataFrame, allocation: DataFrame, returns: DataFrame, variants: list[str], books: list[str], cost_bps: float = 10.0) -> DataFrame:
+    """As ``backtest`` by variant of ``combine`` by variant, but no variant makes rows: a name's weights of a week stand side by side, a
+    book beside the other, with those of the week before, and all variants' sums are taken of them in one pass. ``allocation`` has a row
+    for each variant, week and book; it is written side by side, a row a week, with the shares of the week before."""
+    at = {(v, b): f"_s{i}_{j}" for i, v in enumerate(variants) for j, b in enumerate(books)}
+    shares = allocation.groupBy("week").agg(*(F.sum(F.when((F.col("variant") == v) & (F.col("book") == b), F.col("share"))).alias(c) for (v, b), c in at.items()))
+    weeks = weights.select("week").distinct().join(shares, "week")
+    over = W.orderBy("week")  # a row a week
+    weeks = materialize(weeks.withColumns({"next": F.lead("week").over(over), **{f"{c}_": F.lag(c).over(over) for c in at.values()}}), "shares", free=True)
+    now = weights.select("week", "symbol", *(F.when(F.col("book") == b, F.col("w")).alias(f"_w{j}") for j, b in enumerate(books)), *(F.lit(None).cast("double").alias(f"_p{j}") for j in range(len(books))), F.lit(None).cast("double").alias("fwd"))
+    past = weights.join(weeks.select("week", "next"), "week").filter("next is not null")
+    past = past.select(F.col("next").alias("week"), "symbol", *(F.lit(None).cast("double").alias(f"_w{j}") for j in range(len(books))), *(F.when(F.col("book") == b, F.col("w")).alias(f"_p{j}") for j, b in enumerate(books)), F.lit(None).cast("double").alias("fwd"))
+    ahead = returns.filter("fwd is not null").select("week", "symbol", *(F.lit(None).cast("double").alias(f"_{k}{j}") for k in "wp" for j in range(len(books))), "fwd")
+    sides = [f"_{k}{j}" for k in "wp" for j in range(len(books))]
+    rows = now.unionByName(past).unionByName(ahead).groupBy("week", "symbol").agg(*(F.sum(c).alias(c) for c in (*sides, "fwd"))).join(weeks, "week")
+    total = lambda v, k, tail: sum((F.coalesce(F.col(f"_{k}{j}") * F.col(f"{at[v, b]}{tail}"), F.lit(0.0)) for j, b in enumerate(books)), F.lit(0.0))
+    rows = rows.select("week", "fwd", *(total(v, "w", "").alias(f"_c{i}") for i, v in enumerate(variants)), *(total(v, "p", "_").alias(f"_b{i}") for i, v in enumerate(variants)))
+    sums = {}
+    for i in range(len(variants)):
+        w = F.col(f"_c{i}")
+        sums |= {f"gross{i}": F.sum(w * F.coalesce("fwd", F.lit(0.0))), f"turnover{i}": F.sum(F.abs(w - F.col(f"_b{i}"))) / 2, f"long{i}": F.sum(F.greatest(w, F.lit(0.0))), f"short{i}": F.sum(F.least(w, F.lit(0.0))), f"names{i}": F.count_if(w != 0)}
+    found = rows.groupBy("week").agg(*(x.alias(c) for c, x in sums.items()))
+    made = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), *(F.col(f"{c}{i}").alias(c) for c in ("gross", "turnover", "long", "short", "names"))) for i, v in enumerate(variants))))
+    cost = F.col("turnover") * cost_bps / 1e4
+    return found.select("week", made.alias("v")).select("v.variant", "week", "v.gross", "v.turnover", "v.long", "v.short", "v.names").select("variant", "week", "gross", "turnover", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "long", "short", "names")
+
+
 def combine(weights: DataFrame, allocation: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sum over books of weight times allocation; allocation (by, week, book, share)."""
     return weights.join(allocation, ["week", "book"]).groupBy(*by, "week", "symbol").agg(F.sum(F.col("w") * F.col("share")).alias("w"))

@@ -196,6 +196,26 @@ def test_a_book_sorts_rows_of_many_names(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
+def test_variants_in_one_pass_equal_each_by_itself(spark):
+    """Combined weights of variants, books with gaps and weeks of their own, a missing return: sums side by side are those of the
+    variants' rows, which no plan makes."""
+    random = np.random.default_rng(2)
+    books, variants, n = ["a", "b", "c"], ["x", "y", "x, tilt"], 6
+    held = spark.createDataFrame([(b, week(k), j, float(random.normal())) for b in books for k in range(n) if (b, k) != ("a", 2) and k != 4 for j in range(9) if random.random() < 0.7], "book string, week date, symbol long, w double")
+    share = spark.createDataFrame([(v, week(k), b, 0.0 if v == "y" and b == "c" else float(random.random())) for v in variants for k in range(n) for b in books], "variant string, week date, book string, share double")
+    ahead = spark.createDataFrame([(week(k), j, None if random.random() < 0.2 else float(random.normal())) for k in range(n) for j in range(10)], "week date, symbol long, fwd double")
+    found = portfolio.combined_backtest(held, share, ahead, variants, books)
+    want = portfolio.backtest(portfolio.combine(held, share, ("variant",)), ahead, ["variant"])
+    assert found.columns == want.columns and found.dtypes == want.dtypes
+    got = {(r.variant, r.week): r for r in found.collect()}
+    rows = want.collect()
+    assert len(rows) == len(got) == 15
+    for r in rows:
+        assert np.allclose([x for x in r[2:]], [x for x in got[r.variant, r.week][2:]], atol=1e-12)
+    plan = str(found._jdf.queryExecution().optimizedPlan())
+    assert plan.index("Generate") < plan.index("Aggregate")  # variants become rows of a week's sums only
+
+
 def test_exposures_by_regime(spark):
     p = spark.createDataFrame([(week(0), 0.2, 0.3, 0.5)], "week date, p_RiskOff double, p_Neutral double, p_RiskOn double")
     got = {r.book: r for r in portfolio.exposures(p).collect()}
